@@ -41,24 +41,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray):
-    """Hashes of the 24 and 32 bytes at each position (rolled up by doubling)."""
+    """Hashes of the 24, 32 and 8 bytes at each position (rolled up by doubling)."""
     h, kept = data.astype(np.uint64) + np.uint64(1), {}
     for k in range(5):
         w = 1 << k
         h = h[:-w] * np.uint64(_P[k]) + h[w:]
         kept[2 * w] = h
     g24 = kept[16][: len(data) - 23] * np.uint64(_P[3]) + kept[8][16:]
-    return _mixed(g24), kept[32]
+    return _mixed(g24), kept[32], kept[8]
 
 
 def _first_least(g: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest of `width` neighbours from each position, the leftmost among equals."""
-    value, at, w = g, np.arange(len(g), dtype=np.int32), 1
+    """Position of the smallest (by its upper 44 bits) of `width` neighbours from each position, the leftmost among
+    equals. Up to 2^20 positions ride in the lower bits, so that one minimum finds both."""
+    if len(g) <= 1 << 20:
+        low = np.uint64((1 << 20) - 1)
+        value, w = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
+        while w < width:
+            step = min(w, width - w)
+            value = np.minimum(value[:-step], value[step:])
+            w += step
+        return (value & low).astype(np.int32)
+    value, at, w = g >> np.uint64(20), np.arange(len(g), dtype=np.int32), 1
     while w < width:
         step = min(w, width - w)
-        a, b = value[:-step], value[step:]
-        right = b < a
-        value, at = np.where(right, b, a), np.where(right, at[step:], at[:-step])
+        right = value[step:] < value[:-step]
+        value, at = np.where(right, value[step:], value[:-step]), np.where(right, at[step:], at[:-step])
         w += step
     return at
 
@@ -94,7 +102,7 @@ class Chunk:
         none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
         if len(data) < SPAN:
             return none
-        g24, g32 = _grams(data)
+        g24, g32, _ = _grams(data)
         least = _first_least(g24, SPAN - GRAM + 1)[: len(data) - SPAN + 1]
         end_of = np.repeat(ends, self.sizes[lo:hi])[: len(least)]
         valid = np.arange(SPAN, SPAN + len(least)) <= end_of
@@ -202,8 +210,8 @@ def send_contexts(rows, answers, shards: int):
     import pyarrow as pa
     import zstandard
 
-    names = ["shard", "chunk", "number", "anchor", "first", "size", "bytes"]
-    types = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+    names = ["shard", "chunk", "number", "anchor", "first", "size", "offset", "bytes"]
+    types = [pa.int32(), pa.int32()] + [pa.binary()] * 6
     if not rows.num_rows:
         return pa.table([pa.array([], t) for t in types], names)
     chunk, own = rows.column("chunk")[0].as_py(), Chunk(rows)
@@ -213,7 +221,7 @@ def send_contexts(rows, answers, shards: int):
     first, start = own.ids[own.doc[stands]], own.start[stands]
     for s, x in _spread((anchor % np.uint64(shards)).astype(np.int64)):
         text = own.data[_ragged(start[x], size[x])].tobytes()
-        out.append((s, chunk, press(np.diff(x, prepend=0).astype("<i4").tobytes()), _pack5(anchor[x] // np.uint64(shards) & LOW40), press(first[x].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()), size[x].astype(np.uint8).tobytes(), press(text)))
+        out.append((s, chunk, press(np.diff(x, prepend=0).astype("<i4").tobytes()), _pack5(anchor[x] // np.uint64(shards) & LOW40), press(first[x].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()), size[x].astype(np.uint8).tobytes(), own.offset[stands[x]].astype(np.uint8).tobytes(), press(text)))
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
 
@@ -239,6 +247,18 @@ def _first_documents(data: np.ndarray, start: np.ndarray, size: np.ndarray, firs
     return out[places]
 
 
+def _may_share(anchor, start, size, offset, g8) -> np.ndarray:
+    """Contexts that may have an equal window with another one of their anchor: a window has SPAN - GRAM bytes beside
+    the anchor, so equal ones agree on half of them just left or just right of it."""
+    half, out = (SPAN - GRAM) // 2, np.zeros(len(anchor), bool)
+    for at, ok in ((start + offset - half, offset >= half), (start + offset + GRAM, size - offset - GRAM >= half)):
+        x = np.flatnonzero(ok)
+        side = _mixed(g8[at[x]] * np.uint64(3) + g8[at[x] + half - 8] * np.uint64(5) + anchor[x] * np.uint64(7))
+        _, group, count = np.unique(side, return_inverse=True, return_counts=True)
+        out[x] |= count[group] > 1
+    return out
+
+
 def answer_contexts(rows):
     import pyarrow as pa
     import zstandard
@@ -252,14 +272,15 @@ def answer_contexts(rows):
     first = np.concatenate([np.ascontiguousarray(np.frombuffer(open_(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0] for b in rows.column("first").to_pylist()])
     data = np.frombuffer(b"".join(open_(b) for b in rows.column("bytes").to_pylist()), np.uint8)
     start = np.cumsum(size) - size
-    g32 = np.concatenate([_grams(data[a : a + PART + 64])[1][:PART] for a in range(0, max(1, len(data) - 31), PART)])
+    g32, g8 = (np.concatenate(x) for x in zip(*[(g[1][:PART], g[2][:PART]) for g in (_grams(data[a : a + PART + 64]) for a in range(0, max(1, len(data) - 31), PART))]))
     content = _mixed(g32[start] * np.uint64(3) + _mixed(g32[start + np.minimum(32, size - 32)]) * np.uint64(5) + g32[start + size - 32] * np.uint64(7) + size.astype(np.uint64))
     order = np.lexsort((first, content, anchor))
     fresh = np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)])
     context = np.zeros(len(order), np.int64)
     context[order] = np.cumsum(fresh) - 1
     stands = order[fresh]  # of each distinct context, the record of the smallest document
-    alone = np.bincount(np.unique(anchor[stands], return_inverse=True)[1])[np.unique(anchor[stands], return_inverse=True)[1]] == 1
+    offset = np.concatenate([np.frombuffer(b, np.uint8) for b in rows.column("offset").to_pylist()]).astype(np.int64)
+    alone = ~_may_share(anchor[stands], start[stands], size[stands], offset[stands], g8)
     windows = size[stands] - SPAN + 1
     at = np.cumsum(windows) - windows
     least = np.repeat(first[stands], windows)
@@ -338,7 +359,7 @@ def without_repeats(df: DataFrame) -> DataFrame:
     docs = docs.repartition(max(tasks, chunks), "chunk")
     anchors = docs.groupBy("chunk").applyInArrow(lambda t: send_anchors(t, shards), "shard int, chunk int, keys binary, many binary")
     shared = anchors.groupBy("shard").applyInArrow(answer_anchors, "chunk int, shard int, keys binary").where("length(keys) > 0")
-    contexts = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, a: send_contexts(t, a, shards), "shard int, chunk int, number binary, anchor binary, first binary, size binary, bytes binary")
+    contexts = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, a: send_contexts(t, a, shards), "shard int, chunk int, number binary, anchor binary, first binary, size binary, offset binary, bytes binary")
     ranges = contexts.groupBy("shard").applyInArrow(answer_contexts, "chunk int, ranges binary")
     both = shared.unionByName(ranges.select("chunk", F.lit(None).cast("int").alias("shard"), F.col("ranges").alias("keys")))
     return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda t, a: cut_out(t, a, shards), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
