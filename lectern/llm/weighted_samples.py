@@ -58,19 +58,19 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> F.Column:
 
 
 def _order(rows: DataFrame, tasks: int) -> DataFrame:
-    """id, n (longest text), th (its first text), before_n, next: the order of the ids, found range by range. Only one
-    row for each range meets in one place."""
+    """id, first_th (its first text), next, above (the id whose next it is), above_n (that one's longest text): the
+    order of the ids, found range by range. Only one row for each range meets in one place."""
     ids = rows.groupBy("id").agg(F.max(F.length("text")).alias("n"), F.min(F.xxhash64("text")).alias("first_th"))
     ranged = stored(ids.repartitionByRange(tasks, "id").withColumn("range", F.spark_partition_id()), "document-order")
-    ends = ranged.groupBy("range").agg(F.min("id").alias("low"), F.max_by("id", "id").alias("high"), F.min_by("n", "id").alias("low_n"))
+    ends = ranged.groupBy("range").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high"))
     up = Window.orderBy("range")
-    whole = ends.agg(F.max("high").alias("top"), F.min("low").alias("bottom"), F.min_by("low_n", "low").alias("bottom_n"))
-    edges = ends.withColumns({"down": F.lag("high").over(up), "above_n": F.lead("low_n").over(up)}).crossJoin(F.broadcast(whole))
-    edges = edges.select("range", F.coalesce("down", "top").alias("down"), F.coalesce("above_n", "bottom_n").alias("above_n"))
+    whole = ends.agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+    edges = ends.withColumns({"down": F.lag("high").over(up), "up": F.lead("low").over(up)}).crossJoin(F.broadcast(whole))
+    edges = edges.select("range", F.coalesce("down", "top").alias("down"), F.coalesce("up", "bottom").alias("up"))
     inside = Window.partitionBy("range").orderBy("id")
-    placed = ranged.withColumns({"below": F.lag("id").over(inside), "above": F.lead("n").over(inside)}).join(F.broadcast(edges), "range")
-    # the document above an id is the one whose end the id's beginning replaces
-    return placed.select("id", "first_th", F.coalesce("below", "down").alias("next"), F.coalesce("above", "above_n").alias("above_n"))
+    placed = ranged.withColumns({"below": F.lag("id").over(inside), "above": F.lead(F.struct("id", "n")).over(inside)}).join(F.broadcast(edges), "range")
+    above = F.coalesce("above", "up")
+    return placed.select("id", "first_th", F.coalesce("below", "down").alias("next"), above["id"].alias("above"), above["n"].alias("above_n"))
 
 
 def weighted_fingerprints(df: DataFrame) -> DataFrame:
@@ -87,16 +87,16 @@ def weighted_fingerprints(df: DataFrame) -> DataFrame:
     rows = raw.repartition(tasks, "id").groupBy("id", "text").agg(F.count("*").alias("copies"))
     rows = rows.withColumns({"th": F.xxhash64("text"), "n": F.length("text")}).join(order.hint("shuffle_hash"), "id")
     # a document's beginning goes to the one above it, whose `next` it is
-    giving = rows.where("th = first_th").select(F.col("id").alias("next"), F.expr("substring(text, 1, cast(above_n / 3 as int))").alias("head"))
-    given = giving.repartition(tasks, "next")
-    taking = rows.select("id", "th", "copies", "n", "next", "first_th", "text")
-    joined = taking.repartition(tasks, "next").join(given.hint("shuffle_hash"), "next")
+    # (an equality would become a join key and deal the texts out anew)
+    giving = rows.where("(th ^ first_th) = 0").select(F.col("above").alias("id"), F.expr("substring(text, 1, cast(above_n / 3 as int))").alias("head"))
+    joined = rows.select("id", "th", "copies", "n", "next", "first_th", "text").join(giving.repartition(tasks, "id").hint("shuffle_hash"), "id")
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(n div 3 as int)), substring(head, 1, cast(n div 3 as int)))"))
-    both = edited.select("next", "id", "th", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x")).select("next", "id", "th", F.col("x.v").alias("v"), F.col("x.text").alias("text"))
-    prints = fingerprints(both, ["next", "id", "th", "v"])
-    pair = prints.groupBy("next", "id", "th").agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    both = edited.select("id", "th", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x")).select("id", "th", F.col("x.v").alias("v"), F.col("x.text").alias("text"))
+    prints = fingerprints(both, ["id", "th", "v"])
+    pair = prints.groupBy("id", "th").agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     facts = edited.select("id", "th", "copies", "n", "next", "first_th", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    kept = stored(facts.join(pair.drop("next"), ["id", "th"]), "fingerprints")
+    met = facts.join(pair.withColumnRenamed("th", "pair_th"), "id").where("(th ^ pair_th) = 0").drop("pair_th")
+    kept = stored(met, "fingerprints")
     after = kept.where("th = first_th").select(F.col("id").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
     out = kept.join(after, "next").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
