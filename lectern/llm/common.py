@@ -23,8 +23,9 @@ def whole_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a relation: for file scans, the bytes of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own size estimate of a relation (for file scans, the bytes of the files); 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
 
 
 def tasks_for(df: DataFrame, per_task: int = TASK_BYTES, least: int = 0) -> int:
