@@ -90,7 +90,7 @@ def ledger_run_report(state: DataFrame, run: DataFrame) -> DataFrame:
     touched = run.groupBy("path").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     j = state.join(touched, "path", "left")
     seen, done = F.col("first").isNotNull(), F.col("status") == "done"
-    return j.agg(F.count("*").alias("total"), F.count_if(seen & F.col("status").isin("done", "failed")).alias("processed"), F.count_if(seen & done).alias("completed"), F.count_if(seen & (F.col("status") == "failed")).alias("failed"), F.count_if(~seen & done).alias("already_done"), (F.max("last").cast("double") - F.min("first").cast("double")).alias("elapsed"))
+    return j.agg(F.count("*").alias("total"), F.count_if(seen & F.col("status").isin("done", "failed")).alias("processed"), F.count_if(seen & done).alias("completed"), F.count_if(seen & (F.col("status") == "failed")).alias("failed"), F.count_if(~seen & done).alias("already_done"), (F.max("last").cast("timestamp").cast("double") - F.min("first").cast("timestamp").cast("double")).alias("elapsed"))
 
 
 def ledger_unfinished(state: DataFrame) -> DataFrame:

@@ -84,10 +84,11 @@ def source_clauses(df: DataFrame, key: str = "doc_id", col: str = "text", least:
     short tail the one before."""
     pieces = F.filter(F.split(F.regexp_replace(col, r"(?<![0-9])([,，;；])", "$1" + text.MARK), text.MARK), lambda p: p != "")
     start = F.struct(F.lit("").alias("open"), F.expr("cast(array() as array<string>)").alias("done"))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
 
     def step(acc, p):
         now = F.concat(acc["open"], p)
-        full = F.length(F.trim(now)) >= least
+        full = F.length(strip(now)) >= least
         return F.struct(F.when(full, "").otherwise(now).alias("open"), F.when(full, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"))
 
     def close(acc):
@@ -96,7 +97,7 @@ def source_clauses(df: DataFrame, key: str = "doc_id", col: str = "text", least:
         return F.when(acc["open"] == "", acc["done"]).otherwise(joined)
 
     merged = F.aggregate(pieces, start, step, close)
-    return df.select(key, F.posexplode(F.transform(merged, F.trim)).alias("clause", "text"))
+    return df.select(key, F.posexplode(F.transform(merged, strip)).alias("clause", "text"))
 
 
 def reading_clauses(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import ledger, repair, scoring, segmenting
 from ..sources import fixtures as fx
-from .oracles import ORACLES
+from . import building_blocks
+from .oracles import ORACLES as _OWN
 
-QUERIES = {}
+QUERIES = dict(building_blocks.QUERIES)
+ORACLES = _OWN | building_blocks.ORACLES
 
 
 def query(f):
