@@ -9,21 +9,27 @@ from ..operators import ledger, repair, scoring, segmenting
 from ..sources import fixtures as fx
 from .oracles import _EVENTS, _FILES, _PAIRS, _SEG, _q, _words
 
-QUERIES, ORACLES = {}, {}
+def collector(queries: dict, oracles: dict):
+    """A decorator that takes a query's SQL (None: none) and puts both under the query's name; ints become longs."""
+
+    def query(sql: str | None):
+        def register(f):
+            def call(spark, sf_dir):
+                out = f(spark, sf_dir)
+                return out.select(*[F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in out.dtypes])
 
+            queries[f.__name__] = call
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
 
-def query(sql: str | None):
-    def register(f):
-        def call(spark, sf_dir):
-            out = f(spark, sf_dir)
-            return out.select(*[F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in out.dtypes])
+        return register
 
-        QUERIES[f.__name__] = call
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
+    return query
 
-    return register
+
+QUERIES, ORACLES = {}, {}
+query = collector(QUERIES, ORACLES)
 
 
 def _paragraphs(col: str) -> str:
