@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, whole_texts
-from .pieces import PATTERN, PieceMemo, text_slices
+from .pieces import PATTERN, PieceMemo, packed, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -137,7 +137,7 @@ _codecs: dict[str, tuple[BytePairs, PieceMemo]] = {}
 def _codec(path: str) -> tuple[BytePairs, PieceMemo]:
     if path not in _codecs:
         codec = BytePairs(path)
-        _codecs[path] = codec, PieceMemo(codec.encode_pieces)
+        _codecs[path] = codec, PieceMemo(lambda pieces: packed(codec.encode_pieces(pieces)))
     return _codecs[path]
 
 
@@ -154,7 +154,7 @@ def byte_pair_round_trip(df: DataFrame, ranks: str | None = None) -> DataFrame:
 
         codec, memo = _codec(ranks)
         for batch in batches:
-            for ids, texts in text_slices(batch):
+            for ids, texts in text_slices(batch, 8 << 20):
                 coded = memo.encode(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in coded], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary()), pa.array([codec.decode(x) for x in coded], pa.binary())], ["doc_id", "n_tokens", "token_ids", "decoded"])
 

@@ -3,7 +3,8 @@
 The public pattern never joins what stands before a single space with what follows it, and a lone
 newline between two other characters is a match of its own. So a text splits at single spaces and lone
 newlines, and every distinct piece is encoded once per Python worker. Texts with longer runs of white
-space, or with white space at an end, are cut by the pattern itself.
+space, or with white space at an end, are cut by the pattern itself. The pattern also ends a match between Latin
+letters and closing marks, so a word with marks takes its ids from the bare word and the marks.
 """
 
 from __future__ import annotations
@@ -14,77 +15,123 @@ import numpy as np
 import public_tokenizers
 import regex
 
-RUNS = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f]")
+#: A key of Latin letters and the ASCII marks behind them.
+MARKED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-^`{-~]+)\Z")
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
-def piece_keys(text: str) -> list[str]:
-    """Keys of a text's pieces in order: a plain key stands after a space, a key with a leading newline does not."""
-    if RUNS.search(text):
-        return ["\n" + p for p in PATTERN.findall(text)]
-    keys: list[str] = []
-    for line in text.split("\n"):
-        words = line.split(" ")
-        words[0] = "\n" + words[0]
-        keys += words
-        keys.append("\n\n")
-    keys.pop()
-    return keys
+def piece_text(key: str) -> str:
+    """A plain key stands after a space; one with a leading newline begins a line or is one; one with a leading space
+    is a match of the pattern."""
+    return key[1:] if key[:1] in ("\n", " ") else " " + key
 
 
-def piece_text(key: str) -> str:
-    return key[1:] if key[:1] == "\n" else " " + key
+def irregular(key: str) -> bool:
+    """Whether a key holds white space (or nothing) where the splitting rule needs a word."""
+    body = key.removeprefix("\n")
+    return key[:1] != " " and key != "\n\n" and body.split() != [body]
+
+
+def packed(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Id lists as one array of ids and one of their sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[start : start + size] one after the other, and where each begins in the result (and its end)."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])], before
 
 
 class PieceMemo(dict):
-    """key -> number; `encode_new` gives the ids of pieces met for the first time. Holds at most `limit` pieces
-    between batches (a bound on memory: what is forgotten is encoded again)."""
+    """key -> number; `encode_new` gives the ids of pieces met for the first time, as `packed` does. Holds at most
+    `limit` pieces between batches (a bound on memory: what is forgotten is encoded again)."""
 
-    def __init__(self, encode_new, limit: int = 700_000):
+    def __init__(self, encode_new, limit: int = 1_500_000):
         super().__init__()
         self.encode_new, self.limit = encode_new, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
         self.new: list[str] = []
-        self.ids, self.starts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.ids, self.starts, self.odd = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def __missing__(self, key: str) -> int:
         n = self[key] = len(self)
         self.new.append(key)
         return n
 
-    def _settle(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.new:
-            lists = self.encode_new([piece_text(k) for k in self.new])
-            self.new = []
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids.append(np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())))
-            self.starts.append(self.starts[-1][-1] + np.cumsum(sizes))
-        ids, starts = np.concatenate(self.ids), np.concatenate(self.starts)
-        self.ids, self.starts = [ids], [starts]
-        return ids, starts
+    def _settle(self) -> None:
+        if not self.new:
+            return
+        known, parts, counts, whole, atoms, odd = len(self.starts) - 1, [], [], [], [], []
+        for at, key in enumerate(self.new):  # bare words and marks that are new themselves join the list
+            word = key.isalpha()
+            cut = None if word else MARKED.match(key)
+            odd.append(not word and not cut and irregular(key))
+            if odd[-1]:
+                counts.append(0)
+            elif cut:
+                parts += (self[cut[1]], self["\n" + cut[2]])
+                counts.append(2)
+            else:
+                parts.append(known + at)
+                counts.append(1)
+                whole.append(at)
+                atoms.append(piece_text(key))
+        self.new = []
+        ids, sizes = self.encode_new(atoms)
+        starts = np.zeros(known + len(counts), np.int64)
+        lengths = np.zeros(known + len(counts), np.int64)
+        starts[:known], lengths[:known] = self.starts[:-1], np.diff(self.starts)
+        places = known + np.array(whole, np.int64)
+        starts[places], lengths[places] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        order = np.array(parts, np.int64)
+        new, before = gathered(np.concatenate([self.ids, ids]), starts[order], lengths[order])
+        ends = before[np.cumsum(counts)]
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, new])
+        self.odd = np.concatenate([self.odd, np.array(odd, bool)])
+
+    def _runs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gathered(self.ids, self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, unsigned 32-bit."""
+        """Ids of each text, unsigned 32-bit. Arrow splits the texts and finds the distinct keys among them."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
         if len(self) > self.limit:
-            self.clear()
-            self.ids, self.starts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-        get, numbers, ends = self.__getitem__, [], []
-        for t in texts:
-            numbers.extend(map(get, piece_keys(t)))
-            ends.append(len(numbers))
-        ids, starts = self._settle()
-        at = np.array(numbers, dtype=np.int64)
-        sizes = starts[at + 1] - starts[at]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        flat = ids[np.repeat(starts[at] - before[:-1], sizes) + np.arange(before[-1])]
-        cuts = before[np.array([0, *ends])]
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            self._forget()
+        keys = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n\n \n") for t in texts], pa.large_string()), " ")
+        distinct, ends = keys.flatten().dictionary_encode(), keys.offsets.to_numpy()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False)
+        own = np.fromiter(map(self.__getitem__, names.tolist()), np.int64, len(names))
+        self._settle()
+        at = distinct.indices.to_numpy()
+        flat, before = self._runs(own[at])
+        cuts = before[ends].tolist()
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        odd = self.odd[own]
+        if odd.any():
+            for i in np.flatnonzero(np.logical_or.reduceat(odd[at], ends[:-1])).tolist():
+                numbers = [self[" " + p] for p in PATTERN.findall(texts[i])]
+                self._settle()
+                out[i] = self._runs(np.array(numbers, np.int64))[0]
+        return out
 
 
 def text_slices(batch, size: int = 4 << 20):
-    """Parts of an Arrow batch of (doc_id, text) with about `size` characters each, as Python lists."""
+    """Parts of an Arrow batch of (doc_id, text) with about `size` bytes each, as Python lists."""
+    import pyarrow.compute as pc
+
     ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
     at, n = 0, len(ids)
-    lengths = [len(x) for x in texts.cast("binary").to_pylist()] if n > 256 else [size] * n
+    lengths = [x or 0 for x in pc.binary_length(texts).to_pylist()]
     while at < n:
         end, total = at, 0
         while end < n and (end == at or total + lengths[end] <= size):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, table, tasks_for, whole_texts
-from .pieces import PieceMemo, text_slices
+from .pieces import PieceMemo, gathered, packed, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -100,22 +100,29 @@ def _library_encoder(path: str):
     newline = library.encode("\n", add_special_tokens=False).ids
 
     def one_by_one(texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and not t[1:].isspace() and t.split(" ")[-1].split() == [t.removeprefix(" ")]]
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = library.encode("\n".join(texts[i] for i in part), add_special_tokens=False).ids
-            cuts = [j for j, x in enumerate(ids) if x == newline[0]] if len(newline) == 1 else []
-            if len(cuts) == len(part) - 1:
-                for i, a, b in zip(part, [0, *(j + 1 for j in cuts)], [*cuts, len(ids)]):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, one_by_one([texts[i] for i in rest]) if rest else []):
-            out[i] = ids
-        return out
+        return [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        ids: list[int] = []
+        for x in one_by_one(["\n".join(texts[k : k + 64]) for k in range(0, len(texts), 64)]):
+            ids += x
+            ids += newline
+        flat = np.array(ids, np.uint32)
+        cuts = np.flatnonzero(flat == newline[0])
+        if len(newline) > 1 or len(cuts) != len(texts):
+            return None
+        return np.delete(flat, cuts), np.diff(cuts, prepend=-1) - 1
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((t[1:].isalpha() and t[0] == " " or t.split() == [t.removeprefix(" ")] for t in texts), bool, len(texts))
+        found = joined([t for t, p in zip(texts, plain) if p]) if plain.any() else None
+        if found is None:
+            return packed(one_by_one(texts))
+        (ids, sizes), (more, more_sizes) = found, packed(one_by_one([t for t, p in zip(texts, plain) if not p]))
+        starts, lengths = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        starts[plain], lengths[plain] = np.cumsum(sizes) - sizes, sizes
+        starts[~plain], lengths[~plain] = len(ids) + np.cumsum(more_sizes) - more_sizes, more_sizes
+        return gathered(np.concatenate([ids, more]), starts, lengths)[0], lengths
 
     specials = [t.content for t in library.get_added_tokens_decoder().values()]
     return PieceMemo(encode), specials, one_by_one
@@ -148,7 +155,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "segment", "first_in_part", "n_ids", "doc_ids", "ends", "codes"])
 
         for batch in batches:
-            for ids, texts in text_slices(batch):
+            for ids, texts in text_slices(batch, 8 << 20):
                 special = [i for i, t in enumerate(texts) if any(s in t for s in specials)]
                 coded = memo.encode(["" if i in special else t for i, t in enumerate(texts)] if special else texts)
                 for i, x in zip(special, whole([texts[i] for i in special]) if special else []):
@@ -187,7 +194,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 codes, docs, ends = Codes(row["codes"]), np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["ends"], "<i8")
                 starts = np.concatenate([[0], ends[:-1]])
-                ids = [codes.slice(a, b).astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+                data = codes.slice(0, codes.n).astype("<u4").tobytes()  # every document is wanted: one slice
+                ids = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
                 base = row["before_part"] + row["first_in_part"]
                 yield pa.RecordBatch.from_arrays([pa.array([None if d == 2**63 - 1 else d for d in docs], pa.int64()), pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "token_ids"])
 
