@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import ledger, repair, scoring, segmenting
 from ..sources import fixtures as fx
-from . import building_blocks, citation_queries, number_queries
+from . import building_blocks, citation_queries, number_queries, stream_queries
 from .oracles import ORACLES as _OWN
 
-QUERIES = building_blocks.QUERIES | citation_queries.QUERIES | number_queries.QUERIES
-ORACLES = _OWN | building_blocks.ORACLES | citation_queries.ORACLES | number_queries.ORACLES
+QUERIES = building_blocks.QUERIES | citation_queries.QUERIES | number_queries.QUERIES | stream_queries.QUERIES
+ORACLES = _OWN | building_blocks.ORACLES | citation_queries.ORACLES | number_queries.ORACLES | stream_queries.ORACLES
 
 
 def query(f):

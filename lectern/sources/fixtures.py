@@ -84,7 +84,11 @@ def book_labels(spark: SparkSession) -> DataFrame:
 
 def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, seq, ts, status, error."""
-    e = table(spark, sf_dir, "events")
+    return ledger_rows(table(spark, sf_dir, "events"))
+
+
+def ledger_rows(e: DataFrame) -> DataFrame:
+    """The events table, or a stream of it, in the shape of the ledger."""
     kind = F.col("event_type")
     status = F.when(kind.isin("signup", "click"), "pending").when(kind == "view", "in_progress").when(kind == "purchase", "done").otherwise("failed")
     return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"), "ts", status.alias("status"), F.when(status == "failed", F.concat(F.lit("E"), (F.floor("value") % 3).cast("string"))).alias("error"))
