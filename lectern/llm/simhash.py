@@ -24,8 +24,9 @@ DISTANCE = 2
 GROUP = 8
 
 
-def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text: ASCII lower case, white-space words, repeated shingles counted."""
+def shingle_hashes(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text one after the other, and where each text begins: ASCII lower case,
+    white-space words; a shorter text is one shingle, a blank one none."""
     from xxhash import xxh64_intdigest
 
     hashes, starts = [], []
@@ -37,14 +38,23 @@ def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
         else:
             n = words
         hashes += [xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*(w[i:] for i in range(n))))]
-    out = np.zeros(len(texts), np.uint64)
-    if not hashes:
+    return np.array(hashes, np.uint64), np.array(starts, np.int64)
+
+
+def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each text; repeated shingles are counted."""
+    return folded(*shingle_hashes(texts, words))
+
+
+def folded(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The 64 majority bits of each run of hashes; of an empty run 0."""
+    out = np.zeros(len(starts), np.uint64)
+    if not len(hashes):
         return out
-    ends = np.array([*starts[1:], len(hashes)])
-    sizes = ends - np.array(starts)
+    sizes = np.diff(np.append(starts, len(hashes)))
     filled = np.flatnonzero(sizes)
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, np.array(starts)[filled], axis=0, dtype=np.int32)
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, starts[filled], axis=0, dtype=np.int32)
     out[filled] = np.packbits(2 * counts > sizes[filled, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
@@ -62,16 +72,16 @@ def simhash(df: DataFrame) -> DataFrame:
     return whole_texts(df).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_links(reps: DataFrame, group: int = GROUP) -> DataFrame:
+def near_links(reps: DataFrame, group: int = GROUP, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between the `rep` ids of (fp, rep), fp unique: their components are those of all pairs of
-    fingerprints within two bits."""
+    fingerprints within two bits. With `distance` 3 also the pairs at three bits that share a key of few fingerprints."""
     half = lambda s: F.expr(f"shiftrightunsigned(fp, {32 * s}) & 4294967295")
     keys = lambda s: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half(s).bitwiseAND(F.lit(-1).cast("long").bitwiseXOR(F.pow(F.lit(2), i).cast("long"))) + (i.cast("long") + 32 * s) * F.lit(1 << 32))
     indexed = reps.select("fp", "rep", F.explode(F.concat(keys(0), keys(1))).alias("key"))
     shared = indexed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     shared = checkpointed(shared)
     few = shared.where(F.col("n") <= group)
-    pairs = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where("x.fp < y.fp").where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= DISTANCE)
+    pairs = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where("x.fp < y.fp").where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance)
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     many = shared.where(F.col("n") > group).groupBy("fp").agg(F.min("rep").alias("rep"))
     around = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
@@ -99,9 +109,3 @@ def simhash_groups(df: DataFrame) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(df: DataFrame) -> DataFrame:
-    """The rows of `df` whose doc_id is the smallest of its SimHash group, all columns; rows without doc_id stay."""
-    groups = simhash_groups(df).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(groups, F.col("doc_id") == F.col("_gone"), "left_anti")
