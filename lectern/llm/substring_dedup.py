@@ -51,6 +51,20 @@ def _grams(data: np.ndarray):
     return _mixed(g24), kept[32], kept[8]
 
 
+def _all_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 32 and 8 bytes at each position of `data` (32 bytes or more), PART positions at once. The last
+    block may hold 8-byte grams only."""
+    blocks = [_grams(data[a : a + PART + 64]) for a in range(0, len(data) - 31, PART)]
+    g32, g8 = (np.concatenate([g[k][:PART] for g in blocks]) for k in (1, 2))
+    at = len(g8)  # at the end of a whole block up to 24 grams are left
+    if at < len(data) - 7:
+        left = data[at:].astype(np.uint64) + np.uint64(1)
+        for k in range(3):
+            left = left[: -(1 << k)] * np.uint64(_P[k]) + left[1 << k :]
+        g8 = np.concatenate([g8, left])
+    return g32, g8
+
+
 def _first_least(g: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest (by its upper 44 bits) of `width` neighbours from each position, the leftmost among
     equals. Up to 2^20 positions ride in the lower bits, so that one minimum finds both."""
@@ -272,7 +286,7 @@ def answer_contexts(rows):
     first = np.concatenate([np.ascontiguousarray(np.frombuffer(open_(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0] for b in rows.column("first").to_pylist()])
     data = np.frombuffer(b"".join(open_(b) for b in rows.column("bytes").to_pylist()), np.uint8)
     start = np.cumsum(size) - size
-    g32, g8 = (np.concatenate(x) for x in zip(*[(g[1][:PART], g[2][:PART]) for g in (_grams(data[a : a + PART + 64]) for a in range(0, max(1, len(data) - 31), PART))]))
+    g32, g8 = _all_grams(data)
     content = _mixed(g32[start] * np.uint64(3) + _mixed(g32[start + np.minimum(32, size - 32)]) * np.uint64(5) + g32[start + size - 32] * np.uint64(7) + size.astype(np.uint64))
     order = np.lexsort((first, content, anchor))
     fresh = np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)])
