@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-The terms of a text are its white-space words, hashed to DIMENSIONS; the weight of a term with frequency f is 1+ln f.
+The terms of a text are its white-space words, each named by its 64-bit hash; the weight of a term with frequency f is 1+ln f.
 For each of SAMPLES samples a term gets r and c from a Gamma(2, 1) and beta from a uniform distribution, all fixed by
 (term, sample). With t = floor(ln w / r + beta), the sample picks the term with the smallest
 ln c - r (t - beta) - r; two documents pick the same (term, t) with probability sum(min w) / sum(max w), the
@@ -16,40 +16,34 @@ from pyspark.sql import functions as F
 from .common import stored, table, tasks_for
 
 SAMPLES = 64
-DIMENSIONS = 8192
 PLACE = 4  # hexadecimal digits of one sample
 NO_ID = -(2**63)
 
 
-def sample_table(spark: SparkSession, samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> DataFrame:
-    """b, r, c (ln), beta: the draws of every dimension, arrays over the samples. Its size is fixed by the two numbers
-    (24 bytes each: 12.6 MB), so it may be broadcast."""
+def _least(k: int) -> str:
+    """The least value of sample `k` over the rows (h: hash of the term, lw). Each hash gives two uniform draws."""
 
-    def uniform(salt: int) -> str:
-        return f"((pmod(xxhash64(b, k, {salt}), 1099511627776) + 0.5D) / 1099511627776)"
+    def uniform(salt: int, upper: bool) -> str:
+        half = f"shiftrightunsigned(xxhash64(h, {k}, {salt}), 32)" if upper else f"(xxhash64(h, {k}, {salt}) & 4294967295L)"
+        return f"(({half} + 0.5D) / 4294967296)"
 
-    over = f"sequence(0, {samples - 1})"
-    return spark.range(dimensions).selectExpr("cast(id as int) as b").selectExpr(
-        "b",
-        f"transform({over}, k -> -ln({uniform(1)} * {uniform(2)})) as r",
-        f"transform({over}, k -> ln(-ln({uniform(3)} * {uniform(4)}))) as c",
-        f"transform({over}, k -> {uniform(5)}) as beta",
-    )
+    r = f"(-ln({uniform(1, False)} * {uniform(1, True)}))"
+    c = f"ln(-ln({uniform(2, False)} * {uniform(2, True)}))"
+    beta = uniform(3, False)
+    return f"min({c} - {r} * (floor(lw / {r} + {beta}) - {beta} + 1))"
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys, fingerprint of every row of (keys, text); keys[0] must already deal the rows out, then nothing is shuffled.
 
     A text without words has one empty word; null is treated as empty; rows with the same keys must not differ.
     """
-    spark = texts.sparkSession
     words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
-    terms = texts.select(*keys, F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("w")).select(*keys, F.expr(f"cast(pmod(xxhash64(w), {dimensions}) as int)").alias("b"))
-    counted = terms.groupBy(*keys, "b").agg((F.log1p(F.log(F.count("*").cast("double")))).alias("lw"))
-    drawn = counted.join(F.broadcast(sample_table(spark, samples, dimensions)), "b")
-    least = [F.expr(f"min(c[{k}] - r[{k}] * (floor(lw / r[{k}] + beta[{k}]) - beta[{k}] + 1))").alias(f"m{k}") for k in range(samples)]
+    terms = texts.select(*keys, F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    counted = terms.groupBy(*keys, "h").agg((F.log1p(F.log(F.count("*").cast("double")))).alias("lw"))
+    least = [F.expr(_least(k)).alias(f"m{k}") for k in range(samples)]
     places = [F.lpad(F.lower(F.hex(F.expr(f"pmod(xxhash64(round(m{k}, 6), {k}), 65536)"))), PLACE, "0") for k in range(samples)]
-    return drawn.groupBy(*keys).agg(*least).select(*keys, F.concat(*places).alias("fingerprint"))
+    return counted.groupBy(*keys).agg(*least).select(*keys, F.concat(*places).alias("fingerprint"))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> F.Column:
