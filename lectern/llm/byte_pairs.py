@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, whole_texts
-from .pieces import PATTERN, PieceMemo, packed, text_slices
+from .pieces import PATTERN, PieceMemo, arrow_slices, binary_array, gathered
 
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -28,7 +28,11 @@ class BytePairs:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bytes_of = {r: t for t, r in self.rank.items()}
+        tokens = dict(sorted((r, t) for t, r in self.rank.items()))
+        self.text = np.frombuffer(b"".join(tokens.values()), np.uint8)
+        self.text_size = np.zeros(max(tokens) + 1, np.int64)
+        self.text_size[list(tokens)] = list(map(len, tokens.values()))
+        self.text_at = np.cumsum(self.text_size) - self.text_size
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, r in self.rank.items():
@@ -115,20 +119,22 @@ class BytePairs:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             leaves //= 2
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of white-space pieces, each cut by the pattern first."""
-        words, ends = [], []
-        for p in pieces:
-            words += [w.encode("utf-8") for w in PATTERN.findall(p)]
-            ends.append(len(words))
-        ids, out, at = self.encode_words(words), [], 0
-        for end in ends:
-            out.append(ids[at] if end == at + 1 else [i for x in ids[at:end] for i in x])
-            at = end
-        return out
+    def encode_pieces(self, pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of pieces one after the other, and how many each has; the pattern cuts them first."""
+        words, counts = [], []
+        for p in pieces.to_pylist():
+            found = PATTERN.findall(p)
+            words += [w.encode("utf-8") for w in found]
+            counts.append(len(found))
+        ids = self.encode_words(words)
+        of_word = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = np.concatenate([[0], np.cumsum(of_word)])
+        ends = np.cumsum(counts)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(total[-1])), total[ends] - total[ends - np.array(counts, np.int64)]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids one after the other, and where each id's begin (and the end)."""
+        return gathered(self.text, self.text_at[ids], self.text_size[ids])
 
 
 _codecs: dict[str, tuple[BytePairs, PieceMemo]] = {}
@@ -137,7 +143,7 @@ _codecs: dict[str, tuple[BytePairs, PieceMemo]] = {}
 def _codec(path: str) -> tuple[BytePairs, PieceMemo]:
     if path not in _codecs:
         codec = BytePairs(path)
-        _codecs[path] = codec, PieceMemo(lambda pieces: packed(codec.encode_pieces(pieces)))
+        _codecs[path] = codec, PieceMemo(codec.encode_pieces)
     return _codecs[path]
 
 
@@ -154,9 +160,10 @@ def byte_pair_round_trip(df: DataFrame, ranks: str | None = None) -> DataFrame:
 
         codec, memo = _codec(ranks)
         for batch in batches:
-            for ids, texts in text_slices(batch, 8 << 20):
-                coded = memo.encode(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in coded], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary()), pa.array([codec.decode(x) for x in coded], pa.binary())], ["doc_id", "n_tokens", "token_ids", "decoded"])
+            for docs, texts in arrow_slices(batch, 2 << 20):
+                ids, ends = memo.encode(texts)
+                text, at = codec.decode(ids)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(ends), pa.int64()), binary_array(ids.astype("<u4").view(np.uint8), 4 * ends).cast(pa.binary()), binary_array(text, at[ends]).cast(pa.binary())], ["doc_id", "n_tokens", "token_ids", "decoded"])
 
     return whole_texts(df).mapInArrow(run, "doc_id long, n_tokens long, token_ids binary, decoded binary")
 

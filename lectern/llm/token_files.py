@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, table, tasks_for, whole_texts
-from .pieces import PieceMemo, gathered, packed, text_slices
+from .pieces import PieceMemo, arrow_slices, binary_array, gathered
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS, SLICE_BYTES = 1 << 19, 2 << 20
 BLOCK = 512
+#: Parts summed together, and most parts (16 bytes each) whose totals are sent to every executor.
+GROUP, BROADCAST_PARTS = 1024, 500_000
 MAGIC = b"DAC1"
-SCHEMA = "part int, segment int, first_in_part long, n_ids long, doc_ids binary, ends binary, codes binary"
+SCHEMA = "part int, segment int, first_in_part long, n_ids long, doc_ids array<long>, ends binary, codes binary"
 
 
 def pack_codes(ids: np.ndarray) -> bytes:
@@ -71,64 +73,103 @@ class Codes:
             i = int(ranks[i // BLOCK]) + int(np.unpackbits(bits[start >> 3 : (i >> 3) + 1], bitorder="little")[: i - start].sum())
         return value
 
-    def slice(self, start: int, stop: int) -> np.ndarray:
-        """Ids of positions start .. stop-1: on each level the ones that go on are neighbours too."""
-        out, where = np.zeros(stop - start, np.uint32), np.arange(stop - start)
-        for k, (chunk, bits, ranks) in enumerate(self.levels):
-            if stop <= start:
+    def _rank(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones of the level's bitmap before each position: the directory, and at most a block of bits after it."""
+        _, bits, ranks = self.levels[level]
+        if not len(bits):
+            return np.zeros(len(at), np.int64)
+        block = np.minimum(at // BLOCK, len(ranks) - 1)
+        left = at - block * BLOCK
+        byte = np.arange(BLOCK // 8)
+        own = np.append(bits, np.zeros(1, np.uint8))[np.minimum(block[:, None] * (BLOCK // 8) + byte, len(bits))]
+        keep = np.clip(left[:, None] - 8 * byte, 0, 8)
+        return ranks[block].astype(np.int64) + np.bitwise_count(own & ((1 << keep) - 1).astype(np.uint8)).sum(axis=1, dtype=np.int64)
+
+    def slices(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Ids of the ranges start .. stop-1 one after the other. On each level the ones of a range that go on are
+        neighbours too, from the rank of its start."""
+        sizes = stops - starts
+        of = np.repeat(np.arange(len(starts)), sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        out, where = np.zeros(len(at), np.uint32), np.arange(len(at))
+        for k, (chunk, bits, _) in enumerate(self.levels):
+            if not len(at):
                 break
-            out[where] |= chunk[start:stop].astype(np.uint32) << np.uint32(8 * k)
-            block = start // BLOCK * BLOCK
-            more = np.unpackbits(bits[block >> 3 : -(-stop // 8)], bitorder="little")
-            before = int(more[: start - block].sum())
-            more = more[start - block : stop - block].astype(bool)
-            first = int(ranks[start // BLOCK]) + before
-            where = where[more]
-            start, stop = first, first + int(more.sum())
+            out[where] |= chunk[at].astype(np.uint32) << np.uint32(8 * k)
+            more = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            starts, where, of = self._rank(k, starts), where[more], of[more]
+            count = np.bincount(of, minlength=len(starts))
+            at = np.arange(len(of)) - (np.cumsum(count) - count)[of] + starts[of]
         return out
 
 
+#: A piece without white space but a space before it (what else there may be goes to the library alone).
+PLAIN = r"^ ?[^\x00-\x20\x7f-\x{a0}\p{Z}\x{180e}\x{feff}]+$"
+JOINED = 256
+
+
 def _library_encoder(path: str):
-    """Ids of pieces by the tokenizers library. Pieces are joined by newlines, which the pattern sets apart, and cut
-    again at the newline's id; pieces with white space of their own, or in case of doubt all, go one by one."""
+    """Ids of pieces by the tokenizers library. Plain pieces are joined by newlines, which the pattern sets apart, and
+    cut again at the newline's id; other pieces, or in case of doubt all, go one by one."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     newline = library.encode("\n", add_special_tokens=False).ids
 
-    def one_by_one(texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    def one_by_one(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
-    def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def joined(pieces) -> tuple[np.ndarray, np.ndarray] | None:
+        groups = pa.LargeListArray.from_arrays(np.append(np.arange(0, len(pieces), JOINED), len(pieces)), pieces)
         ids: list[int] = []
-        for x in one_by_one(["\n".join(texts[k : k + 64]) for k in range(0, len(texts), 64)]):
-            ids += x
+        for x in library.encode_batch_fast(pc.binary_join(groups, pa.scalar("\n", pa.large_string())).to_pylist(), add_special_tokens=False):
+            ids += x.ids
             ids += newline
         flat = np.array(ids, np.uint32)
         cuts = np.flatnonzero(flat == newline[0])
-        if len(newline) > 1 or len(cuts) != len(texts):
+        if len(newline) > 1 or len(cuts) != len(pieces):
             return None
         return np.delete(flat, cuts), np.diff(cuts, prepend=-1) - 1
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((t[1:].isalpha() and t[0] == " " or t.split() == [t.removeprefix(" ")] for t in texts), bool, len(texts))
-        found = joined([t for t, p in zip(texts, plain) if p]) if plain.any() else None
+    def encode(pieces) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        found = joined(pieces.filter(plain)) if pc.any(plain).as_py() else None
         if found is None:
-            return packed(one_by_one(texts))
-        (ids, sizes), (more, more_sizes) = found, packed(one_by_one([t for t, p in zip(texts, plain) if not p]))
-        starts, lengths = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        starts[plain], lengths[plain] = np.cumsum(sizes) - sizes, sizes
-        starts[~plain], lengths[~plain] = len(ids) + np.cumsum(more_sizes) - more_sizes, more_sizes
+            return one_by_one(pieces.to_pylist())
+        (ids, sizes), (more, more_sizes) = found, one_by_one(pieces.filter(pc.invert(plain)).to_pylist())
+        of = plain.to_numpy(zero_copy_only=False)
+        starts, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[of], lengths[of] = np.cumsum(sizes) - sizes, sizes
+        starts[~of], lengths[~of] = len(ids) + np.cumsum(more_sizes) - more_sizes, more_sizes
         return gathered(np.concatenate([ids, more]), starts, lengths)[0], lengths
 
-    specials = [t.content for t in library.get_added_tokens_decoder().values()]
-    return PieceMemo(encode), specials, one_by_one
+    memo, specials = PieceMemo(encode), [t.content for t in library.get_added_tokens_decoder().values()]
+
+    def encoder(texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts, and where each text's begin (and the end). Texts that hold the string of a
+        special token go to the library whole."""
+        held = np.zeros(len(texts), bool)
+        for s in specials:
+            held |= pc.match_substring(texts, s).fill_null(False).to_numpy(zero_copy_only=False)
+        ids, ends = memo.encode(texts)
+        if not held.any():
+            return ids, ends
+        own, sizes = one_by_one(texts.filter(pa.array(held)).to_pylist())
+        starts, lengths = ends[:-1].copy(), np.diff(ends)
+        starts[held], lengths[held] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        return gathered(np.concatenate([ids, own]), starts, lengths)
+
+    return encoder
 
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, object] = {}
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, tasks: int | None = None) -> None:
@@ -145,30 +186,27 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str | None = None,
 
         if tokenizer not in _encoders:
             _encoders[tokenizer] = _library_encoder(tokenizer)
-        memo, specials, whole = _encoders[tokenizer]
-        part, number, first, held, docs, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        encode = _encoders[tokenizer]
+        part, number, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def segment():
-            ends = np.cumsum([len(x) for x in held]).astype("<i8")
-            row = [[part], [number], [first], [size], [np.array([2**63 - 1 if d is None else d for d in docs], "<i8").tobytes()], [ends.tobytes()], [pack_codes(np.concatenate(held))]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "segment", "first_in_part", "n_ids", "doc_ids", "ends", "codes"])
+            docs, ids, ends = zip(*held)
+            before, docs = np.cumsum([0, *map(len, ids)]), pa.concat_arrays(docs)
+            ends = np.concatenate([x[1:] + b for x, b in zip(ends, before)]).astype("<i8")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.ListArray.from_arrays([0, len(docs)], docs), pa.array([ends.tobytes()], pa.binary()), pa.array([pack_codes(np.concatenate(ids))], pa.binary())], ["part", "segment", "first_in_part", "n_ids", "doc_ids", "ends", "codes"])
 
         for batch in batches:
-            for ids, texts in text_slices(batch, 8 << 20):
-                special = [i for i, t in enumerate(texts) if any(s in t for s in specials)]
-                coded = memo.encode(["" if i in special else t for i, t in enumerate(texts)] if special else texts)
-                for i, x in zip(special, whole([texts[i] for i in special]) if special else []):
-                    coded[i] = np.array(x, np.uint32)
-                for d, x in zip(ids, coded):
-                    x = x if end_id is None else np.append(x, np.uint32(end_id))
-                    held.append(x)
-                    docs.append(d)
-                    size += len(x)
-                    if size >= SEGMENT_IDS:
-                        yield segment()
-                        first, number, held, docs, size = first + size, number + 1, [], [], 0
-        if docs:
+            for docs, texts in arrow_slices(batch, SLICE_BYTES):
+                ids, ends = encode(texts)
+                if end_id is not None:
+                    ids = np.insert(ids, ends[1:], np.uint32(end_id))
+                    ends = ends + np.arange(len(ends))
+                held.append((docs, ids, ends))
+                size += len(ids)
+                if size >= SEGMENT_IDS:
+                    yield segment()
+                    first, number, held, size = first + size, number + 1, [], 0
+        if held:
             yield segment()
 
     texts = whole_texts(df)
@@ -179,27 +217,34 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str | None = None,
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, token_ids (binary, little-endian unsigned 32-bit).
 
-    Only the totals of the parts (a row for each range task) are summed in one place.
+    The totals of the parts are summed by groups of GROUP parts, then over the groups. They are sent to every executor
+    up to BROADCAST_PARTS of them, beyond that joined.
     """
     from pyspark.sql import Window
 
     segments = spark.read.schema(SCHEMA).parquet(folder)
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = totals.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_part"))
+    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("group", F.expr(f"part div {GROUP}"))
+    up = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.groupBy("group").agg(F.sum("ids").alias("ids"))
+    groups = groups.select("group", F.coalesce(F.sum("ids").over(up.orderBy("group")), F.lit(0)).alias("before_group"))
+    inside = F.coalesce(F.sum("ids").over(up.partitionBy("group").orderBy("part")), F.lit(0))
+    before = totals.withColumn("inside", inside).join(groups, "group").select("part", (F.col("inside") + F.col("before_group")).alias("before_part"))
+    last = segments.agg(F.max("part")).first()[0]
+    before = F.broadcast(before) if (last or 0) < BROADCAST_PARTS else before
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                codes, docs, ends = Codes(row["codes"]), np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["ends"], "<i8")
+            for i in range(batch.num_rows):
+                codes, docs = Codes(batch.column("codes")[i].as_buffer().to_pybytes()), batch.column("doc_ids")[i].values
+                ends = np.frombuffer(batch.column("ends")[i].as_buffer(), "<i8")
                 starts = np.concatenate([[0], ends[:-1]])
-                data = codes.slice(0, codes.n).astype("<u4").tobytes()  # every document is wanted: one slice
-                ids = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                base = row["before_part"] + row["first_in_part"]
-                yield pa.RecordBatch.from_arrays([pa.array([None if d == 2**63 - 1 else d for d in docs], pa.int64()), pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "token_ids"])
+                ids = codes.slices(starts, ends).astype("<u4")
+                base = batch.column("before_part")[i].as_py() + batch.column("first_in_part")[i].as_py()
+                yield pa.RecordBatch.from_arrays([docs, pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), binary_array(ids.view(np.uint8), np.append(0, 4 * ends)).cast(pa.binary())], ["doc_id", "start", "n_tokens", "token_ids"])
 
-    placed = segments.join(F.broadcast(before), "part").select("before_part", "first_in_part", "doc_ids", "ends", "codes")
+    placed = segments.join(before, "part").select("before_part", "first_in_part", "doc_ids", "ends", "codes")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
 
 
