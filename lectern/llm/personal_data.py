@@ -68,20 +68,52 @@ FOR = {
 AGAINST = r"(?i)(?:version|section|chapter|page|figure|table|isbn|\bv|§|\$|€|£|#)\s*$"
 
 
+BLOCK = 128  # elements that a scan appends one by one before it joins them to the rest
+
+
+def _scanned(items: Column, state: Column, step, emit, kind: str) -> Column:
+    """The array of emit(state, x) over `items` in order, where step(state, x) is the next state; `kind` is the type of
+    the elements. An append copies its array, so elements are gathered in blocks first."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    one = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["out"], emit(acc["at"], x)).alias("out"))
+
+    def many(acc, block):
+        start = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(block, start, one, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], a["out"]).alias("out")))
+
+    def walked(every):
+        blocks = F.transform(F.sequence(F.lit(0), F.size(every) - 1, F.lit(BLOCK)), lambda k: F.slice(every, k + 1, F.lit(BLOCK)))
+        return F.when(F.size(every) > 0, F.aggregate(blocks, F.struct(state.alias("at"), none.alias("out")), many, lambda a: a["out"])).otherwise(none)
+
+    return _bound(items, walked)
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value computed once for all its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+MATCH = "start int, stop int, s string, before string, after string"
+
+
 def _matches(text: str, pattern: str) -> Column:
-    """Matches of a pattern as an array of (start, stop, s), in code points."""
-    p = F.lit(pattern)
-    found, between = F.regexp_extract_all(F.col(text), p, F.lit(0)), F.split(F.col(text), pattern, -1)
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,s:string>>)")
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("s"))
+    """Matches of a pattern as an array of (start, stop, s, before, after), in code points; before: up to AROUND
+    characters of what stands between the match and the one before it, and of that one."""
+    p, kind = F.lit(pattern), f"struct<{MATCH.replace(' ', ':').replace(',:', ',')}>"
+    ends = lambda at, x: at + F.length(x["gap"]) + F.length(x["s"])
+
+    def emit(at, x):
+        before, after = F.right(F.concat(x["last"], x["gap"]), F.lit(AROUND)), F.left(F.concat(x["behind"], x["next"]), F.lit(1))
+        return F.struct((at + F.length(x["gap"])).alias("start"), ends(at, x).alias("stop"), x["s"].alias("s"), before.alias("before"), after.alias("after"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["s"])
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), x["s"].alias("s"))).alias("out"))
+    def walked(x):
+        found, between, n, blank = x["found"], x["between"], F.size(x["found"]), F.array(F.lit(""))
+        last, following = F.concat(blank, F.slice(found, 1, n - 1)), F.concat(F.slice(found, 2, n), blank)
+        zipped = F.arrays_zip(F.slice(between, 1, n).alias("gap"), found.alias("s"), last.alias("last"), F.slice(between, 2, n).alias("behind"), following.alias("next"))
+        return _scanned(zipped, F.lit(0), ends, emit, kind)
 
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(F.col(text), p), walked).otherwise(none)
+    both = F.struct(F.regexp_extract_all(F.col(text), p, F.lit(0)).alias("found"), F.split(F.col(text), pattern, -1).alias("between"))
+    return F.when(F.regexp_like(F.col(text), p), _bound(both, walked)).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -114,11 +146,27 @@ def candidates(df: DataFrame) -> DataFrame:
         "secret": F.col("_secret"),
         "name": F.col("_name"),
     }
-    none = F.expr("cast(array() as array<struct<kind:int,start:int,stop:int,s:string>>)")
-    tagged = lambda k: F.coalesce(F.transform(kinds[k], lambda x: F.struct(F.lit(numbers[k]).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["s"].alias("s"))), none)
+    span = f"struct<kind:int,{MATCH.replace(' ', ':').replace(',:', ',')}>"
+    none = F.expr(f"cast(array() as array<{span}>)")
+    tagged = lambda k: F.coalesce(F.transform(kinds[k], lambda x: F.struct(F.lit(numbers[k]).alias("kind"), *[x[c].alias(c) for c in ("start", "stop", "s", "before", "after")])), none)
     df = df.withColumn("_base", F.concat(*[tagged(k) for k in BASE])).withColumn("_more", F.concat(*[tagged(k) for k in ADDED]))
-    clear = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return df.withColumn("_more", clear).drop("_email", "_ip", "_digits", "_phone", "_secret", "_name")
+    ahead, back, free = _clear(span)
+    both = (F.size("_more") > 0) & (F.size("_base") > 0)
+    df = df.withColumn("_walk", F.when(both, ahead)).withColumn("_walk", F.when(both, back)).withColumn("_more", F.when(both, free).otherwise(F.col("_more")))
+    return df.drop("_email", "_ip", "_digits", "_phone", "_secret", "_name", "_walk")
+
+
+def _clear(span: str) -> tuple[Column, Column, Column]:
+    """The spans of `_more` that overlap none of `_base`, in three steps over `_walk`: a walk in order of the starts that
+    knows how far base spans reached so far, one back that knows where the next one begins, and what neither hit."""
+    base = len(BASE)
+    every = F.transform(F.concat("_base", "_more"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x.alias("x"), F.lit(False).alias("hit")))
+    kind = f"struct<start:int,kind:int,x:{span},hit:boolean>"
+    marked = lambda y, hit: F.struct(y["start"].alias("start"), y["kind"].alias("kind"), y["x"].alias("x"), (y["hit"] | hit).alias("hit"))
+    ahead = _scanned(F.array_sort(every), F.lit(-1), lambda at, y: F.when(y["kind"] < base, F.greatest(at, y["x"]["stop"])).otherwise(at), lambda at, y: marked(y, at > y["start"]), kind)
+    back = _scanned(F.reverse(F.col("_walk")), F.lit(2**31 - 1), lambda at, y: F.when(y["kind"] < base, y["start"]).otherwise(at), lambda at, y: marked(y, at < y["x"]["stop"]), kind)
+    free = F.transform(F.filter("_walk", lambda y: (y["kind"] >= base) & ~y["hit"]), lambda y: y["x"])
+    return ahead, back, F.array_sort(free)
 
 
 def _by_kind(x: Column, patterns: dict[str, str], on: Column) -> Column:
@@ -131,8 +179,7 @@ def _by_kind(x: Column, patterns: dict[str, str], on: Column) -> Column:
 
 def signs(x: Column) -> Column:
     """The votes (1, 0, -1 abstains) and shape of a span, as one small number in base 3 digits and a length class."""
-    before = F.substring(F.col("_text"), F.greatest(x["start"] - AROUND, F.lit(0)) + 1, x["start"] - F.greatest(x["start"] - AROUND, F.lit(0)))
-    edges = F.concat(F.right(before, F.lit(1)), F.lit("|"), F.substring(F.col("_text"), x["stop"] + 1, F.lit(1)))
+    before, edges = x["before"], F.concat(F.right(x["before"], F.lit(1)), F.lit("|"), x["after"])
     vote = lambda yes, no: F.when(yes, 1).when(no, 0).otherwise(-1)
     strict = _by_kind(x, STRICT, x["s"])
     known = _by_kind(x, GAZETTEER, x["s"])
@@ -244,15 +291,20 @@ def masked(df: DataFrame) -> DataFrame:
     found = personal_spans(df)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     spans = F.array_sort(F.transform(F.concat("_base", "_added"), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, x):
-        over = x["start"] < acc["at"]
-        piece = F.concat(F.substring(F.col("_text"), acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(over, acc["out"]).otherwise(F.array_append(acc["out"], piece)).alias("out"))
-
-    text = F.aggregate(spans, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    changed = found.withColumn("text", F.when(F.col("text").isNull() | (F.size(spans) == 0), F.col("text").cast("string")).otherwise(text))
+    # what is kept before each span: from the furthest end so far to its start (null where it begins before that end)
+    reach = lambda at, x: F.greatest(at, x["stop"])
+    parts = _scanned(spans, F.lit(0), reach, lambda at, x: F.struct(at.alias("from"), x["start"].alias("to"), x["kind"].alias("kind")), "struct<from:int,to:int,kind:int>")
+    found = found.withColumn("_parts", F.filter(parts, lambda x: x["from"] <= x["to"])).withColumn("_end", F.array_max(F.transform(spans, lambda x: x["stop"])))
+    # a substring counts from the beginning of its string, so each block of spans has its own
+    blocks = F.transform(F.sequence(F.lit(0), F.size("_parts") - 1, F.lit(BLOCK)), lambda k: F.slice("_parts", k + 1, F.lit(BLOCK)))
+
+    def rendered(block):
+        low, high = F.element_at(block, 1)["from"], F.element_at(block, -1)["to"]
+        own = F.struct(F.substring(F.col("_text"), low + 1, high - low).alias("text"), low.alias("low"), block.alias("block"))
+        return F.array_join(F.flatten(F.transform(F.array(own), lambda o: F.transform(o["block"], lambda x: F.concat(F.substring(o["text"], x["from"] - o["low"] + 1, x["to"] - x["from"]), F.element_at(names, x["kind"] + 1))))), "")
+
+    text = F.concat(F.array_join(F.transform(blocks, rendered), ""), F.substring(F.col("_text"), F.col("_end") + 1, F.length("_text")))
+    changed = found.withColumn("text", F.when(F.col("text").isNull() | F.col("_end").isNull(), F.col("text").cast("string")).otherwise(text))
     if "n_chars" in df.columns:
         changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast(df.schema["n_chars"].dataType), F.col("n_chars")))
     return changed.select(*[f"`{c}`" for c in df.columns])

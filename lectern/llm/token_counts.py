@@ -12,7 +12,9 @@ gives the count of the text.
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import deque
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ TOKEN_LIMIT = 4096
 CHUNK = 1 << 15
 MAX_STATES = 1_000_000
 MAX_WORDS = 800_000
+LONG_WORD = 64  # longer words are neither compiled into states nor remembered
 _UNITS = re.compile(r" *[^ ]+| +")
 
 
@@ -66,6 +69,32 @@ class Transducer:
             steps.append((parts[i], parts[i + 1]))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The same parts in n log n steps: pairs wait by score and place, and vanished neighbours are passed over."""
+        n, score = len(text), self.score
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
+        end.append(n + 1)
+        heap = [(-score[text[i : i + 2]], i, i + 2) for i in range(n - 1) if text[i : i + 2] in score]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if middle >= stop or middle < 0 or end[middle] != stop:  # one of the two has changed
+                continue
+            end[i], end[middle] = stop, -1
+            if stop < n:
+                before[stop] = i
+                if text[i : end[stop]] in score:
+                    heapq.heappush(heap, (-score[text[i : end[stop]]], i, end[stop]))
+            left = before[i]
+            if left >= 0 and text[left:stop] in score:
+                heapq.heappush(heap, (-score[text[left:stop]], left, stop))
+        parts, at = [], 0
+        while at < n:
+            parts.append(text[at : end[at]])
+            at = end[at]
+        return parts
+
     def compatible(self, a: str, b: str) -> bool:
         """Whether a, b stay apart: the later-made of the two is undone until no merge across the border comes first."""
         rank, halves = self.rank, self.halves
@@ -99,10 +128,29 @@ class Transducer:
                 return len(self.count) - 1
         raise AssertionError(f"no compatible last token in {word[:end]!r}")
 
+    def _long(self, word: str) -> int:
+        """The same walk without keeping states: a transition looks back at most the longest piece."""
+        counts, lasts = deque([0], self.longest), deque([""], self.longest)
+        for end in range(1, len(word) + 1):
+            for size in range(len(counts), 0, -1):
+                piece = word[end - size : end]
+                known = piece in self.rank
+                if not known and size > 1:
+                    continue
+                if end == size or self.compatible(lasts[-size], piece):
+                    break
+            else:
+                raise AssertionError(f"no compatible last token at {end}")
+            counts.append(counts[-size] + (1 if known else len(piece.encode("utf-8"))))
+            lasts.append(piece)
+        return counts[-1]
+
     def word(self, word: str) -> int:
         """Tokens of one unit: spaces, already written as the space mark, then characters that are not spaces."""
-        if SPACE in word[1:]:  # runs of the space mark have pieces of equal score; merged as they stand
-            return sum(1 if p in self.score else len(p.encode("utf-8")) for p in self.merged(word))
+        if SPACE in word[1:]:  # runs of the space mark have pieces of equal score, so no merge hides another
+            return sum(1 if p in self.score else len(p.encode("utf-8")) for p in self.merged_by_heap(word))
+        if len(word) > LONG_WORD:
+            return self._long(word)
         if len(self.count) > MAX_STATES:
             self._clear()
         state, states, follow = 0, [0], self.next
@@ -124,13 +172,17 @@ class _Words(dict):
         self.machine, self.raw = machine, {}
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.machine.word(SPACE + word.replace(" ", SPACE))
+        n = self.machine.word(SPACE + word.replace(" ", SPACE))
+        if len(word) <= LONG_WORD:
+            self[word] = n
         return n
 
     def unit(self, unit: str) -> int:
         n = self.raw.get(unit)
         if n is None:
-            n = self.raw[unit] = self.machine.word(unit.replace(" ", SPACE))
+            n = self.machine.word(unit.replace(" ", SPACE))
+            if len(unit) <= LONG_WORD:
+                self.raw[unit] = n
         return n
 
 

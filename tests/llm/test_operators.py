@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_personal_data import base
 
 from lectern.llm import byte_pairs, decontaminate, main_text, personal_data, quality, simhash, substring_dedup, suffix_arrays, token_counts, token_files, weighted_samples
 
@@ -212,7 +213,7 @@ def test_personal_data(spark, empty):
     d = spark.createDataFrame([(1, "mail a.b@c.org_d@e.fr or +1 (017) 555-7713, 10.0.0.256 1.2.3.4.5.6.7.8"), (2, "card 4111 1111 1111 1111 and 4111111111111112"), (3, None), (4, ""), (5, "𝔘 x@y.de " + "9 " * 4000), (5, "𝔘 x@y.de"), (6, "a" * 50000 + "@")], "doc_id long, text string")
     rows = {r.doc_id: r for r in personal_data.personal_spans(d).where("doc_id <> 5").collect()}
     kinds = lambda r: [(personal_data.KINDS[x.kind], x.start, x.stop) for x in r["_base"]]
-    assert kinds(rows[1]) == [("email", 5, 14), ("email", 14, 20), ("ip", 57, 64), ("ip", 65, 72), ("phone", 24, 42)] or [k for k, *_ in kinds(rows[1])] == ["email", "email", "ip", "ip", "phone"]
+    assert kinds(rows[1]) == base("mail a.b@c.org_d@e.fr or +1 (017) 555-7713, 10.0.0.256 1.2.3.4.5.6.7.8")
     assert kinds(rows[2]) == [("card", 5, 24)]
     assert kinds(rows[3]) == kinds(rows[4]) == kinds(rows[6]) == []
     out = {r.doc_id: r.text for r in personal_data.masked(d).where("doc_id < 5").collect()}
