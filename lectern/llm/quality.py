@@ -8,16 +8,15 @@ learned together from document labels, on a bounded sample of labelled rows; the
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole_texts
+from .common import stored, table, whole_texts
 from .pieces import text_slices
 
 PASSAGE = 512
-#: Most labelled documents that the fit uses, and most passages of each (evenly spaced); bounds of the fit alone.
-FIT_DOCUMENTS = 4000
-FIT_PASSAGES = 64
+#: Bounds of the fit alone: most labelled documents, and most bytes of them all (a document counts whole or not at all).
+FIT_DOCUMENTS, FIT_BYTES = 4000, 32 << 20
 FOLDS = 5
 CUT = 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 400, 0.03, 1e-4
@@ -26,12 +25,13 @@ _CLASS = np.zeros(256, np.uint8)
 for _k, _set in enumerate((range(65, 91), range(97, 123), range(128, 256), range(48, 58), b" ", b"\n\r\t", b"|", b"!?", b"%$*#&@^~=+<>{}[]\\/_", b".,;:'\"()-"), 1):
     for _b in _set:
         _CLASS[_b] = _k
-MEASURES = 10 + 7
+COUNTED, GRAMS = 10 + 7, 64  # measures of a passage: counted by hand, and hashed byte trigrams
+MEASURES = COUNTED + GRAMS
 
 
 def passages(text: str) -> np.ndarray:
     """Measures of every passage of a text, one row each (one row for an empty text): shares of byte classes, word
-    variety and repetition, word length, size."""
+    variety and repetition, word length, size; and root shares of its byte trigrams by hash, whose weights are learned."""
     data = text.encode("utf-8")
     n = max(1, (len(data) + PASSAGE // 2) // PASSAGE)
     cuts = [i * PASSAGE for i in range(n)] + [len(data)]
@@ -53,6 +53,12 @@ def passages(text: str) -> np.ndarray:
             out[i, 14] = sum(map(len, set(w))) / (b - a)
         out[i, 15] = np.log1p(b - a) / 10
     out[:, 16] = np.log1p(len(data)) / 20
+    if len(data) >= 3:
+        b = np.frombuffer(data, np.uint8).astype(np.uint32)
+        gram = (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int64)
+        of = np.minimum(np.arange(len(gram)) // PASSAGE, n - 1)
+        counts = np.bincount(of * GRAMS + gram, minlength=n * GRAMS).reshape(n, GRAMS)
+        out[:, COUNTED:] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
     return out
 
 
@@ -86,9 +92,10 @@ class AttentionModel:
         """Full-batch Adam on the mean log loss; the same input gives the same weights."""
         sizes = np.array([len(x) for x in bags])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        x = np.concatenate(bags).astype(np.float64)
+        x = np.concatenate(bags)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-3
-        x = (x - self.mean) / self.std
+        x = ((x - self.mean) / self.std).astype(np.float32)
+        self.p = {k: w.astype(np.float32) for k, w in self.p.items()}
         m, v = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         for step in range(1, STEPS + 1):
             p = self.p
@@ -109,28 +116,30 @@ class AttentionModel:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> AttentionModel:
     """The model learned from at most `most` labelled rows (those with the smallest hash of their doc_id) outside the
-    held-out fold. Rows with a null or other label, or without a document, teach nothing; of several labels of a
-    document the largest counts. Without both classes every score is the share of label 1 (0.5 without labels)."""
+    held-out fold, as far as FIT_BYTES go, each with all its passages. Rows with a null or other label, or without a
+    document, teach nothing; of several labels of a document the largest counts, of several texts the first in order.
+    Without both classes every score is the share of label 1 (0.5 without labels)."""
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("quality").cast("double").alias("_label"))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("_label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            label = batch.column("_label").to_pylist()
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                x = passages(text)
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), FIT_PASSAGES)).astype(int))]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()], pa.int64()), pa.array([label[i]], pa.float64()), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["doc_id", "label", "x"])
-
-    rows = whole_texts(df).join(F.broadcast(sample), "doc_id").select("doc_id", "_label", "text").mapInArrow(run, "doc_id long, label double, x binary").collect()
+            for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_label", "text"))):
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([label], pa.float64()), pa.array([passages(text).astype("<f4").tobytes()], pa.binary())], ["doc_id", "label", "x"])
+
+    held = whole_texts(df).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("_label").alias("_label"), F.min("text").alias("text"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` sizes
+    within = stored(held, "labelled").withColumn("_size", F.octet_length("text"))
+    chosen = within.select("doc_id", F.sum("_size").over(so_far).alias("_sum")).where(F.col("_sum") <= FIT_BYTES).select("doc_id")
+    rows = within.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text").mapInArrow(run, "doc_id long, label double, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     bags, y = [np.frombuffer(r.x, "<f4").reshape(-1, MEASURES) for r in rows], np.array([r.label for r in rows])
     model = AttentionModel()
