@@ -12,7 +12,9 @@ windows have equal anchors; neighbouring windows with one anchor form a context
 4. Chunks mark the covered bytes and cut them out.
 
 A chunk sends an anchor or a context once however many of its documents repeat it, so a passage in a third of all
-documents costs a shard one record for each chunk.
+documents costs a shard one record for each chunk. At the passage's edges every document has a context of its own under
+the same anchor. An anchor with more than HOT contexts is therefore split: its windows are dealt to the shards by their
+own 64-bit hash, each once for a chunk with its smallest document, and a shard takes the minimum of each.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored_bytes, table, tasks_for, whole_texts
+from .pieces import binary_array
 from .suffix_arrays import permuted_prefixes, suffix_array
 
 SPAN = 50
@@ -29,6 +32,7 @@ GRAM = 24
 PART = 1 << 20  # bytes hashed at once
 CHUNK_BYTES = 4 << 20  # stored bytes of a chunk
 SHARD_BYTES = 4 << 20  # stored input bytes for each shard
+HOT = 256  # contexts of one anchor, summed over the chunks
 LAST = 2**63 - 1
 _P = [pow(0x9E3779B97F4A7C15, 2**k, 1 << 64) for k in range(6)]
 LOW40 = np.uint64((1 << 40) - 1)
@@ -102,23 +106,19 @@ class Chunk:
         self.data = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[start : start + int(self.sizes.sum())]
         self.ends = np.cumsum(self.sizes)
         self.rank = np.unique(self.ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
-        parts, lo, n = [], 0, len(self.ids)
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(self.ends, (self.ends[lo - 1] if lo else 0) + PART, "right")))
-            parts.append(self._runs(lo, hi))
-            lo = hi
+        parts = [self._runs(base) for base in range(0, max(0, len(self.data) - SPAN + 1), PART)]
         joined = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
         self.start, self.windows, self.anchor, self.content, self.offset, self.doc = joined
 
-    def _runs(self, lo: int, hi: int):
-        base = int(self.ends[lo - 1]) if lo else 0
-        data, ends = self.data[base : int(self.ends[hi - 1])], self.ends[lo:hi] - base
+    def _runs(self, base: int):
+        """Runs of the windows that begin in the part from `base`; long documents go over several parts."""
+        data = self.data[base : base + PART + SPAN - 1]
         none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
-        if len(data) < SPAN:
-            return none
         g24, g32, _ = _grams(data)
         least = _first_least(g24, SPAN - GRAM + 1)[: len(data) - SPAN + 1]
-        end_of = np.repeat(ends, self.sizes[lo:hi])[: len(least)]
+        lo, hi = np.searchsorted(self.ends, [base, base + len(least)], "right")
+        ends = self.ends[lo : hi + 1] - base
+        end_of = np.repeat(ends, np.diff(np.minimum(ends, len(least)), prepend=0))
         valid = np.arange(SPAN, SPAN + len(least)) <= end_of
         fresh = np.concatenate([[True], (least[1:] != least[:-1]) | ~valid[:-1]])
         start = np.flatnonzero(valid & fresh)
@@ -126,23 +126,23 @@ class Chunk:
             return none
         last = np.flatnonzero(valid & np.concatenate([fresh[1:] | ~valid[1:], [True]]))
         size = last - start + SPAN
-        content = _mixed(g32[start] * np.uint64(3) + _mixed(g32[start + np.minimum(32, size - 32)]) * np.uint64(5) + g32[start + size - 32] * np.uint64(7) + size.astype(np.uint64))
-        return start + base, last - start + 1, g24[least[start]], content, least[start] - start, lo + np.searchsorted(ends, start, "right")
+        return start + base, last - start + 1, g24[least[start]], _contents(g32, start, size), least[start] - start, lo + np.searchsorted(ends, start, "right")
 
-    def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Anchors, and whether more than one document of the chunk has them."""
+    def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, whether more than one document of the chunk has them, and how many runs have."""
         if not len(self.anchor):
-            return self.anchor, np.zeros(0, bool)
+            return self.anchor, np.zeros(0, bool), np.zeros(0, np.int64)
         order = np.argsort(self.anchor, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(self.anchor[order]) != 0]))
         rank = self.rank[self.doc[order]]
-        return self.anchor[order][first], np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first)
+        return self.anchor[order][first], np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first), np.diff(np.append(first, len(order)))
 
-    def contexts(self, answers, shards: int):
+    def contexts(self, answers, hot, shards: int):
         """(runs of shared anchors, number of the distinct context of each, run that stands for each context): the one
-        in the smallest document."""
-        anchors, many = self.distinct_anchors()
-        known = np.isin(key_of(anchors, shards), answers) | many
+        in the smallest document. Runs of hot anchors are left to `single_windows`."""
+        anchors, many, _ = self.distinct_anchors()
+        key = key_of(anchors, shards)
+        known = (np.isin(key, answers) | many) & ~np.isin(key, hot)
         runs = np.flatnonzero(np.isin(self.anchor, anchors[known]))
         order = np.lexsort((runs, self.content[runs], self.anchor[runs]))
         a, c = self.anchor[runs[order]], self.content[runs[order]]
@@ -152,6 +152,30 @@ class Chunk:
         return runs, number, runs[order[fresh]]  # runs are in doc_id order, so the first is the smallest document's
 
 
+    def single_windows(self, hot, shards: int):
+        """The windows of the runs of hot anchors: (where each begins, its document, number of the distinct window,
+        first place of each distinct window, their hashes)."""
+        runs = np.flatnonzero(np.isin(key_of(self.anchor, shards), hot)) if len(hot) else np.zeros(0, np.int64)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for a in range(0, len(runs), 1 << 14):
+            part = runs[a : a + (1 << 14)]
+            windows, size = self.windows[part], self.windows[part] + SPAN - 1
+            at = _ragged(np.cumsum(size) - size, windows)
+            g32, _ = _all_grams(self.data[_ragged(self.start[part], size)])
+            parts.append((_ragged(self.start[part], windows), np.repeat(self.doc[part], windows), _contents(g32, at, np.full(len(at), SPAN))))
+        place, doc, hashes = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((place, hashes))
+        fresh = np.concatenate([[True], np.diff(hashes[order]) != 0]) if len(order) else np.zeros(0, bool)
+        number = np.zeros(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        return place, doc, number, order[fresh], hashes[order[fresh]]
+
+
+def _contents(g32: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the `size` (50 to 76) bytes from each start."""
+    return _mixed(g32[start] * np.uint64(3) + _mixed(g32[start + np.minimum(32, size - 32)]) * np.uint64(5) + g32[start + size - 32] * np.uint64(7) + size.astype(np.uint64))
+
+
 def hash_bytes(b: bytes) -> int:
     from xxhash import xxh64_intdigest
 
@@ -187,37 +211,47 @@ def _spread(shard: np.ndarray):
 
 def send_anchors(rows, shards: int):
     import pyarrow as pa
+    import zstandard
 
     chunk = rows.column("chunk")[0].as_py()
-    anchors, many = Chunk(rows).distinct_anchors()
-    key = key_of(anchors, shards)
-    out = [(s, chunk, _pack5(key[x]), np.packbits(many[x]).tobytes()) for s, x in _spread((key >> np.uint64(40)).astype(np.int64))]
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "chunk", "keys", "many"])
+    anchors, many, runs = Chunk(rows).distinct_anchors()
+    key, press = key_of(anchors, shards), zstandard.ZstdCompressor(level=1).compress
+    out = [(s, chunk, _pack5(key[x]), np.packbits(many[x]).tobytes(), press(np.minimum(runs[x], 255).astype(np.uint8).tobytes())) for s, x in _spread((key >> np.uint64(40)).astype(np.int64))]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "chunk", "keys", "many", "runs"])
 
 
 def answer_anchors(rows):
+    """To each chunk: which of its anchors other chunks have too, and which ones are hot (their bits)."""
     import pyarrow as pa
+    import zstandard
 
+    open_ = zstandard.ZstdDecompressor().decompress
     shard, chunks = rows.column("shard")[0].as_py(), rows.column("chunk").to_pylist()
     keys = [_unpack5(b) for b in rows.column("keys").to_pylist()]
     many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: len(k)] for b, k in zip(rows.column("many").to_pylist(), keys)]).astype(bool)
+    runs = np.concatenate([np.frombuffer(open_(b), np.uint8) for b in rows.column("runs").to_pylist()])
     sizes = [len(k) for k in keys]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     fresh = np.concatenate([[True], np.diff(every[order]) != 0])
     group = np.cumsum(fresh) - 1
     shared = (np.bincount(group) > 1) | (np.bincount(group, many[order]) > 0)
-    tell = np.zeros(len(every), bool)
-    tell[order] = shared[group]
-    tell &= ~many
+    crowded = shared & (np.bincount(group, runs[order]) > HOT)
+    tell, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
+    tell[order], hot[order] = shared[group], crowded[group]
+    tell &= ~many | hot
     cuts = np.cumsum([0, *sizes])
-    out = [(c, shard, _pack5(every[a:b][tell[a:b]])) for c, a, b in zip(chunks, cuts[:-1], cuts[1:])]
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["chunk", "shard", "keys"])
+    out = [(c, shard, _pack5(every[a:b][tell[a:b]]), np.packbits(hot[a:b][tell[a:b]]).tobytes()) for c, a, b in zip(chunks, cuts[:-1], cuts[1:])]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "shard", "keys", "hot"])
 
 
-def _answers(rows) -> np.ndarray:
-    got = [_unpack5(b) | np.uint64(s << 40) for s, b in zip(rows.column("shard").to_pylist(), rows.column("keys").to_pylist())]
-    return np.concatenate(got) if got else np.zeros(0, np.uint64)
+def _answers(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of shared anchors, and those of hot ones among them."""
+    keys = [_unpack5(b) | np.uint64(s << 40) for s, b in zip(rows.column("shard").to_pylist(), rows.column("keys").to_pylist())]
+    hot = [np.unpackbits(np.frombuffer(b, np.uint8))[: len(k)].astype(bool) for b, k in zip(rows.column("hot").to_pylist(), keys)]
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate(keys), np.concatenate(keys)[np.concatenate(hot)]
 
 
 def send_contexts(rows, answers, shards: int):
@@ -229,16 +263,52 @@ def send_contexts(rows, answers, shards: int):
     if not rows.num_rows:
         return pa.table([pa.array([], t) for t in types], names)
     chunk, own = rows.column("chunk")[0].as_py(), Chunk(rows)
-    _, _, stands = own.contexts(_answers(answers), shards)
+    known, hot = _answers(answers)
+    _, _, stands = own.contexts(known, hot, shards)
     press, out = zstandard.ZstdCompressor(level=1).compress, []
     anchor, size = own.anchor[stands], own.windows[stands] + SPAN - 1
     first, start = own.ids[own.doc[stands]], own.start[stands]
     for s, x in _spread((anchor % np.uint64(shards)).astype(np.int64)):
         text = own.data[_ragged(start[x], size[x])].tobytes()
-        out.append((s, chunk, press(np.diff(x, prepend=0).astype("<i4").tobytes()), _pack5(anchor[x] // np.uint64(shards) & LOW40), press(first[x].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()), size[x].astype(np.uint8).tobytes(), own.offset[stands[x]].astype(np.uint8).tobytes(), press(text)))
+        out.append((s, chunk, press(np.diff(x, prepend=0).astype("<i4").tobytes()), _pack5(anchor[x] // np.uint64(shards) & LOW40), press(_columns(first[x])), size[x].astype(np.uint8).tobytes(), own.offset[stands[x]].astype(np.uint8).tobytes(), press(text)))
+    place, doc, _, stands, hashes = own.single_windows(hot, shards)
+    for s, x in _spread((hashes % np.uint64(shards)).astype(np.int64)):  # no bytes: a hash names the window
+        out.append((s, chunk, press(np.diff(x, prepend=0).astype("<i4").tobytes()), hashes[x].tobytes(), press(_columns(own.ids[doc[stands[x]]])), None, None, None))
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
 
+def _columns(ids: np.ndarray) -> bytes:
+    """Ids byte by byte: the first bytes of all, then the second ones (which compresses well)."""
+    return ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_columns(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+
+
+def answer_windows(rows) -> list:
+    """(chunk, ranges) for the windows of hot anchors: those that a smaller document has, by negative numbers."""
+    import zstandard
+
+    if not rows.num_rows:
+        return []
+    open_ = zstandard.ZstdDecompressor().decompress
+    hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in rows.column("anchor").to_pylist()])
+    number = [np.cumsum(np.frombuffer(open_(b), "<i4")) for b in rows.column("number").to_pylist()]
+    first = np.concatenate([_from_columns(open_(b)) for b in rows.column("first").to_pylist()])
+    order = np.argsort(hashes, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
+    least = np.zeros(len(first), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(first[order], head), np.diff(np.append(head, len(order))))
+    covered, at, out = least < first, 0, []
+    for chunk, n in zip(rows.column("chunk").to_pylist(), number):
+        told = -1 - n[covered[at : at + len(n)]]
+        at += len(n)
+        if len(told):
+            out.append((chunk, np.stack([told, 0 * told, 0 * told], axis=1).astype("<i4").tobytes()))
+    return out
+
+
 def _first_documents(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For every window of every context (one after the other): the smallest doc_id among equal windows."""
     n, gaps = len(start), np.arange(len(start))
@@ -275,19 +345,24 @@ def _may_share(anchor, start, size, offset, g8) -> np.ndarray:
 
 def answer_contexts(rows):
     import pyarrow as pa
+    import pyarrow.compute as pc
     import zstandard
 
     open_ = zstandard.ZstdDecompressor().decompress
+    single = pa.array([b is None for b in rows.column("bytes").to_pylist()], pa.bool_())
+    told, rows = answer_windows(rows.filter(single)), rows.filter(pc.invert(single))
+    if not rows.num_rows:
+        return pa.table([pa.array([r[0] for r in told], pa.int32()), pa.array([r[1] for r in told], pa.binary())], ["chunk", "ranges"])
     size = [np.frombuffer(b, np.uint8).astype(np.int64) for b in rows.column("size").to_pylist()]
     counts = [len(x) for x in size]
     size = np.concatenate(size)
     anchor = np.concatenate([_unpack5(b) for b in rows.column("anchor").to_pylist()])
     number = np.concatenate([np.cumsum(np.frombuffer(open_(b), "<i4")) for b in rows.column("number").to_pylist()])
-    first = np.concatenate([np.ascontiguousarray(np.frombuffer(open_(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0] for b in rows.column("first").to_pylist()])
+    first = np.concatenate([_from_columns(open_(b)) for b in rows.column("first").to_pylist()])
     data = np.frombuffer(b"".join(open_(b) for b in rows.column("bytes").to_pylist()), np.uint8)
     start = np.cumsum(size) - size
     g32, g8 = _all_grams(data)
-    content = _mixed(g32[start] * np.uint64(3) + _mixed(g32[start + np.minimum(32, size - 32)]) * np.uint64(5) + g32[start + size - 32] * np.uint64(7) + size.astype(np.uint64))
+    content = _contents(g32, start, size)
     order = np.lexsort((first, content, anchor))
     fresh = np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)])
     context = np.zeros(len(order), np.int64)
@@ -312,7 +387,7 @@ def answer_contexts(rows):
     record = np.searchsorted(edge, a, "right") - 1
     triples = np.stack([number[record], a - edge[record], b - edge[record]], axis=1).astype("<i4")
     cuts = np.searchsorted(record, np.cumsum([0, *counts]))
-    out = [(c, triples[x:y].tobytes()) for c, x, y in zip(rows.column("chunk").to_pylist(), cuts[:-1], cuts[1:]) if y > x]
+    out = [(c, triples[x:y].tobytes()) for c, x, y in zip(rows.column("chunk").to_pylist(), cuts[:-1], cuts[1:]) if y > x] + told
     return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["chunk", "ranges"])
 
 
@@ -325,12 +400,14 @@ def cut_out(rows, answers, shards: int):
         return pa.table([pa.array([], t) for t in types], names)
     own = Chunk(rows)
     is_range = np.array([s is None for s in answers.column("shard").to_pylist()], bool)
-    runs, number, stands = own.contexts(_answers(answers.filter(pa.array(~is_range))), shards)
+    known, hot = _answers(answers.filter(pa.array(~is_range)))
+    runs, number, stands = own.contexts(known, hot, shards)
     # runs of a context in a larger document than its smallest are covered whole
     later = own.rank[own.doc[runs]] > own.rank[own.doc[stands]][number] if len(runs) else np.zeros(0, bool)
     begin, end = [own.start[runs[later]]], [own.start[runs[later]] + own.windows[runs[later]] + SPAN - 1]
     blobs = answers.filter(pa.array(is_range)).column("keys").to_pylist()
     told = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 3).astype(np.int64)
+    told, singles = told[told[:, 0] >= 0], -1 - told[told[:, 0] < 0, 0]
     # what a shard says holds for all runs of the context in its smallest document
     order = np.argsort(number[~later], kind="stable")
     smallest, of = runs[~later][order], number[~later][order]
@@ -339,23 +416,34 @@ def cut_out(rows, answers, shards: int):
     rep = np.repeat(np.arange(len(told)), hi - lo)
     begin.append(own.start[smallest[each]] + told[rep, 1])
     end.append(own.start[smallest[each]] + told[rep, 2] + SPAN)
-    depth = np.zeros(len(own.data) + 1, np.int32)
-    np.add.at(depth, np.concatenate(begin), 1)
-    np.add.at(depth, np.concatenate(end), -1)
-    gone = np.cumsum(depth[:-1]) > 0
-    starts = own.ends - own.sizes
-    total = np.concatenate([[0], np.cumsum(gone)])
-    removed = total[own.ends] - total[starts]
-    opens = gone.copy()
-    inner = np.ones(len(gone), bool)
-    inner[starts[own.sizes > 0]] = False
-    opens[1:] &= ~(gone[:-1] & inner[1:])
-    count = np.concatenate([[0], np.cumsum(opens)])
-    kept, sizes = own.data[~gone], own.sizes - removed
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    body = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes())])
+    # and likewise for the windows of hot anchors
+    place, doc, number, stands, _ = own.single_windows(hot, shards)
+    gone = np.zeros(len(stands), bool)
+    gone[singles] = True
+    taken = place[gone[number] | (own.rank[doc] > own.rank[doc[stands]][number])] if len(place) else place
+    begin.append(taken)
+    end.append(taken + SPAN)
+    begin, end = _united(np.concatenate(begin), np.concatenate(end), own.ends)
+    of = np.searchsorted(own.ends, begin, "right")
+    removed = np.bincount(of, end - begin, len(own.ids)).astype(np.int64)
+    count = np.bincount(of, minlength=len(own.ids))
+    edge = np.zeros(len(own.data) + 1, np.int8)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    kept, ends = own.data[np.cumsum(edge[:-1], dtype=np.int8) == 0], np.append(0, np.cumsum(own.sizes - removed))
+    body = binary_array(kept, ends).cast(pa.binary())
     ids = pa.array([None if i == LAST else i for i in own.ids.tolist()], pa.int64())
-    return pa.table([ids, pa.array(own.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count[own.ends] - count[starts], pa.int64()), body], names)
+    return pa.table([ids, pa.array(own.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), body], names)
+
+
+def _united(begin: np.ndarray, end: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs of bytes that the ranges cover; none goes on from one document into the next."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
+    reach = np.maximum.accumulate(end)
+    of = np.searchsorted(ends, begin, "right")
+    head = np.flatnonzero(np.concatenate([[True], (begin[1:] > reach[:-1]) | (of[1:] != of[:-1])])) if len(begin) else np.zeros(0, np.int64)
+    return begin[head], reach[np.append(head[1:], len(begin)) - 1] if len(head) else end
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
@@ -371,11 +459,11 @@ def without_repeats(df: DataFrame) -> DataFrame:
     tasks = tasks_for(df)
     docs = whole_texts(df).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     docs = docs.repartition(max(tasks, chunks), "chunk")
-    anchors = docs.groupBy("chunk").applyInArrow(lambda t: send_anchors(t, shards), "shard int, chunk int, keys binary, many binary")
-    shared = anchors.groupBy("shard").applyInArrow(answer_anchors, "chunk int, shard int, keys binary").where("length(keys) > 0")
+    anchors = docs.groupBy("chunk").applyInArrow(lambda t: send_anchors(t, shards), "shard int, chunk int, keys binary, many binary, runs binary")
+    shared = anchors.groupBy("shard").applyInArrow(answer_anchors, "chunk int, shard int, keys binary, hot binary").where("length(keys) > 0")
     contexts = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, a: send_contexts(t, a, shards), "shard int, chunk int, number binary, anchor binary, first binary, size binary, offset binary, bytes binary")
     ranges = contexts.groupBy("shard").applyInArrow(answer_contexts, "chunk int, ranges binary")
-    both = shared.unionByName(ranges.select("chunk", F.lit(None).cast("int").alias("shard"), F.col("ranges").alias("keys")))
+    both = shared.unionByName(ranges.select("chunk", F.lit(None).cast("int").alias("shard"), F.col("ranges").alias("keys"), F.lit(None).cast("binary").alias("hot")))
     return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda t, a: cut_out(t, a, shards), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
