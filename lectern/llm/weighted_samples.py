@@ -17,33 +17,43 @@ from .common import stored, table, tasks_for
 
 SAMPLES = 64
 PLACE = 4  # hexadecimal digits of one sample
+TOGETHER = 4  # samples computed in one row
 NO_ID = -(2**63)
 
 
-def _least(k: int) -> str:
-    """The least value of sample `k` over the rows (h: hash of the term, lw). Each hash gives two uniform draws."""
+def _value(sample: str, lw: str) -> str:
+    """What the sample of number `sample` compares for a term (h: its hash, lw: logarithm of its weight). Two hashes
+    give five uniform draws of 21 bits."""
 
-    def uniform(salt: int, upper: bool) -> str:
-        half = f"shiftrightunsigned(xxhash64(h, {k}, {salt}), 32)" if upper else f"(xxhash64(h, {k}, {salt}) & 4294967295L)"
-        return f"(({half} + 0.5D) / 4294967296)"
+    def uniform(of: str, shift: int) -> str:
+        return f"(((shiftrightunsigned({of}, {shift}) & 2097151L) + 0.5D) / 2097152)"
 
-    r = f"(-ln({uniform(1, False)} * {uniform(1, True)}))"
-    c = f"ln(-ln({uniform(2, False)} * {uniform(2, True)}))"
-    beta = uniform(3, False)
-    return f"min({c} - {r} * (floor(lw / {r} + {beta}) - {beta} + 1))"
+    x = f"xxhash64(h, {sample})"
+    y = f"xxhash64({x})"
+    minus_r = f"ln({uniform(x, 0)} * {uniform(x, 21)})"
+    c = f"ln(-ln({uniform(y, 0)} * {uniform(y, 21)}))"
+    beta = uniform(x, 42)
+    return f"{c} + {minus_r} * (if({lw} = 0, 1D, floor({beta} - {lw} / {minus_r}) + 1D) - {beta})"  # t is 0 at weight 1
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, fingerprint of every row of (keys, text); keys[0] must already deal the rows out, then nothing is shuffled.
+def fingerprints(texts: DataFrame, keys: list[str], versions: int = 1, samples: int = SAMPLES) -> DataFrame:
+    """keys, fingerprint0, fingerprint1 .. of every row group of (keys, v: version, text); keys[0] must already deal the
+    rows out, then nothing is shuffled. The draws of a term serve all versions.
 
-    A text without words has one empty word; null is treated as empty; rows with the same keys must not differ.
+    A text without words has one empty word; null is treated as empty; rows with the same keys and v must not differ;
+    a version without a row has a null fingerprint. `samples` must be a multiple of TOGETHER.
     """
     words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
-    terms = texts.select(*keys, F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
-    counted = terms.groupBy(*keys, "h").agg((F.log1p(F.log(F.count("*").cast("double")))).alias("lw"))
-    least = [F.expr(_least(k)).alias(f"m{k}") for k in range(samples)]
-    places = [F.lpad(F.lower(F.hex(F.expr(f"pmod(xxhash64(round(m{k}, 6), {k}), 65536)"))), PLACE, "0") for k in range(samples)]
-    return counted.groupBy(*keys).agg(*least).select(*keys, F.concat(*places).alias("fingerprint"))
+    terms = texts.select(*keys, "v", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("w")).select(*keys, "v", F.xxhash64("w").alias("h"))
+    counted = terms.groupBy(*keys, "h").agg(*[F.expr(f"log1p(ln(nullif(cast(count_if(v = {v}) as double), 0)))").alias(f"lw{v}") for v in range(versions)])
+    # a few samples in each row keep the generated code small enough to be compiled to machine code
+    dealt = counted.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(samples // TOGETHER)])))
+    least = [F.expr(f"min({_value(f'part * {TOGETHER} + {i}', f'lw{v}')})").alias(f"m{v}_{i}") for v in range(versions) for i in range(TOGETHER)]
+    place = lambda v, i: F.lpad(F.lower(F.hex(F.expr(f"pmod(xxhash64(round(m{v}_{i}, 6), part * {TOGETHER} + {i}), 65536)"))), PLACE, "0")
+    parts = dealt.groupBy(*keys, "part").agg(*least).select(*keys, "part", *[F.when(F.col(f"m{v}_0").isNotNull(), F.concat(*[place(v, i) for i in range(TOGETHER)])).alias(f"p{v}") for v in range(versions)])
+    ordered = F.sort_array(F.collect_list(F.struct("part", *[f"p{v}" for v in range(versions)])))
+    joined = [F.when(F.col("parts")[0][f"p{v}"].isNotNull(), F.array_join(F.col("parts")[f"p{v}"], "")).alias(f"fingerprint{v}") for v in range(versions)]
+    return parts.groupBy(*keys).agg(ordered.alias("parts")).select(*keys, *joined)
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> F.Column:
@@ -86,8 +96,7 @@ def weighted_fingerprints(df: DataFrame) -> DataFrame:
     joined = rows.select("id", "th", "copies", "n", "next", "first_th", "text").join(giving.repartition(tasks, "id").hint("shuffle_hash"), "id")
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(n div 3 as int)), substring(head, 1, cast(n div 3 as int)))"))
     both = edited.select("id", "th", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("x")).select("id", "th", F.col("x.v").alias("v"), F.col("x.text").alias("text"))
-    prints = fingerprints(both, ["id", "th", "v"])
-    pair = prints.groupBy("id", "th").agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    pair = fingerprints(both, ["id", "th"], versions=2).withColumnsRenamed({"fingerprint0": "fingerprint", "fingerprint1": "edited_fingerprint"})
     facts = edited.select("id", "th", "copies", "n", "next", "first_th", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     met = facts.join(pair.withColumnRenamed("th", "pair_th"), "id").where("(th ^ pair_th) = 0").drop("pair_th")
     kept = stored(met, "fingerprints")
