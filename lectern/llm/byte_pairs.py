@@ -10,12 +10,13 @@ numpy matrix each.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, whole_texts
+from .common import table, tidy, whole_texts
 from .pieces import PATTERN, PieceMemo, arrow_slices, binary_array, gathered
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,14 +35,15 @@ class BytePairs:
         self.text_size[list(tokens)] = list(map(len, tokens.values()))
         self.text_at = np.cumsum(self.text_size) - self.text_size
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        keys, ranks = array("q"), array("i")  # every way to make a token of two
         for token, r in self.rank.items():
             for cut in range(1, len(token)):
                 a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = r
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+                    keys.append(a << 32 | b)
+                    ranks.append(r)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.pair_keys, self.pair_ranks = np.frombuffer(keys, np.int64)[order], np.frombuffer(ranks, np.int32)[order]
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -159,13 +161,15 @@ def byte_pair_round_trip(df: DataFrame, ranks: str | None = None) -> DataFrame:
         import pyarrow as pa
 
         codec, memo = _codec(ranks)
+        memo.forget()  # a task's own pieces only
         for batch in batches:
-            for docs, texts in arrow_slices(batch, 2 << 20):
+            for docs, texts in arrow_slices(batch, 1 << 20):
                 ids, ends = memo.encode(texts)
                 text, at = codec.decode(ids)
                 yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(ends), pa.int64()), binary_array(ids.astype("<u4").view(np.uint8), 4 * ends).cast(pa.binary()), binary_array(text, at[ends]).cast(pa.binary())], ["doc_id", "n_tokens", "token_ids", "decoded"])
+        memo.forget()
 
-    return whole_texts(df).mapInArrow(run, "doc_id long, n_tokens long, token_ids binary, decoded binary")
+    return whole_texts(df).mapInArrow(tidy(run), "doc_id long, n_tokens long, token_ids binary, decoded binary")
 
 
 def byte_pair_digests(df: DataFrame, ranks: str | None = None) -> DataFrame:

@@ -34,6 +34,30 @@ def tasks_for(df: DataFrame, per_task: int = TASK_BYTES, least: int = 0) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(df) // per_task))
 
 
+def tidy(run):
+    """`run` (batches to batches) with its free memory given back to the system at the end of each task: workers live on,
+    and what one stage has freed must not stand beside the next one's."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
     sc = spark.sparkContext

@@ -124,9 +124,9 @@ class PieceMemo:
 
     def __init__(self, encode_new, most_bytes: int = MEMO_BYTES):
         self.encode_new, self.most_bytes = encode_new, most_bytes
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the keys, by hash
         self.text, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -161,7 +161,7 @@ class PieceMemo:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes[short])])
         self.text, self.ids = np.concatenate([self.text, text]), np.concatenate([self.ids, kept])
         if sum(x.nbytes for x in (self.hashes, self.number, self.ends, self.starts, self.text, self.ids)) > self.most_bytes:
-            self._forget()
+            self.forget()
 
     def _block(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a block, where its pieces begin (and its end), and the ids before each of these places."""

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_texts
+from .common import stored, table, tidy, whole_texts
 from .pieces import text_slices
 
 PASSAGE = 512
@@ -139,7 +139,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) ->
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` sizes
     within = stored(held, "labelled").withColumn("_size", F.octet_length("text"))
     chosen = within.select("doc_id", F.sum("_size").over(so_far).alias("_sum")).where(F.col("_sum") <= FIT_BYTES).select("doc_id")
-    rows = within.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text").mapInArrow(run, "doc_id long, label double, x binary").collect()
+    rows = within.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text").mapInArrow(tidy(run), "doc_id long, label double, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     bags, y = [np.frombuffer(r.x, "<f4").reshape(-1, MEASURES) for r in rows], np.array([r.label for r in rows])
     model = AttentionModel()
@@ -164,7 +164,7 @@ def quality_scores(df: DataFrame, model: AttentionModel) -> DataFrame:
             for ids, texts in text_slices(batch, 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score([passages(t) for t in texts]), pa.float64())], ["doc_id", "score"])
 
-    return whole_texts(df).mapInArrow(run, "doc_id long, score double")
+    return whole_texts(df).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +183,9 @@ def keep_good(df: DataFrame, model: AttentionModel, cut: float = CUT) -> DataFra
         for batch in batches:
             texts = batch.column("text")
             keep = []
-            for at in range(0, batch.num_rows, 64):
-                part = ["" if t is None else t for t in texts.slice(at, 64).to_pylist()]
+            for at in range(0, batch.num_rows, 16):
+                part = ["" if t is None else t for t in texts.slice(at, 16).to_pylist()]
                 keep += (model.score([passages(t) for t in part]) >= cut).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
