@@ -46,11 +46,15 @@ def choose_refill(stretches: DataFrame, candidates: DataFrame, least_words: int
     return best
 
 
-def repeat_share(a, b):
-    """Share of the words of column a (lower case, outer marks dropped) that b has; 1.0 for an empty a."""
-    clean = lambda c: F.filter(F.transform(text.words(F.lower(c)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
-    own, other = clean(a), clean(b)
-    return F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.filter(own, lambda w: F.array_contains(other, w))) / F.size(own))
+def repeat_share(df: DataFrame, a: str, b: str, key: str = "id") -> DataFrame:
+    """key, share: of the words of text a (lower case, outer marks dropped) those that b has; 1.0 where a has none. Rows
+    with one key count as one text. Words are counted by key before they meet, so long texts cost no more than words."""
+    clean = lambda c: F.filter(F.transform(text.words(F.lower(F.coalesce(c, F.lit("")))), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    side = lambda c, own: F.transform(clean(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(own).alias("own")))
+    said = df.select(key, F.explode_outer(F.concat(side(a, 1), side(b, 0))).alias("x")).select(key, "x.w", "x.own")
+    counted = said.groupBy(key, "w").agg(F.sum("own").alias("n"), F.min("own").alias("least"))
+    total = counted.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("least") == 0, F.col("n"))).alias("met"))
+    return total.select(key, F.when(F.coalesce("n", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("met", F.lit(0)) / F.col("n")).alias("share"))
 
 
 def fragment_stats(segments: DataFrame, by: list[str]) -> DataFrame:

@@ -80,15 +80,15 @@ def merge_window_scores(scores: DataFrame, key: str = "doc_id", threshold: float
 
 
 def source_clauses(df: DataFrame, key: str = "doc_id", col: str = "text", least: int = 6) -> DataFrame:
-    """key, clause, text: cut after commas and semicolons that don't follow a digit; short pieces join the next one, a
-    short tail the one before."""
+    """key, clause, text: cut after commas and semicolons that don't follow a digit; pieces that are short without the
+    spaces, commas and semicolons around them join the next one, a short tail the one before."""
     pieces = F.filter(F.split(F.regexp_replace(col, r"(?<![0-9])([,，;；])", "$1" + text.MARK), text.MARK), lambda p: p != "")
     start = F.struct(F.lit("").alias("open"), F.expr("cast(array() as array<string>)").alias("done"))
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
 
     def step(acc, p):
         now = F.concat(acc["open"], p)
-        full = F.length(strip(now)) >= least
+        full = F.length(F.regexp_replace(now, "^[ ,，;；]+|[ ,，;；]+$", "")) >= least
         return F.struct(F.when(full, "").otherwise(now).alias("open"), F.when(full, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"))
 
     def close(acc):

@@ -90,7 +90,7 @@ def merge_window_scores(spark, sf_dir):
 def _clauses(col: str, least: int = 6) -> str:
     """The clause fold over pieces; a short tail joins the clause before it."""
     pieces = rf"list_filter(string_split(regexp_replace({col}, '([^0-9])([,，;；])', '\1\2{text.MARK}', 'g'), '{text.MARK}'), lambda p: p <> '')"
-    fold = f"list_reduce(list_transform({pieces}, lambda p: {{'o': p, 'd': []::VARCHAR[]}}), lambda a, x: CASE WHEN length(regexp_replace(a.o || x.o, '^\\s+|\\s+$', '', 'g')) >= {least} THEN {{'o': '', 'd': list_append(a.d, a.o || x.o)}} ELSE {{'o': a.o || x.o, 'd': a.d}} END, {{'o': '', 'd': []::VARCHAR[]}})"
+    fold = f"list_reduce(list_transform({pieces}, lambda p: {{'o': p, 'd': []::VARCHAR[]}}), lambda a, x: CASE WHEN length(regexp_replace(a.o || x.o, '^[ ,，;；]+|[ ,，;；]+$', '', 'g')) >= {least} THEN {{'o': '', 'd': list_append(a.d, a.o || x.o)}} ELSE {{'o': a.o || x.o, 'd': a.d}} END, {{'o': '', 'd': []::VARCHAR[]}})"
     return fold
 
 
@@ -287,12 +287,12 @@ def _stems(rows: str, key: str) -> str:
 
 
 @query(f"""
-WITH {_CLAUSES}, whole AS (SELECT id, substring(hyp, 1, 60) AS text FROM pairs), a AS ({_stems('clauses', 'id, clause')}), b AS ({_stems('whole', 'id')}),
+WITH {_CLAUSES}, whole AS (SELECT id, hyp AS text FROM pairs), a AS ({_stems('clauses', 'id, clause')}), b AS ({_stems('whole', 'id')}),
 c AS (SELECT a.id, clause, count(*) AS n, count(b.stem) AS hits FROM a LEFT JOIN b ON a.id = b.id AND a.stem = b.stem GROUP BY ALL)
 SELECT id, min(clause) AS clause FROM c WHERE n >= 3 AND hits = 0 GROUP BY id""")
 def dropped_clause(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
-    return scoring.dropped_clause(p.select("id", F.substring("hyp", 1, 60).alias("text")), segmenting.source_clauses(p, "id", "ref"))
+    return scoring.dropped_clause(p.select("id", F.col("hyp").alias("text")), segmenting.source_clauses(p, "id", "ref"))
 
 
 @query("""

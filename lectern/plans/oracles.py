@@ -25,7 +25,8 @@ state AS (SELECT path, seq, ts, status, error FROM (SELECT *, row_number() OVER
 _FILES = """
 files AS (SELECT doc_id, '/src/' || source || '/' || lang AS dir, 'Doc' || doc_id AS stem, ['.mp3', '.MP4', '.txt', '.wav', '.jpg'][doc_id % 5 + 1] AS ext, '/src/' || source || '/' || lang || '/Doc' || doc_id || ['.mp3', '.MP4', '.txt', '.wav', '.jpg'][doc_id % 5 + 1] AS path FROM documents)
 """
-_PAIRS = "pairs AS (SELECT doc_id AS id, substring(text, 1, 300) AS ref, substring(substring(text, 1, 300), 1, 120) || ' zz ' || substring(substring(text, 1, 300), 141, 140) AS hyp FROM documents WHERE text IS NOT NULL)"
+_PAIRS = "pairs AS (SELECT doc_id AS id, text AS ref, substring(text, 1, length(text) * 2 // 5) || ' zz ' || substring(text, length(text) * 9 // 20 + 1) AS hyp FROM documents WHERE text IS NOT NULL)"
+_BEGINNINGS = "pairs AS (SELECT doc_id AS id, substring(text, 1, 300) AS ref, substring(substring(text, 1, 300), 1, 120) || ' zz ' || substring(substring(text, 1, 300), 141, 140) AS hyp FROM documents WHERE text IS NOT NULL)"
 _ABBREVIATED = text.ABBREVIATED
 _STAMP = lambda c: f"lpad((ms_{c} // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms_{c} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms_{c} // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms_{c} % 1000)::VARCHAR, 3, '0')"
 _CLEAN = lambda c: rf"list_filter(list_transform({_words(f'lower({c})')}, lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w <> '')"
@@ -131,7 +132,7 @@ SELECT *, count(*) OVER (PARTITION BY target) AS clashes FROM t""",
 WITH {_FILES}, s AS (SELECT 'transcribe' AS stage, NULL::VARCHAR AS lang FROM files WHERE ext <> '.txt' UNION ALL SELECT 'translate', unnest(['es', 'ru']) FROM files)
 SELECT stage, lang, count(*) AS n FROM s GROUP BY stage, lang""",
     "chrf": rf"""
-WITH {_PAIRS}, c AS (SELECT id, regexp_replace(hyp, '\s+', '', 'g') AS h, regexp_replace(ref, '\s+', '', 'g') AS r FROM pairs), k AS (SELECT unnest(range(1, 7)) AS n),
+WITH {_BEGINNINGS}, c AS (SELECT id, regexp_replace(hyp, '\s+', '', 'g') AS h, regexp_replace(ref, '\s+', '', 'g') AS r FROM pairs), k AS (SELECT unnest(range(1, 7)) AS n),
 hg AS (SELECT id, n, substring(h, i, n) AS g, count(*) AS c FROM (SELECT id, h, n, unnest(range(1, length(h) - n + 2)) AS i FROM c, k) GROUP BY ALL),
 rg AS (SELECT id, n, substring(r, i, n) AS g, count(*) AS c FROM (SELECT id, r, n, unnest(range(1, length(r) - n + 2)) AS i FROM c, k) GROUP BY ALL),
 m AS (SELECT id, n, sum(least(coalesce(hg.c, 0), coalesce(rg.c, 0))) AS m, sum(hg.c) AS h, sum(rg.c) AS r FROM hg FULL JOIN rg USING (id, n, g) GROUP BY id, n),

@@ -110,8 +110,7 @@ def choose_take(spark, sf_dir):
 
 @query
 def repeat_share(spark, sf_dir):
-    p = fx.pairs(spark, sf_dir)
-    return p.select("id", F.round(repair.repeat_share(F.col("hyp"), F.col("ref")), 9).alias("share"))
+    return repair.repeat_share(fx.pairs(spark, sf_dir), "hyp", "ref").select("id", F.round("share", 9).alias("share"))
 
 
 @query
@@ -184,7 +183,7 @@ def stage_plan(spark, sf_dir):
 
 @query
 def chrf(spark, sf_dir):
-    return scoring.chrf(fx.pairs(spark, sf_dir)).select("id", F.round("chrf", 6).alias("chrf"))
+    return scoring.chrf(fx.beginnings(spark, sf_dir)).select("id", F.round("chrf", 6).alias("chrf"))
 
 
 @query
