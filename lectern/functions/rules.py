@@ -113,3 +113,7 @@ LARGEST_NUMBER = 9999
 def book_rows(text: str) -> list[tuple[str, str]]:
     """(token, book) rows of a table above."""
     return [(token, line.split(":")[0]) for line in text.strip().splitlines() for token in line.split(":")[1].split()]
+
+# How a chapter or verse is said, and letters heard for others of the same sound (after / before them).
+CHAPTER_OR_VERSE = "第[〇零一二三四五六七八九十百千]+[章篇节節]"
+SAME_SOUND = ("张張片節", "章章篇节")

@@ -112,3 +112,35 @@ def round_trip_report(scores: DataFrame) -> DataFrame:
     return scores.rollup("take", "doc_id").agg(F.avg("chrf").alias("chrf"), F.sum("right").alias("right"), F.sum("wanted").alias("wanted"))
 
 
+
+
+def missing_citations(pairs: DataFrame, key: str = "id") -> DataFrame:
+    """key, citation, short: chapters and verses that `spoken` says more often than `heard` has them, by how many;
+    same-sounding letters of `heard` count. Null sides are empty; rows with equal keys count as one text."""
+    side = lambda c: F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), *rules.SAME_SOUND), F.lit(rules.CHAPTER_OR_VERSE), F.lit(0))
+    marked = lambda c, n: F.transform(side(F.col(c)), lambda x: F.struct(x.alias("citation"), F.lit(n).alias("n")))
+    found = pairs.select(key, F.explode(F.concat(marked("spoken", 1), marked("heard", -1))).alias("x")).groupBy(key, "x.citation").agg(F.sum("x.n").alias("short"))
+    return found.where("short > 0")
+
+
+def names_a_citation(stretches):
+    """Whether any of the stretches (array) has a chapter or verse mark; false for none."""
+    return F.coalesce(F.exists(stretches, lambda s: s.rlike(rules.CHAPTER_OR_VERSE + "|פרק|פסוק")), F.lit(False))
+
+
+def language_notices(docs: DataFrame, confusions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, detected, meant: documents without a set language whose detected one is taken for another (detected, meant)."""
+    return docs.where("language IS NULL").join(confusions.dropDuplicates(["detected"]), "detected").select(key, "detected", "meant")
+
+
+def gazetteer_coverage(labels: DataFrame, books: DataFrame) -> DataFrame:
+    """lang, labels, complete, thinnest first: how many of the books have a label that is not blank in each language."""
+    have = labels.where("trim(label) <> ''").select("lang", "book").distinct().join(books.select("book").distinct(), "book", "left_semi")
+    total = books.agg(F.countDistinct("book").alias("_total"))
+    return have.groupBy("lang").agg(F.count("*").alias("labels")).crossJoin(total).select("lang", "labels", (F.col("labels") == F.col("_total")).alias("complete")).orderBy("labels", "lang")
+
+
+def supported_languages(vocabulary: DataFrame, family: str) -> DataFrame:
+    """lang: codes that a model of the family (marked: __xx__, tagged: <2xx>) takes, from its tokens (token)."""
+    pattern = {"marked": r"^__([a-z]{2,3})__$", "tagged": r"^<2([a-zA-Z_]{2,})>$"}[family]
+    return vocabulary.select(F.regexp_extract("token", pattern, 1).alias("lang")).where("lang <> ''").distinct().orderBy("lang")

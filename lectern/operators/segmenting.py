@@ -37,15 +37,15 @@ def choose_granularity(df: DataFrame, key: str = "doc_id", col: str = "text") ->
 
 
 def chunk_text(df: DataFrame, granularity: str = "auto", key: str = "doc_id", col: str = "text") -> DataFrame:
-    """key, chunk_id, text, words: paragraphs or sentences, or as choose_granularity says."""
-    parts = F.transform(text.paragraphs(F.col(col)), lambda p: F.regexp_replace(p, r"\s*\n\s*", " "))
-    cut = F.flatten(F.transform(text.paragraphs(F.col(col)), text.sentences))
+    """key, chunk_id, text, words: paragraphs or sentences, or as choose_granularity says; each row is chosen for by itself."""
+    parts = text.paragraphs(F.col(col))
+    whole = F.transform(parts, lambda p: F.regexp_replace(p, r"\s*\n\s*", " "))
+    cut = F.flatten(F.transform(parts, text.sentences))
     if granularity == "auto":
-        choice = choose_granularity(df, key, col).select(F.col(key).alias("_key"), "granularity")
-        df = df.join(choice, df[key].eqNullSafe(choice["_key"]))
-        chunks = F.when(F.col("granularity") == "paragraph", parts).otherwise(cut)
+        total = F.aggregate(F.transform(parts, lambda p: F.size(text.words(p)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+        chunks = F.when((F.size(parts) >= 2) & (total <= rules.PARAGRAPH_WORDS * F.size(parts)), whole).otherwise(cut)
     else:
-        chunks = parts if granularity == "paragraph" else cut
+        chunks = whole if granularity == "paragraph" else cut
     return df.select(key, F.posexplode(chunks).alias("chunk_id", "text")).withColumn("words", text.tokens(F.col("text")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import alignment, segmenting
+from ..operators import alignment, scoring, segmenting
 from ..sources import fixtures as fx
 from ..sources import transcripts
 from .building_blocks import _sentences, collector
@@ -55,3 +55,45 @@ SELECT doc_id, regexp_replace(string_agg(line, E'\\n\\n' ORDER BY seg_id), '\\n+
 def render_timestamped_text(spark, sf_dir):
     c = fx.segments(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.col("seg_id").alias("chunk_id"), "text", F.when(F.col("seg_id") % 4 != 1, F.col("start")).alias("start"))
     return transcripts.render_timestamped_text(c)
+
+
+_VERSES = ["第十二章", "第二十三篇", "第五节", "第五節"]
+_SPOKEN = f"spoken AS (SELECT l_orderkey AS id, string_agg({_VERSES!r}[l_partkey % 4 + 1], ',') AS s, string_agg(CASE WHEN l_suppkey % 3 > 0 THEN translate({_VERSES!r}[l_partkey % 4 + 1], '章篇', CASE WHEN l_suppkey % 2 = 0 THEN '张片' ELSE '章篇' END) ELSE '' END, ',') AS h FROM lineitem GROUP BY l_orderkey)"
+
+
+def _spoken(spark, sf_dir):
+    """id, spoken, heard: verses said in an order's lines, and those of them that were heard, some under another letter."""
+    said = F.element_at(F.array(*[F.lit(v) for v in _VERSES]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    heard = F.when(F.col("l_suppkey") % 3 > 0, F.when(F.col("l_suppkey") % 2 == 0, F.translate(said, "章篇", "张片")).otherwise(said)).otherwise("")
+    return fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.collect_list(said), ",").alias("spoken"), F.array_join(F.collect_list(heard), ",").alias("heard"))
+
+
+@query(f"""
+WITH {_SPOKEN}, v AS (SELECT unnest(['第十二章', '第二十三篇', '第五节']) AS citation), n AS (SELECT id, replace(s, '節', '节') AS s, translate(h, '张張片節', '章章篇节') AS h FROM spoken),
+c AS (SELECT id, citation, ((length(s) - length(replace(s, citation, ''))) - (length(h) - length(replace(h, citation, '')))) // length(citation) AS short FROM n, v)
+SELECT id, citation, short FROM c WHERE short > 0""")
+def missing_citations(spark, sf_dir):
+    return scoring.missing_citations(_spoken(spark, sf_dir))
+
+
+@query(f"WITH {_SPOKEN} SELECT id, contains(h, '第') AND regexp_matches(h, '[章篇节節]') AS named FROM spoken")
+def names_a_citation(spark, sf_dir):
+    return _spoken(spark, sf_dir).select("id", scoring.names_a_citation(F.split("heard", ",")).alias("named"))
+
+
+@query("SELECT doc_id, lang AS detected, CASE lang WHEN 'es' THEN 'pt' ELSE 'hi' END AS meant FROM documents WHERE doc_id % 2 = 1 AND lang IN ('es', 'ur')")
+def language_notices(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("detected"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
+    return scoring.language_notices(d, spark.createDataFrame([("es", "pt"), ("ur", "hi")], "detected string, meant string"))
+
+
+@query("WITH b AS (SELECT DISTINCT p_brand AS book, p_type AS lang FROM part WHERE p_size % 7 > 0), t AS (SELECT count(DISTINCT p_brand) AS n FROM part) SELECT lang, count(*) AS labels, count(*) = any_value(t.n) AS complete FROM b, t GROUP BY lang")
+def gazetteer_coverage(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("book"), F.col("p_type").alias("lang"), F.when(F.col("p_size") % 7 > 0, "x").otherwise(" ").alias("label"))
+    return scoring.gazetteer_coverage(p, p.select("book"))
+
+
+@query("SELECT DISTINCT lang FROM documents WHERE regexp_matches(lang, '^[a-z]{2,3}$')")
+def supported_languages(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return scoring.supported_languages(d.select(F.explode(F.array(F.concat(F.lit("__"), "lang", F.lit("__")), F.col("source"))).alias("token")), "marked")

@@ -313,12 +313,11 @@ def marker_kept(spark, sf_dir):
     return scoring.marker_kept(src, o.select("id", F.when(F.col("id") % 5 != 0, F.upper("day")).otherwise("then").alias("text")), _MONTHS).withColumn("kept", F.round("kept", 9))
 
 
-@query("SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' Thank you. thanks!' END AS heard FROM (SELECT doc_id, 'x ' || lang AS text FROM documents) WHERE doc_id % 3 <> 1 UNION ALL SELECT doc_id, 'x ' || lang FROM documents WHERE doc_id % 3 = 1")
+@query(r"""SELECT doc_id, md5(CASE WHEN doc_id % 3 = 1 THEN text || ' Thank you. thanks!' ELSE regexp_replace(text || CASE WHEN doc_id % 3 = 2 THEN ' Thank you. thanks!' ELSE ' Thanks' END, '(?i)(?:\s*(?:thank you|thanks)[.!?]*)+\s*$', '') END) AS heard FROM documents""")
 def strip_trailing_fillers(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x "), "lang").alias("t"))
-    full = F.concat("t", F.lit(" Thank you. thanks!"))
-    d = d.select("doc_id", full.alias("heard"), F.when(F.col("doc_id") % 3 == 2, full).otherwise(F.col("t")).alias("ref"))
-    return d.select("doc_id", scoring.strip_trailing_fillers(F.col("heard"), F.col("ref"), ["thank you", "thanks"]).alias("heard"))
+    full = F.concat("text", F.lit(" Thank you. thanks!"))
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Thanks"))).otherwise(full).alias("heard"), F.when(F.col("doc_id") % 3 == 1, full).otherwise(F.lit("x")).alias("ref"))
+    return d.select("doc_id", F.md5(scoring.strip_trailing_fillers(F.col("heard"), F.col("ref"), ["thank you", "thanks"])).alias("heard"))
 
 
 @query(f"WITH {_EVENTS} SELECT path, CASE WHEN count(*) = 1 THEN arg_min(error, seq) ELSE arg_min(error, seq) || ' (' || (count(*) - 1) || ' more)' END AS digest FROM events0 WHERE status = 'failed' GROUP BY path")
