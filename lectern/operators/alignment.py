@@ -46,10 +46,11 @@ def edit_regions(df: DataFrame, a: str = "ref", b: str = "hyp", key: str = "id",
     same = F.transform("blocks", lambda x: F.struct(x["i"].alias("i1"), (x["i"] + x["size"]).alias("i2"), x["j"].alias("j1"), (x["j"] + x["size"]).alias("j2"), F.lit(True).alias("same")))
     other = F.transform(_between(F.col("blocks")), lambda x: F.struct(*[x[n].alias(n) for n in ("i1", "i2", "j1", "j2")], F.lit(False).alias("same")))
     runs = F.filter(F.concat(same, other), lambda x: (x["i2"] > x["i1"]) | (x["j2"] > x["j1"]))
-    r = m.select(key, a, b, F.explode(F.array_sort(runs)).alias("r")).select(key, a, b, "r.*")
+    part = lambda c, i, j: F.array_join(F.slice(c, i + 1, j - i), sep)
+    told = F.transform(F.array_sort(runs), lambda x: F.struct(*[x[n].alias(n) for n in ("i1", "i2", "j1", "j2", "same")], part(a, x["i1"], x["i2"]).alias("spoken"), part(b, x["j1"], x["j2"]).alias("heard")))
     kind = F.when(F.col("same"), "equal").when(F.col("j1") == F.col("j2"), "delete").when(F.col("i1") == F.col("i2"), "insert").otherwise("replace")
-    part = lambda c, x, y: F.array_join(F.slice(c, F.col(x) + 1, F.col(y) - F.col(x)), sep)
-    return r.select(key, kind.alias("kind"), "i1", "i2", "j1", "j2", part(a, "i1", "i2").alias("spoken"), part(b, "j1", "j2").alias("heard"))
+    # the parts are cut within the row: only they are repeated, not the sequences
+    return m.select(key, F.explode(told).alias("r")).select(key, "r.*").select(key, kind.alias("kind"), "i1", "i2", "j1", "j2", "spoken", "heard")
 
 
 def error_rate(df: DataFrame, lost_at: int = 8, a: str = "ref", b: str = "hyp", keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -72,8 +73,8 @@ def align_text_to_words(chunks: DataFrame, words: DataFrame, key: str = "doc_id"
     told = chunks.select(key, F.struct("chunk_id", owned.alias("o")).alias("x")).groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["o"])).alias("told"))
     said = words.select(key, F.struct("pos", text.normalise_token(F.col("word")).alias("w"), "start", "end").alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("said"))
     m = matching_blocks(told.join(said, key).withColumns({"ref": F.col("told.w"), "hyp": F.col("said.w")}))
-    at = m.select(key, "told", "said", F.explode("blocks").alias("m")).where("m.size > 0").select(key, "told", "said", "m", F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("k"))
-    met = at.select(key, F.col("told")[F.col("m.i") + F.col("k")]["chunk"].alias("chunk_id"), F.col("said")[F.col("m.j") + F.col("k")].alias("w")).where("w.start IS NOT NULL AND w.end IS NOT NULL")
+    both = lambda x: F.zip_with(F.slice("told", x["i"] + 1, x["size"]), F.slice("said", x["j"] + 1, x["size"]), lambda t, w: F.struct(t["chunk"].alias("chunk_id"), w.alias("w")))
+    met = m.select(key, F.explode(F.flatten(F.transform("blocks", both))).alias("x")).select(key, "x.*").where("w.start IS NOT NULL AND w.end IS NOT NULL")
     times = met.groupBy(key, "chunk_id").agg(F.min("w.start").alias("start"), F.greatest(F.max("w.end"), F.min("w.start")).alias("end"), F.count("*").alias("matched"))
     timed = forward_order(chunks.join(times, [key, "chunk_id"], "left").select(key, "chunk_id", "text", "start", "end", "matched"))
     return timed.withColumn("matched", F.when(F.col("start").isNull(), 0).otherwise(F.col("matched")))
