@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_pairs, decontaminate, main_text, personal_data, quality, simhash, substring_dedup, token_counts, token_files, weighted_samples
+from . import byte_pairs, decontaminate, main_text, ngram_join, personal_data, quality, simhash, substring_dedup, token_counts, token_files, weighted_samples
 
 QUERIES = {
     "op1_suffix_dedup": substring_dedup.op1_suffix_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": personal_data.op10_personal_data,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 ORACLES: dict[str, str] = {}
