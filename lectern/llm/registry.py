@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_pairs, decontaminate, main_text, merkle_manifest, ngram_join, oracles, personal_data, quality, simhash, substring_dedup, token_counts, token_files, weighted_samples
+from . import byte_pairs, decontaminate, hard_negatives, main_text, merkle_manifest, ngram_join, oracles, personal_data, quality, simhash, substring_dedup, token_counts, token_files, weighted_samples
 
 QUERIES = {
     "op1_suffix_dedup": substring_dedup.op1_suffix_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": personal_data.op10_personal_data,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
     "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
     "op13_ngram_join": oracles.NGRAM_JOIN,
 }
