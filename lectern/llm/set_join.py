@@ -31,6 +31,9 @@ ROUNDS = 6
 PER_TASK = 32  # pairs that one copy of a shared partner's set serves
 HEAVY = 1 << 16  # shingles with a known frequency, 16 bytes each; the others count as rare
 SLICE_BYTES = 1 << 20
+BITS = 1024  # of a sketch; sets of many thousand shingles fill it, and are then ruled out less often
+SHORT = 8  # lists of up to so many sets are looked at together, length by length
+BROADCAST_ROWS = 200_000  # names of wanted texts, 16 bytes each; more are joined
 
 
 def _flat_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,9 +48,16 @@ def _flat_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np
     return hashes, of, np.bincount(of, minlength=len(texts))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """BITS parities of a set of hashes: each flips the bit that its upper half names. Sets differ in at least as many
+    shingles as their sketches in bits."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def set_marks(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set; null where it is empty) for every (doc_id, text); and, with `docs` not null,
-    how many texts of a slice have a frequent shingle."""
+    """doc_id, n, node (a hash of the set; null where it is empty) and sketch for every (doc_id, text); and, with `docs`
+    not null, how many texts of a slice have a frequent shingle."""
 
     def run(batches):
         import pyarrow as pa
@@ -57,14 +67,17 @@ def set_marks(docs: DataFrame, words: int) -> DataFrame:
             for ids, texts in text_slices(batch, SLICE_BYTES):
                 hashes, _, sizes = _flat_sets(texts, words)
                 ends = np.cumsum(sizes)
-                nodes = [xxh3_64_intdigest(hashes[e - n : e].tobytes()) - (1 << 63) if n else None for n, e in zip(sizes.tolist(), ends.tolist())]
+                own = [hashes[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
+                nodes = [xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in own]
                 shingles, counts = np.unique(hashes, return_counts=True)
                 often = counts >= 3
                 k, none = int(often.sum()), len(ids)
                 columns = [[*ids, *[None] * k], [*sizes.tolist(), *[None] * k], [*nodes, *[None] * k], [*[None] * none, *shingles[often].view(np.int64).tolist()], [*[None] * none, *counts[often].tolist()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n", "node", "shingle", "docs"])
+                columns = [pa.array(c, pa.int64()) for c in columns]
+                columns.append(pa.array([*([np.frombuffer(sketch(x), "<i8") for x in own]), *[None] * k], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "shingle", "docs", "sketch"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, node long, shingle long, docs long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, node long, shingle long, docs long, sketch array<long>")
 
 
 def _entries(docs: DataFrame, words: int, q: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -108,6 +121,10 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "node long, n long, shingles array<long>")
 
 
+def _apart(role: np.ndarray, side: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((role[x] == 0) | (role[x] != role[y])) & ((side[x] == 0) | (side[x] != side[y]))
+
+
 def pairs_of_list(n: np.ndarray, pos: np.ndarray, role: np.ndarray, side: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the candidate pairs of one list. Blocks of equal (n, pos) are skipped two by two: at its first shared
     entry a pair has no more in common than what lies behind it. `role` 0 meets all, 1 only 2; `side` 0 meets all, 1 only 2."""
@@ -118,21 +135,25 @@ def pairs_of_list(n: np.ndarray, pos: np.ndarray, role: np.ndarray, side: np.nda
     bn, bp = n[begins], pos[begins]
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(begins)):
-        fits = bn[i] * (q + 1) >= bn[i:] * (q - 1)
-        fits &= (1 + np.minimum(bn[i] - bp[i], bn[i:] - bp[i:]) - 1) * 2 * q >= (bn[i] + bn[i:]) * (q - 1)
-        for j in np.flatnonzero(fits) + i:
+        for j in np.flatnonzero(_fit(bn[i], bp[i], bn[i:], bp[i:], q)) + i:
             a, b = np.arange(begins[i], ends[i]), np.arange(begins[j], ends[j])
             if i == j:
                 x, y = np.triu_indices(len(a), 1)
                 x, y = a[x], a[y]
             else:
                 x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-            apart = ((role[x] == 0) | (role[x] != role[y])) & ((side[x] == 0) | (side[x] != side[y]))
+            apart = _apart(role, side, x, y)
             out_a.append(x[apart])
             out_b.append(y[apart])
     return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
 
 
+def _fit(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """Whether sets of n and m shingles that first meet at these positions can reach the threshold."""
+    fits = np.minimum(n, m) * (q + 1) >= np.maximum(n, m) * (q - 1)
+    return fits & (np.minimum(n - pos, m - at) * 2 * q >= (n + m) * (q - 1))
+
+
 def _candidates(lists: DataFrame, q: int) -> DataFrame:
     """a > b for the candidate pairs of lists (key, node, n, pos, role, side) of bounded length."""
     grouped = lists.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side")))
@@ -144,11 +165,19 @@ def _candidates(lists: DataFrame, q: int) -> DataFrame:
             columns = [batch.column(i) for i in range(1, 6)]
             offsets = columns[0].offsets.to_numpy()
             node, *rest = (c.values.to_numpy() for c in columns)
-            found = []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                if e - s > 1:
-                    x, y = pairs_of_list(*(r[s:e] for r in rest), q)
-                    found.append(np.stack([node[s:e][x], node[s:e][y]]))
+            n, pos, role, side = rest
+            found, lengths = [], np.diff(offsets)
+            for length in range(2, SHORT + 1):
+                starts = offsets[:-1][lengths == length]
+                for i in range(length if len(starts) else 0):
+                    for j in range(i):
+                        x, y = starts + i, starts + j
+                        meet = _fit(n[x], pos[x], n[y], pos[y], q) & _apart(role, side, x, y)
+                        found.append(np.stack([node[x[meet]], node[y[meet]]]))
+            long = lengths > SHORT
+            for s, e in zip(offsets[:-1][long].tolist(), offsets[1:][long].tolist()):
+                x, y = pairs_of_list(*(r[s:e] for r in rest), q)
+                found.append(np.stack([node[s:e][x], node[s:e][y]]))
             both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
 
@@ -165,12 +194,32 @@ def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(x, "a").join(y, ["b", "salt"])
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame, q: int) -> DataFrame:
+    """The pairs that their sketches leave."""
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, r: F.bit_count(p.bitwiseXOR(r))), F.lit(0), lambda total, n: total + n)
+    one, other = (sketches.select(F.col("node").alias(a), F.col("n").alias(f"n_{a}"), F.col("sketch").alias(x)) for a, x in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(other, "b").where(differ * q <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
     both = F.size(F.array_intersect("x.shingles", "y.shingles"))
     total = F.col("x.n") + F.col("y.n")
     return _met(pairs, sets).where((total - 2 * both) * q <= total).select("a", "b")
 
 
+def _sets_of(docs: DataFrame, own: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The sets of `nodes`, each from one text that has it. Names of up to BROADCAST_ROWS texts are sent to the tasks."""
+    reps = own.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    repeated = own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("repeated"))
+    wanted = checkpointed(nodes.distinct().join(reps, "node").join(repeated, "rep", "left"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(few, docs["doc_id"] == F.col("rep")).select(F.col("node").alias("doc_id"), "text", "repeated")
+    once = texts.where("repeated IS NULL").drop("repeated")
+    if not wanted.where("repeated").isEmpty():
+        once = once.unionByName(texts.where("repeated").drop("repeated").dropDuplicates(["doc_id"]))
+    return stored(_sets(once, words), "sets")
+
+
 def _around(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
     """node, pivot, n, linked, and the differences of the node to its pivot: first what it has more, then what it lacks."""
     more, less = F.array_except("x.shingles", "y.shingles"), F.array_except("y.shingles", "x.shingles")
@@ -211,14 +260,11 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
     entries = stored(_entries(docs, words, q, heavy), "entries")
     shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     lists = entries.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("role", F.lit(0).cast("long"))
-    reps = marks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    own = marks.where("node IS NOT NULL")
+    sketches = own.dropDuplicates(["node"]).select("node", "n", "sketch")
     links, sets = None, None
     for k in range(rounds + 1):
         lists = checkpointed(lists)
-        if sets is None:
-            wanted = lists.select("node").distinct().join(reps, "node")
-            texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select(F.col("node").alias("doc_id"), "text")
-            sets = stored(_sets(texts, words), "sets").dropDuplicates(["node"])
         sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p"), F.min("role").alias("lo"), F.max("role").alias("hi"))
         sizes = sizes.where("length > 1 AND (lo = 0 OR lo < hi)").select("key", "length", F.col("p.node").alias("pivot"))
         met = checkpointed(lists.join(sizes, "key"))
@@ -226,11 +272,15 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
         ready = few.select("key", "node", "n", "pos", "role", "side")
         if k == rounds:
             ready = ready.unionByName(_in_blocks(many, group))
-        found = checkpointed(_linked(checkpointed(_candidates(ready, q).distinct()), sets, q))
+        pairs = checkpointed(_likely(checkpointed(_candidates(ready, q).distinct()), sketches, q))
+        turned = many.where("node <> pivot").select("node", "pivot").distinct()
+        if sets is None:  # later lists hold sets of long lists only
+            sets = _sets_of(docs, own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")), words)
+        found = checkpointed(_linked(pairs, sets, q))
         links = found if links is None else links.unionByName(found)
         if k == rounds or many.isEmpty():
             return links
-        around = stored(_around(many.where("node <> pivot").select("node", "pivot").distinct(), sets, q), "around")
+        around = stored(_around(turned, sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
         links = links.unionByName(linked.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
         left = many.where("node <> pivot").join(linked, ["node", "pivot"], "left_anti").select("key", "node", "n", "pos", "role")
