@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, whole_texts
 from .components import connected_components
-from .set_join import GROUP, ROUNDS, set_links, set_marks
+from .set_join import CELL, GROUP, ROUNDS, set_links, set_marks
 
 WORDS = 3
 Q = 19  # (19 - 1) / (19 + 1) = 0.9
 
 
-def shingle_components(df: DataFrame, words: int = WORDS, q: int = Q, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def shingle_components(df: DataFrame, words: int = WORDS, q: int = Q, group: int = GROUP, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id for every (doc_id, text).
 
     Texts of fewer words are one shingle; null, empty and blank texts have none and are linked with nothing, so that
@@ -23,8 +23,8 @@ def shingle_components(df: DataFrame, words: int = WORDS, q: int = Q, group: int
     docs = whole_texts(df).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("id"))
     named = docs.select(F.col("id").alias("doc_id"), "text")
     marks = stored(set_marks(named, words), "marks")
-    own = marks.where("docs IS NULL").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "node")
-    linked = connected_components(set_links(named, marks, words, q, group, rounds))
+    own = marks.where("name IS NULL").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "node")
+    linked = connected_components(set_links(named, marks, words, q, group, rounds, cell))
     placed = docs.select("doc_id", "id").join(own, "id").join(linked, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "placed")
     least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))

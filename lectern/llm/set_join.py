@@ -7,10 +7,10 @@ ones first) are its entries in the index: two sets at the threshold share an ent
 * A list of up to GROUP sets falls into blocks of equal size and position. A pair of blocks whose sizes are too far
   apart, or whose sets have too little left behind their positions, is skipped whole; the others give candidates.
 * A longer list has its sets compared with one of them, the pivot r, which gives the differences x / r and r / x of each.
-  Sets that link with r leave the list. All that can still link with such a set lies near r too (D is a metric), and
-  what x and y share is known from their differences to r: linked sets then share a difference. So the near ones meet
-  again in lists of (r, difference), which are shorter as edits differ; lists go round until none is long. What is
-  left after ROUNDS rounds is cut into blocks that meet two by two.
+  Sets that link with r leave the list. What can still link with such a set, but not with r, lies near r too (D is a
+  metric), and what x and y share is known from their differences to r: linked sets then share a difference. So the two
+  kinds meet in lists of (r, difference). A list goes round ROUNDS times; what is left of it and the lists of
+  differences are cut into blocks that meet two by two, where sketches of BITS bits decide what becomes a candidate.
 
 Every candidate is checked on the whole sets, so no order, no count and no bound above changes the result. Shingles are
 known by 64-bit hashes.
@@ -18,26 +18,31 @@ known by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as hash_of
 
 from .common import checkpointed, stored, tidy
 from .pieces import text_slices
 from .simhash import shingle_hashes
 
 GROUP = 128
-ROUNDS = 6
+ROUNDS = 3
+CELL = 1024  # sets of two blocks that meet
 PER_TASK = 32  # pairs that one copy of a shared partner's set serves
-HEAVY = 1 << 16  # shingles with a known frequency, 16 bytes each; the others count as rare
+HEAVY = 1 << 16  # shingles, and words, with a known frequency, some 100 bytes each; the others count as rare
 SLICE_BYTES = 1 << 20
 BITS = 1024  # of a sketch; sets of many thousand shingles fill it, and are then ruled out less often
 SHORT = 8  # lists of up to so many sets are looked at together, length by length
 BROADCAST_ROWS = 200_000  # names of wanted texts, 16 bytes each; more are joined
 
 
-def _flat_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text in ascending order one after the other, the text of each, and how many each has."""
+def _flat_sets(texts: list[str], words: int, weight: dict[int, int] | None = None):
+    """The distinct shingles of each text in ascending order one after the other, the text of each, and how many each
+    has; with `weight` also their rarities."""
     hashes, starts = shingle_hashes(texts, words)
     of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(hashes))))
     order = np.lexsort((hashes, of))
@@ -45,7 +50,25 @@ def _flat_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
     hashes, of = hashes[first], of[first]
-    return hashes, of, np.bincount(of, minlength=len(texts))
+    sizes = np.bincount(of, minlength=len(texts))
+    return (hashes, of, sizes) if weight is None else (hashes, of, sizes, _rarities(texts, words, weight)[order][first])
+
+
+def _rarities(texts: list[str], words: int, weight: dict[int, int]) -> np.ndarray:
+    """For each shingle of `shingle_hashes`, how frequent its words are together; the same wherever it stands."""
+    out = []
+    for text in texts:
+        own = text.encode("utf-8").lower().split()
+        weights = np.array([weight.get(_word(w), 0) for w in own], np.int64)
+        if len(own) < words:
+            out.append(weights[:1] * 0)
+        else:
+            out.append(np.convolve(weights, np.ones(words, np.int64), "valid"))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _word(w: bytes) -> int:
+    return hash_of(w, 7) - (1 << 63)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -57,47 +80,58 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 def set_marks(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, node (a hash of the set; null where it is empty) and sketch for every (doc_id, text); and, with `docs`
-    not null, how many texts of a slice have a frequent shingle."""
+    not null, how many texts of a slice have a frequent shingle, or with `uses` how often a slice has a frequent word."""
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
             for ids, texts in text_slices(batch, SLICE_BYTES):
                 hashes, _, sizes = _flat_sets(texts, words)
                 ends = np.cumsum(sizes)
                 own = [hashes[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
-                nodes = [xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in own]
+                nodes = [hash_of(x.tobytes()) - (1 << 63) if len(x) else None for x in own]
                 shingles, counts = np.unique(hashes, return_counts=True)
                 often = counts >= 3
-                k, none = int(often.sum()), len(ids)
-                columns = [[*ids, *[None] * k], [*sizes.tolist(), *[None] * k], [*nodes, *[None] * k], [*[None] * none, *shingles[often].view(np.int64).tolist()], [*[None] * none, *counts[often].tolist()]]
+                used = Counter(w for text in texts for w in text.encode("utf-8").lower().split())
+                used = {_word(w): c for w, c in used.items() if c >= 4}
+                s, u, none = int(often.sum()), len(used), len(ids)
+                columns = [[*ids, *[None] * (s + u)], [*sizes.tolist(), *[None] * (s + u)], [*nodes, *[None] * (s + u)]]
+                columns += [[*[None] * none, *shingles[often].view(np.int64).tolist(), *used], [*[None] * none, *counts[often].tolist(), *[None] * u], [*[None] * (none + s), *used.values()]]
+                k = s + u
                 columns = [pa.array(c, pa.int64()) for c in columns]
                 columns.append(pa.array([*([np.frombuffer(sketch(x), "<i8") for x in own]), *[None] * k], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "shingle", "docs", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "name", "docs", "uses", "sketch"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, node long, name long, docs long, uses long, sketch array<long>")
+
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, node long, shingle long, docs long, sketch array<long>")
+def _known(marks: DataFrame, counted: str) -> dict[int, int]:
+    """The most frequent shingles or words (names) with their counts; a bounded number."""
+    often = marks.where(f"{counted} IS NOT NULL").groupBy("name").agg(F.sum(counted).alias("c")).orderBy(F.desc("c"), "name").limit(HEAVY)
+    return {r["name"]: r["c"] for r in often.collect()}
 
 
-def _entries(docs: DataFrame, words: int, q: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key (a shingle), node, n, pos for the first shingles of every set, the frequent ones last."""
-    known, counts = heavy
+def _entries(docs: DataFrame, words: int, q: int, heavy: dict[int, int], used: dict[int, int]) -> DataFrame:
+    """key (a shingle), node, n, pos for the first shingles of every set: frequent ones last, before them the others by
+    how frequent their words are."""
+    names = np.sort(np.array(list(heavy), np.int64).view(np.uint64))
+    frequent = docs.sparkSession.sparkContext.broadcast((names, np.array([heavy[int(x)] for x in names.view(np.int64)], np.int64), {w: round(1000 * float(np.log2(c))) for w, c in used.items()}))
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
 
+        known, counts, weight = frequent.value
         for batch in batches:
             for _, texts in text_slices(batch, SLICE_BYTES):
-                hashes, of, sizes = _flat_sets(texts, words)
+                hashes, of, sizes, rarity = _flat_sets(texts, words, weight)
                 if not len(hashes):
                     continue
                 ends = np.cumsum(sizes)
-                nodes = np.array([xxh3_64_intdigest(hashes[e - n : e].tobytes()) - (1 << 63) for n, e in zip(sizes.tolist(), ends.tolist())], np.int64)
+                nodes = np.array([hash_of(hashes[e - n : e].tobytes()) - (1 << 63) for n, e in zip(sizes.tolist(), ends.tolist())], np.int64)
                 at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 often = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
-                order = np.lexsort((hashes, often, of))
+                order = np.lexsort((hashes, rarity, often, of))
                 pos = np.arange(len(hashes)) - (ends - sizes)[of]
                 few = pos <= sizes[of] - -(-(q - 1) * sizes[of] // (q + 1))
                 order, of, pos = order[few], of[few], pos[few]
@@ -240,49 +274,63 @@ def _difference_lists(around: DataFrame, q: int) -> DataFrame:
     return rows.select(F.xxhash64("pivot", "token", F.lit(1)).alias("key"), "node", "n", F.lit(0).cast("long").alias("pos"), "role")
 
 
-def _in_blocks(many: DataFrame, group: int) -> DataFrame:
-    """Long lists as lists of at most two blocks of some `group` / 2 sets each; every two blocks meet once."""
-    blocks = F.ceil(2 * F.col("length") / group)
-    cut = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
+def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int) -> DataFrame:
+    """a > b for the pairs of lists (key, node, n, pos, role) of any length that sketches leave. A long list is cut into
+    blocks of some `cell` / 2 sets; every two blocks meet once."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min("role").alias("lo"), F.max("role").alias("hi"))
+    sizes = sizes.where("length > 1 AND (lo = 0 OR lo < hi)").select("key", F.when(F.col("length") <= cell, 1).otherwise(F.ceil(2 * F.col("length") / cell)).alias("blocks"))
+    cut = lists.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
     key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit(3))
-    return cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"))
+    dealt = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side")).join(sketches.select("node", "sketch"), "node")
+    grouped = dealt.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "sketch")))
 
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                node, n, pos, role, side = (batch.column(i)[k].values.to_numpy() for i in range(1, 6))
+                x, y = pairs_of_list(n, pos, role, side, q)
+                bits = batch.column(6)[k].values.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+                for s in range(0, len(x), 1 << 17):
+                    a, b = x[s : s + (1 << 17)], y[s : s + (1 << 17)]
+                    near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * q <= n[a] + n[b]
+                    both = np.stack([node[a[near]], node[b[near]]])
+                    yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
 
-def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
+
+
+def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int = GROUP, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """Links (a, b) between the sets (node) of `docs` (doc_id, text), each doc_id one text's; `marks` are theirs. Their
     components are those of all pairs at the threshold; pairs of sets that both link with a third one may be left out."""
-    often = marks.where("docs IS NOT NULL").groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(HEAVY).collect()
-    known = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    heavy = known[order], np.array([r["docs"] for r in often], np.int64)[order]
-    entries = stored(_entries(docs, words, q, heavy), "entries")
+    entries = stored(_entries(docs, words, q, _known(marks, "docs"), _known(marks, "uses")), "entries")
     shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     lists = entries.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("role", F.lit(0).cast("long"))
     own = marks.where("node IS NOT NULL")
     sketches = own.dropDuplicates(["node"]).select("node", "n", "sketch")
-    links, sets = None, None
+    links, apart, sets = None, None, None
     for k in range(rounds + 1):
         lists = checkpointed(lists)
-        sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p"), F.min("role").alias("lo"), F.max("role").alias("hi"))
-        sizes = sizes.where("length > 1 AND (lo = 0 OR lo < hi)").select("key", "length", F.col("p.node").alias("pivot"))
-        met = checkpointed(lists.join(sizes, "key"))
+        sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p")).where("length > 1")
+        met = checkpointed(lists.join(sizes.select("key", "length", F.col("p.node").alias("pivot")), "key"))
         few, many = met.where(F.col("length") <= group).withColumn("side", F.lit(0).cast("long")), met.where(F.col("length") > group)
-        ready = few.select("key", "node", "n", "pos", "role", "side")
-        if k == rounds:
-            ready = ready.unionByName(_in_blocks(many, group))
-        pairs = checkpointed(_likely(checkpointed(_candidates(ready, q).distinct()), sketches, q))
-        turned = many.where("node <> pivot").select("node", "pivot").distinct()
+        pairs = checkpointed(_likely(checkpointed(_candidates(few.drop("length", "pivot"), q).distinct()), sketches, q))
+        left = many.drop("length", "pivot")
+        if k == rounds or many.isEmpty():
+            rest = left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))
+            pairs = pairs.unionByName(checkpointed(_met_in_blocks(rest, sketches, q, cell))).distinct()
         if sets is None:  # later lists hold sets of long lists only
             sets = _sets_of(docs, own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")), words)
         found = checkpointed(_linked(pairs, sets, q))
         links = found if links is None else links.unionByName(found)
         if k == rounds or many.isEmpty():
             return links
-        around = stored(_around(turned, sets, q), "around")
+        around = stored(_around(many.where("node <> pivot").select("node", "pivot").distinct(), sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
         links = links.unionByName(linked.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
-        left = many.where("node <> pivot").join(linked, ["node", "pivot"], "left_anti").select("key", "node", "n", "pos", "role")
-        lists = left.unionByName(_difference_lists(around, q))
+        lists = many.where("node <> pivot").join(linked, ["node", "pivot"], "left_anti").select("key", "node", "n", "pos", "role")
+        apart = _difference_lists(around, q) if apart is None else apart.unionByName(_difference_lists(around, q))
     return links

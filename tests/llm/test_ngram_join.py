@@ -52,11 +52,11 @@ def corpus(n_base, copies, seed):
     return rows
 
 
-@pytest.mark.parametrize(("group", "rounds", "seed"), [(128, 6, 1), (4, 6, 2), (3, 1, 3), (4, 0, 4)])
-def test_components_are_those_of_all_pairs(spark, group, rounds, seed):
+@pytest.mark.parametrize(("group", "rounds", "cell", "seed"), [(128, 3, 1024, 1), (4, 3, 8, 2), (3, 1, 1024, 3), (4, 0, 6, 4)])
+def test_components_are_those_of_all_pairs(spark, group, rounds, cell, seed):
     rows = corpus(8, 8, seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, node string")
-    got = ngram_join.shingle_components(df, group=group, rounds=rounds)
+    got = ngram_join.shingle_components(df, group=group, rounds=rounds, cell=cell)
     assert sorted(str(tuple(x)) for x in got.collect()) == expected(rows)
 
 
