@@ -54,12 +54,24 @@ def _flat_sets(texts: list[str], words: int, weight: dict[int, int] | None = Non
     return (hashes, of, sizes) if weight is None else (hashes, of, sizes, _rarities(texts, words, weight)[order][first])
 
 
+class _Weights(dict):
+    """Weights of the words of a slice, each looked up once."""
+
+    def __init__(self, weight: dict[int, int]):
+        super().__init__()
+        self.weight = weight
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = found = self.weight.get(_word(w), 0)
+        return found
+
+
 def _rarities(texts: list[str], words: int, weight: dict[int, int]) -> np.ndarray:
     """For each shingle of `shingle_hashes`, how frequent its words are together; the same wherever it stands."""
-    out = []
+    out, of = [], _Weights(weight)
     for text in texts:
         own = text.encode("utf-8").lower().split()
-        weights = np.array([weight.get(_word(w), 0) for w in own], np.int64)
+        weights = np.array([of[w] for w in own], np.int64)
         if len(own) < words:
             out.append(weights[:1] * 0)
         else:
@@ -92,9 +104,9 @@ def set_marks(docs: DataFrame, words: int) -> DataFrame:
                 own = [hashes[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
                 nodes = [hash_of(x.tobytes()) - (1 << 63) if len(x) else None for x in own]
                 shingles, counts = np.unique(hashes, return_counts=True)
-                often = counts >= 3
+                often = counts >= 4
                 used = Counter(w for text in texts for w in text.encode("utf-8").lower().split())
-                used = {_word(w): c for w, c in used.items() if c >= 4}
+                used = {_word(w): c for w, c in used.items() if c >= 16}
                 s, u, none = int(often.sum()), len(used), len(ids)
                 columns = [[*ids, *[None] * (s + u)], [*sizes.tolist(), *[None] * (s + u)], [*nodes, *[None] * (s + u)]]
                 columns += [[*[None] * none, *shingles[often].view(np.int64).tolist(), *used], [*[None] * none, *counts[often].tolist(), *[None] * u], [*[None] * (none + s), *used.values()]]
@@ -303,6 +315,14 @@ def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int) ->
     return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
+def _contracted(links: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Links between leaders, and of each node with its own: the same components in fewer links."""
+    first = checkpointed(leaders.groupBy("node").agg(F.min("pivot").alias("leader")))
+    of = lambda c: first.select(F.col("node").alias(c), F.col("leader").alias(f"of_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+    return between.unionByName(leaders.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+
+
 def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int = GROUP, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """Links (a, b) between the sets (node) of `docs` (doc_id, text), each doc_id one text's; `marks` are theirs. Their
     components are those of all pairs at the threshold; pairs of sets that both link with a third one may be left out."""
@@ -310,8 +330,8 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
     shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     lists = entries.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("role", F.lit(0).cast("long"))
     own = marks.where("node IS NOT NULL")
-    sketches = own.dropDuplicates(["node"]).select("node", "n", "sketch")
-    links, apart, sets = None, None, None
+    sketches = stored(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+    links, apart, sets, leaders = None, None, None, None
     for k in range(rounds + 1):
         lists = checkpointed(lists)
         sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p")).where("length > 1")
@@ -327,10 +347,10 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
         found = checkpointed(_linked(pairs, sets, q))
         links = found if links is None else links.unionByName(found)
         if k == rounds or many.isEmpty():
-            return links
+            return links if leaders is None else _contracted(links, leaders)
         around = stored(_around(many.where("node <> pivot").select("node", "pivot").distinct(), sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
-        links = links.unionByName(linked.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+        leaders = linked if leaders is None else leaders.unionByName(linked)
         lists = many.where("node <> pivot").join(linked, ["node", "pivot"], "left_anti").select("key", "node", "n", "pos", "role")
         apart = _difference_lists(around, q) if apart is None else apart.unionByName(_difference_lists(around, q))
     return links
