@@ -97,7 +97,17 @@ HI_HUNDRED, HI_THOUSAND = "सौ", "हज़ार"
 MEDIA = "mp3 mp4 m4a wav flac ogg opus aac wma mkv mov avi webm".split()
 STATUSES = ["pending", "in_progress", "done", "failed", "skipped"]
 
+# Styles of reading, older names and feelings that are read as one of them, sounds that a model may make.
+STYLES, DEFAULT_STYLE = ["neutral", "calm", "emphatic"], "neutral"
+MERGED_STYLES = {"gentle": "calm", "solemn": "calm", "warm": "neutral", "bright": "emphatic", "urgent": "emphatic"}
+STYLE_ALIASES = {
+    "excited": "emphatic", "happy": "emphatic", "angry": "emphatic", "shouting": "emphatic", "sad": "calm", "serious": "calm",
+    "quiet": "calm", "soft": "calm", "whisper": "calm", "slow": "calm", "normal": "neutral", "plain": "neutral",
+}
+SOUND_TAGS = ["laugh", "chuckle", "cough"]
+
 # Thresholds.
+READING_RATE, REPEATED = 2.5, 0.6
 GAP_SECONDS, SLACK_SECONDS, REFILL_WORDS = 1.5, 1.0, 3
 SLOW_SECONDS, SLOW_RATE = 6.0, 1.3
 CLOSING_SECONDS = 1.5

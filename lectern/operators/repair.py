@@ -46,6 +46,52 @@ def choose_refill(stretches: DataFrame, candidates: DataFrame, least_words: int
     return best
 
 
+def slow_options(segments: DataFrame, slow: DataFrame) -> DataFrame:
+    """doc_id, seg_id, option, begin, finish: the stretches of a slow segment (segments: doc_id, seg_id, start, end, text)
+    to decode again. 1: all of it; 2: what comes before its text, said last; 3: what comes after it, said first."""
+    old = segments.join(slow.select("doc_id", "seg_id").distinct(), ["doc_id", "seg_id"])
+    said = F.size(text.words(F.coalesce("text", F.lit("")))) / rules.READING_RATE
+    option = lambda n, a, b: F.struct(F.lit(n).alias("option"), a.alias("begin"), b.alias("finish"))
+    start, end = F.col("start"), F.col("end")
+    each = old.select("doc_id", "seg_id", F.explode(F.array(option(1, start, end), option(2, start, end - said), option(3, start + said, end))).alias("o"))
+    return each.select("doc_id", "seg_id", "o.*").where(F.col("finish") - F.col("begin") >= rules.GAP_SECONDS)
+
+
+def replace_slow_segments(segments: DataFrame, words: DataFrame, slow: DataFrame, candidates: DataFrame, candidate_words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """segments (doc_id, at, seg_id, piece, start, end, text) and words (doc_id, start, end, word) after slow segments gave way
+    to what was decoded again.
+
+    candidates: doc_id, seg_id, option, piece, start, end, text (`slow_options` says of what); candidate_words: the same
+    keys with start, end, word. In options 2 and 3 pieces that repeat the old text (60 % of their words) don't count and
+    the old text stays beside the others, for as long as it takes to say. The option with most words wins, the first on a
+    tie, if it has three words more than the old text; options without pieces are none. Words that began within a
+    replaced segment go. Keys of segments and pieces are unique.
+    """
+    count = lambda c: F.size(text.words(F.coalesce(c, F.lit(""))))
+    options = slow_options(segments, slow)
+    old = segments.join(slow.select("doc_id", "seg_id").distinct(), ["doc_id", "seg_id"]).select("doc_id", "seg_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("text").alias("_t"))
+    pieces = candidates.join(options, ["doc_id", "seg_id", "option"]).join(old, ["doc_id", "seg_id"])
+    share = repeat_share(pieces.where("option > 1").select(F.struct("doc_id", "seg_id", "option", "piece").alias("id"), "text", "_t"), "text", "_t").where(F.col("share") >= rules.REPEATED).select("id.*")
+    pieces = pieces.join(share, ["doc_id", "seg_id", "option", "piece"], "left_anti")
+    total = pieces.groupBy("doc_id", "seg_id", "option").agg(F.sum(count(F.col("text"))).alias("n"), F.first(count(F.col("_t"))).alias("old"))
+    total = total.withColumn("n", F.col("n") + F.when(F.col("option") > 1, F.col("old")).otherwise(0))
+    best = total.groupBy("doc_id", "seg_id").agg(F.max_by("option", F.struct(F.col("n"), -F.col("option"))).alias("option"), (F.max("n") - F.first("old")).alias("gain")).where(F.col("gain") >= rules.REFILL_WORDS).drop("gain")
+    won = pieces.join(best, ["doc_id", "seg_id", "option"]).select("doc_id", "seg_id", F.col("piece").cast("long").alias("piece"), "start", "end", "text")
+    said = count(F.col("_t")) / rules.READING_RATE
+    first = F.col("option") == 3
+    kept = old.join(best.where("option > 1"), ["doc_id", "seg_id"]).select("doc_id", "seg_id", F.lit(None).cast("long").alias("piece"), F.when(first, F.col("_s")).otherwise(F.col("_e") - said).alias("start"), F.when(first, F.col("_s") + said).otherwise(F.col("_e")).alias("end"), F.col("_t").alias("text"))
+    stay = segments.join(best, ["doc_id", "seg_id"], "left_anti").select("doc_id", "seg_id", F.lit(None).cast("long").alias("piece"), "start", "end", "text")
+    out = stay.unionByName(won).unionByName(kept)
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "seg_id", F.col("piece").asc_nulls_first())) - 1
+    gone = old.join(best, ["doc_id", "seg_id"]).select("doc_id", F.col("_s").alias("start"), F.col("_e").alias("end"), F.lit(None).cast("string").alias("word"), F.lit(0).alias("kind"))
+    both = words.select("doc_id", "start", "end", "word", F.lit(1).alias("kind")).unionByName(gone)
+    reach = F.max(F.when(F.col("kind") == 0, F.col("end"))).over(Window.partitionBy("doc_id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    left = both.withColumn("reach", reach).where("kind = 1 AND (reach IS NULL OR start >= reach)").select("doc_id", "start", "end", "word")
+    if candidate_words is not None:
+        left = left.unionByName(candidate_words.join(won.select("doc_id", "seg_id", "piece").join(best, ["doc_id", "seg_id"]), ["doc_id", "seg_id", "option", "piece"]).select("doc_id", "start", "end", "word"))
+    return out.select("doc_id", at.alias("at"), "seg_id", "piece", "start", "end", "text"), left
+
+
 def repeat_share(df: DataFrame, a: str, b: str, key: str = "id") -> DataFrame:
     """key, share: of the words of text a (lower case, outer marks dropped) those that b has; 1.0 where a has none. Rows
     with one key count as one text. Words are counted by key before they meet, so long texts cost no more than words."""
