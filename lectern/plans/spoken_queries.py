@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import citations, spoken_citations
+from ..operators import chinese_citations, citations, spoken_citations
 from ..sources import fixtures as fx
 from .building_blocks import collector
 
@@ -84,3 +84,26 @@ def all_citations(spark, sf_dir):
     english = citations.find_citations(both, citations.book_tokens(spark)).withColumnRenamed("surface", "reference")
     hebrew = spoken_citations.spoken_citations(both, spark.createDataFrame(list(zip(BOOKS, NAMES["he"])), "book string, label string"), "he")
     return spoken_citations.all_citations([english, hebrew])
+
+
+# Names, and the sounds of their characters and of some that are heard for them.
+ZH_NAMES = ["创世记", "出埃及记", "民数记", "约书亚记", "约伯记", "诗篇"]
+ZH_SOUNDS = "创chuang 世shi 记ji 计ji 出chu 埃ai 及ji 民min 数shu 约yue 书shu 亚ya 伯bo 博bo 诗shi 师shi 篇pian"
+
+
+@query(f"""
+WITH li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+s AS (SELECT {_ID} AS id, ({BOOKS!r})[l_partkey % 6 + 1] AS book, translate(({ZH_NAMES!r})[l_partkey % 6 + 1], '记伯诗', CASE WHEN l_orderkey % 2 = 0 THEN '计博师' ELSE '记伯诗' END) AS name, 1 + l_suppkey % 150 AS c, l_linenumber AS v, l_orderkey % 5 AS form FROM li),
+x AS (SELECT *, name || '第' || c || '章第' || CASE form WHEN 0 THEN v || '节' WHEN 1 THEN v || '至' || (v + 2) || '节' ELSE ('一二三四五六七')[v] || '节' END AS cite FROM s)
+SELECT id, 3 AS begin, 3 + length(cite) AS "end", replace(book, 'Psalms', 'Psalm') || ' ' || c || ':' || v || CASE form WHEN 1 THEN '-' || (v + 2) ELSE '' END AS reference FROM x WHERE form <> 4""")
+def citations_zh(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(x) for x in values]), at.cast("int"))
+    form, v = F.col("l_orderkey") % 5, F.col("l_linenumber")
+    name = pick(ZH_NAMES, F.col("l_partkey") % 6 + 1)
+    name = F.when(form == 4, "无名").when(F.col("l_orderkey") % 2 == 0, F.translate(name, "记伯诗", "计博师")).otherwise(name)
+    verse = F.when(form == 0, v.cast("string")).when(form == 1, F.concat(v.cast("string"), F.lit("至"), (v + 2).cast("string"))).otherwise(F.substr(F.lit("一二三四五六七"), v.cast("int"), F.lit(1)))
+    key = F.concat_ws("-", *[F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    df = li.select(key.alias("id"), F.concat(F.lit("我们读"), name, F.lit("第"), (1 + F.col("l_suppkey") % 150).cast("string"), F.lit("章第"), verse, F.lit("节。")).alias("text"))
+    sounds = spark.createDataFrame([(x[0], x[1:]) for x in ZH_SOUNDS.split()], "char string, sound string")
+    return chinese_citations.chinese_citations(df, spark.createDataFrame(list(zip(BOOKS, ZH_NAMES)), "book string, label string"), sounds)

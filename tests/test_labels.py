@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import labels, punctuation, repair, spoken_citations, tagged
+from lectern.operators import chinese_citations, labels, punctuation, repair, spoken_citations, tagged
 
 
 def distance(a, b):
@@ -121,3 +121,30 @@ def test_replaced_segments(spark):
     assert sorted(r["word"] for r in left.collect()) == ["fine", "slow"]
     none = repair.replace_slow_segments(segments, words, slow, spark.createDataFrame([], "doc_id long, seg_id long, option int, piece long, start double, end double, text string"))
     assert none[0].count() == 3 and none[1].count() == 4
+
+
+def test_chinese_numbers(spark):
+    words = {"十二": 12, "一百五十": 150, "23": 23, "二三": None, "二十三": 23, "〇": 0, "百": 100, "两百零一": None}
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", chinese_citations.read_number(F.col("w")).alias("n"))
+    assert {r["w"]: r["n"] for r in df.collect()} == words
+    verses = {"第八和第九": "8,9", "十至十二": "10-12", "3节、5": "3,5", "二三": None}
+    df = spark.createDataFrame([(w,) for w in verses], "w string").select("w", chinese_citations.read_verses(F.col("w")).alias("n"))
+    assert {r["w"]: r["n"] for r in df.collect()} == verses
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("我们读《罗马书》第13章第12节。", [("《罗马书》第13章第12节", "Romans 13:12")]),
+        ("满了,十篇第二十三篇", []),
+        ("他说诗篇二十三篇第一节和希伯来书第十二章第三节", [("诗篇二十三篇第一节", "Psalm 23:1"), ("希伯来书第十二章第三节", "Hebrews 12:3")]),
+        ("听摩太前书第2章5节", [("摩太前书第2章5节", "1 Timothy 2:5")]),
+        ("无此书第2章第5节", []),
+    ],
+)
+def test_chinese_citations(spark, text, found):
+    names = [("Romans", "罗马书"), ("Psalms", "诗篇"), ("Hebrews", "希伯来书"), ("1 Timothy", "提摩太前书"), ("2 Timothy", "提摩太后书")]
+    sounds = [(c, c) for _, n in names for c in n]
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
+    got = chinese_citations.chinese_citations(df, spark.createDataFrame(names, "book string, label string"), spark.createDataFrame(sounds, "char string, sound string"))
+    assert [(text[r["begin"] : r["end"]], r["reference"]) for r in got.orderBy("begin").collect()] == found
