@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -158,3 +158,32 @@ def stage_plan(files: DataFrame, targets: list[str], translate: bool, speak: boo
     if not translate and not speak:
         stages.append(F.when(is_text, step("error")))
     return files.select("path", F.explode(F.filter(F.array(*stages), lambda x: x.isNotNull())).alias("x")).select("path", "x.stage", F.nullif("x.lang", F.lit("")).alias("lang"))
+
+
+def ledger_snapshot(state: DataFrame, reference_dir: str | None = None) -> DataFrame:
+    """All rows, with searched: where a text was looked for, for rows that are undecided (beside the file, then in the text
+    folder); null for the others."""
+    beside = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    folders = F.array(beside, F.lit(reference_dir)) if reference_dir else F.array(beside)
+    return state.withColumn("searched", F.when(F.col("mode") == "undecided", folders))
+
+
+def write_snapshot(snapshot: DataFrame, dest: str, version: int) -> None:
+    """A version of the ledger below `dest`; one that is there is never written over."""
+    snapshot.write.mode("errorifexists").parquet(f"{dest}/version={version:010d}")
+
+
+def read_snapshot(spark: SparkSession, dest: str, version: int | None = None) -> DataFrame:
+    """The rows of a version (the last one)."""
+    every = spark.read.option("basePath", dest).parquet(dest)
+    last = every.agg(F.max("version")).first()[0] if version is None else version
+    return every.where(F.col("version") == last).drop("version")
+
+
+def ledger_quarantine(raw: DataFrame, schema: str, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows, broken) of JSON texts: what fits the schema and names a path, and the texts that don't, as they are, with the
+    other columns of `raw`. A broken text stops nothing."""
+    parsed = raw.withColumn("_d", F.from_json(col, f"{schema}, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    bad = F.col("_d").isNull() | F.col("_d._broken").isNotNull() | F.col("_d.path").isNull()
+    rest = [c for c in raw.columns if c != col]
+    return parsed.where(~bad).select(*rest, "_d.*").drop("_broken"), parsed.where(bad).select(*rest, col)
