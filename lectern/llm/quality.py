@@ -17,6 +17,7 @@ from .pieces import text_slices
 PASSAGE = 512
 #: Bounds of the fit alone: most labelled documents, and most bytes of them all (a document counts whole or not at all).
 FIT_DOCUMENTS, FIT_BYTES = 4000, 32 << 20
+FIT_TEXT = FIT_BYTES // 16  # bytes of one text
 FOLDS = 5
 CUT = 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 400, 0.03, 1e-4
@@ -121,7 +122,7 @@ def held_out(doc_id) -> F.Column:
 
 def fit_quality(df: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> AttentionModel:
     """The model learned from at most `most` labelled rows (those with the smallest hash of their doc_id) outside the
-    held-out fold, as far as FIT_BYTES go, each with all its passages. Rows with a null or other label, or without a
+    held-out fold, as far as FIT_BYTES go, each with all its passages; a text over FIT_TEXT bytes is left out alone. Rows with a null or other label, or without a
     document, teach nothing; of several labels of a document the largest counts, of several texts the first in order.
     Without both classes every score is the share of label 1 (0.5 without labels)."""
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -138,8 +139,10 @@ def fit_quality(df: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) ->
     held = whole_texts(df).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("_label").alias("_label"), F.min("text").alias("text"))
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` sizes
     within = stored(held, "labelled").withColumn("_size", F.octet_length("text"))
-    chosen = within.select("doc_id", F.sum("_size").over(so_far).alias("_sum")).where(F.col("_sum") <= FIT_BYTES).select("doc_id")
+    chosen = within.where(F.col("_size") <= FIT_TEXT).select("doc_id", F.sum("_size").over(so_far).alias("_sum")).where(F.col("_sum") <= FIT_BYTES).select("doc_id")
     rows = within.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text").mapInArrow(tidy(run), "doc_id long, label double, x binary").collect()
+    if not rows and not within.isEmpty():
+        raise ValueError(f"every labelled text is longer than {FIT_TEXT} bytes")
     rows.sort(key=lambda r: (r.doc_id, r.x))
     bags, y = [np.frombuffer(r.x, "<f4").reshape(-1, MEASURES) for r in rows], np.array([r.label for r in rows])
     model = AttentionModel()
