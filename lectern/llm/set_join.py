@@ -232,6 +232,9 @@ def _candidates(lists: DataFrame, q: int) -> DataFrame:
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) with both sets, x and y; a partner of very many is copied for the join."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if wanted.count() <= BROADCAST_ROWS:  # else every set crosses the exchanges, wanted or not
+        sets = sets.join(F.broadcast(wanted), "node", "left_semi")
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).alias("s"))
     dealt = pairs.join(shares.where("s > 1"), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("s", F.lit(1))).alias("salt"))
     x = sets.select(F.col("node").alias("a"), F.struct("n", "shingles").alias("x"))
@@ -348,7 +351,7 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
         links = found if links is None else links.unionByName(found)
         if k == rounds or many.isEmpty():
             return links if leaders is None else _contracted(links, leaders)
-        around = stored(_around(many.where("node <> pivot").select("node", "pivot").distinct(), sets, q), "around")
+        around = stored(_around(checkpointed(many.where("node <> pivot").select("node", "pivot").distinct()), sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
         leaders = linked if leaders is None else leaders.unionByName(linked)
         lists = many.where("node <> pivot").join(linked, ["node", "pivot"], "left_anti").select("key", "node", "n", "pos", "role")
