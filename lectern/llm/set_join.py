@@ -38,6 +38,7 @@ SLICE_BYTES = 1 << 20
 BITS = 1024  # of a sketch; sets of many thousand shingles fill it, and are then ruled out less often
 SHORT = 8  # lists of up to so many sets are looked at together, length by length
 BROADCAST_ROWS = 200_000  # names of wanted texts, 16 bytes each; more are joined
+BROADCAST_BYTES = 16 << 20  # of partners' sets; larger ones are joined
 
 
 def _flat_sets(texts: list[str], words: int, weight: dict[int, int] | None = None):
@@ -235,6 +236,10 @@ def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if wanted.count() <= BROADCAST_ROWS:  # else every set crosses the exchanges, wanted or not
         sets = sets.join(F.broadcast(wanted), "node", "left_semi")
+    partners = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    if (partners.agg(F.sum("n")).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+        x = sets.select(F.col("node").alias("a"), F.struct("n", "shingles").alias("x"))
+        return pairs.join(x, "a").join(F.broadcast(partners.select(F.col("node").alias("b"), F.struct("n", "shingles").alias("y"))), "b")
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).alias("s"))
     dealt = pairs.join(shares.where("s > 1"), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("s", F.lit(1))).alias("salt"))
     x = sets.select(F.col("node").alias("a"), F.struct("n", "shingles").alias("x"))
@@ -270,22 +275,23 @@ def _sets_of(docs: DataFrame, own: DataFrame, nodes: DataFrame, words: int) -> D
 
 
 def _around(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
-    """node, pivot, n, linked, and the differences of the node to its pivot: first what it has more, then what it lacks."""
+    """node, pivot, n, linked, and the differences of the node to its pivot: first what it has more, then what it lacks; of
+    the nodes that link with it, or lie so near that they can link with one that does."""
     more, less = F.array_except("x.shingles", "y.shingles"), F.array_except("y.shingles", "x.shingles")
     met = _met(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
     met = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("x.n").alias("n"), F.col("y.n").alias("pivot_n"), F.concat(F.sort_array(more), F.sort_array(less)).alias("apart"))
-    return met.withColumn("linked", F.size("apart") * q <= F.col("n") + F.col("pivot_n"))
+    t = (q - 1) / (q + 1)
+    near = F.size("apart") <= F.col("n") * (2 / (q - 1) + (1 / t + 1 / t**2) / q) + 1
+    return met.withColumn("linked", F.size("apart") * q <= F.col("n") + F.col("pivot_n")).where(F.col("linked") | near)
 
 
 def _difference_lists(around: DataFrame, q: int) -> DataFrame:
     """The lists of (pivot, difference) in which a set that links with the pivot meets all that it can link with and
     that don't link with the pivot themselves."""
-    t = (q - 1) / (q + 1)
     d, reach = F.size("apart"), F.floor(2 * F.col("n") / (q - 1)) + 1
     first = F.when(F.col("linked"), d - F.floor((q - 1) * d / (2 * q))).otherwise(F.least(d, reach)).cast("int")
-    near = F.col("linked") | (d <= F.col("n") * (2 / (q - 1) + (1 / t + 1 / t**2) / q) + 1)
     role = F.when(F.col("linked"), 1).otherwise(2).cast("long")
-    rows = around.where(near & (d > 0)).select("node", "n", "pivot", role.alias("role"), F.explode(F.slice("apart", F.lit(1), first)).alias("token"))
+    rows = around.where(d > 0).select("node", "n", "pivot", role.alias("role"), F.explode(F.slice("apart", F.lit(1), first)).alias("token"))
     return rows.select(F.xxhash64("pivot", "token", F.lit(1)).alias("key"), "node", "n", F.lit(0).cast("long").alias("pos"), "role")
 
 
