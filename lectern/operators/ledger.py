@@ -94,7 +94,7 @@ def ledger_run_report(state: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def ledger_unfinished(state: DataFrame) -> DataFrame:
-    """Rows that are pending or under way, with whether any is."""
+    """Rows that are pending or under way."""
     return state.where(F.col("status").isin("pending", "in_progress"))
 
 
