@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,7 @@ def edit_regions(df: DataFrame, a: str = "ref", b: str = "hyp", key: str = "id",
     return m.select(key, F.explode(told).alias("r")).select(key, "r.*").select(key, kind.alias("kind"), "i1", "i2", "j1", "j2", "spoken", "heard")
 
 
-def error_rate(df: DataFrame, lost_at: int = 8, a: str = "ref", b: str = "hyp", keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def error_rate(df: DataFrame, lost_at: int | Column = 8, a: str = "ref", b: str = "hyp", keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """keys, edits, n, rate, lost: the longer side of every run that differs over the tokens of the reference, and the
     tokens in runs of `lost_at` or more that are left out; rows without a key are totals over it (a rollup)."""
     parts = _between(F.col("blocks"))

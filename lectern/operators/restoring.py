@@ -158,16 +158,23 @@ def route_for_model(df: DataFrame, col: str = "text", masked: str = "masked", re
     return df.withColumn("route", F.coalesce(route, F.lit("model")))
 
 
-def translate_segments(df: DataFrame, fn: Callable[[list[str]], list[str]], lang: str, names: str = "refs", col: str = "text") -> DataFrame:
+def translate_segments(df: DataFrame, fn: Callable[[list[str]], list[str]], lang: str, names: str = "refs", col: str = "text", opened: str | None = None) -> DataFrame:
     """df (text, masked, refs from citations.mask_citations; any other columns stay, times among them) with route and translated.
 
     Blank texts stay as they are; a citation alone is put in by its name; the rest goes to the model with its citations
     masked and gets them back by `names` (a column of names in `lang`, in the order of refs). A row in, a row out.
+    `opened` is a column of lines rendered already (opening_lines.set_apart): they stand before the translation, and
+    where nothing else was said (route fixed) they are all of it.
     """
-    routed = route_for_model(df, col).withColumn("_row", F.when(F.col("route") == "model", F.trim(text.source_fixups(F.col("masked")))))
+    routed = route_for_model(df, col)
+    if opened:
+        routed = routed.withColumn("route", F.when(F.col(opened).isNotNull() & (F.col("route") == "blank"), "fixed").otherwise(F.col("route")))
+    routed = routed.withColumn("_row", F.when(F.col("route") == "model", F.trim(text.source_fixups(F.col("masked")))))
     done = apply_model(routed.where("route = 'model'"), fn, "_row", "_said")
     apart = routed.where("route <> 'model'").withColumn("_said", F.lit(None).cast("string"))
     back = F.when(F.col("route") == "blank", F.col(col)).when(F.col("route") == "citation", restore_fitted(F.col("masked"), F.col(names), lang)).otherwise(unprotect(F.col("masked"), F.col("_said"), F.col(names), lang))
+    if opened:
+        back = F.when(F.col("route") == "fixed", F.col(opened)).otherwise(F.concat(F.coalesce(F.col(opened), F.lit("")), back))
     return done.unionByName(apart).withColumn("translated", back).drop("_row", "_said")
 
 

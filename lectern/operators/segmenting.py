@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -103,8 +103,12 @@ def source_clauses(df: DataFrame, key: str = "doc_id", col: str = "text", least:
 def reading_clauses(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
     """key, clause, text: cut after commas, semicolons, colons not between digits, after their Arabic and CJK kin, and
     after spaced dashes; the mark stays left."""
+    return df.select(key, F.posexplode(_breaths(F.col(col))).alias("clause", "text"))
+
+
+def _breaths(col: Column) -> Column:
     cut = F.regexp_replace(col, r"((?:(?<![0-9])[,;:](?![0-9])|[,;:](?=\s)|[،؛，；：、]|\s[-–—](?=\s)))\s*", "$1" + text.MARK)
-    return df.select(key, F.posexplode(F.filter(F.transform(F.split(cut, text.MARK), F.trim), lambda p: p != "")).alias("clause", "text"))
+    return F.filter(F.transform(F.split(cut, text.MARK), F.trim), lambda p: p != "")
 
 
 def pack_chunks(sentences: DataFrame, budget: int = rules.CHUNK_BUDGET, key: str = "doc_id", order: str = "sent") -> DataFrame:
@@ -126,6 +130,35 @@ def pack_chunks(sentences: DataFrame, budget: int = rules.CHUNK_BUDGET, key: str
     return listed.select(key, F.posexplode(packed).alias("chunk_id", "text"))
 
 
+def pack_for_speech(sentences: DataFrame, budget: int = rules.CHUNK_BUDGET, openers: tuple[str, ...] = (), key: str = "doc_id", order: str = "sent") -> DataFrame:
+    """As pack_chunks for texts that are read aloud: a sentence over the budget is offered as its clauses (one without
+    any stays whole), what ends in a colon goes with what it introduces if both fit, and a sentence that starts with one
+    of `openers` starts a chunk. Blank sentences are left out."""
+    one = lambda c: F.trim(F.regexp_replace(c, "[ \t]+", " "))
+    listed = sentences.where(one(F.col("text")) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), one(F.col("text")).alias("t")))).alias("s"))
+    units = F.flatten(F.transform("s", lambda x: F.when(text.spoken_length(x["t"]) <= budget, F.array(x["t"])).otherwise(_breaths(x["t"]))))
+    sized = listed.select(key, F.transform(units, lambda u: F.struct(u.alias("t"), text.spoken_length(u).alias("n"))).alias("u"))
+    none = F.expr("cast(array() as array<struct<t:string,n:bigint>>)")
+    start = F.struct(F.lit("").alias("open"), F.lit(0).cast("long").alias("n"), none.alias("done"))
+    ended = lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], F.struct(a["open"].alias("t"), a["n"].alias("n"))))
+
+    def fold(col, joins):
+        def step(a, x):
+            fits = (a["n"] > 0) & (a["n"] + 1 + x["n"] <= budget) & joins(a, x)
+            return F.struct(
+                F.when(fits, F.concat(a["open"], F.lit(" "), x["t"])).otherwise(x["t"]).alias("open"),
+                F.when(fits, a["n"] + 1 + x["n"]).otherwise(x["n"]).alias("n"),
+                F.when(fits, a["done"]).otherwise(ended(a)).alias("done"),
+            )
+
+        return F.aggregate(col, start, step, ended)
+
+    with_next = sized.select(key, fold("u", lambda a, x: a["open"].rlike("[:：]\\s*$")).alias("u"))
+    opens = lambda x: F.lit(False) if not openers else x["t"].rlike("^(?:" + "|".join(rf"\Q{o}\E" for o in openers) + ")")
+    packed = with_next.select(key, F.transform(fold("u", lambda a, x: ~opens(x)), lambda x: x["t"]).alias("c"))
+    return packed.select(key, F.posexplode("c").alias("chunk_id", "text"))
+
+
 def rebuild_paragraphs(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, text: sentences joined by newlines, paragraphs by blank lines, blank sentences dropped."""
     kept = sentences.where(F.trim("text") != "")

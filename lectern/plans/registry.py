@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import ledger, repair, scoring, segmenting
 from ..sources import fixtures as fx
-from . import alignment_queries, building_blocks, citation_queries, label_queries, number_queries, restoring_queries, spoken_queries, stream_queries
+from . import alignment_queries, building_blocks, citation_queries, label_queries, number_queries, opening_queries, reading_queries, restoring_queries, spoken_queries, stream_queries
 from .oracles import ORACLES as _OWN
 
-QUERIES = alignment_queries.QUERIES | building_blocks.QUERIES | citation_queries.QUERIES | label_queries.QUERIES | number_queries.QUERIES | restoring_queries.QUERIES | spoken_queries.QUERIES | stream_queries.QUERIES
-ORACLES = _OWN | alignment_queries.ORACLES | building_blocks.ORACLES | citation_queries.ORACLES | label_queries.ORACLES | number_queries.ORACLES | restoring_queries.ORACLES | spoken_queries.ORACLES | stream_queries.ORACLES
+QUERIES = alignment_queries.QUERIES | building_blocks.QUERIES | citation_queries.QUERIES | label_queries.QUERIES | number_queries.QUERIES | opening_queries.QUERIES | reading_queries.QUERIES | restoring_queries.QUERIES | spoken_queries.QUERIES | stream_queries.QUERIES
+ORACLES = _OWN | alignment_queries.ORACLES | building_blocks.ORACLES | citation_queries.ORACLES | label_queries.ORACLES | number_queries.ORACLES | opening_queries.ORACLES | reading_queries.ORACLES | restoring_queries.ORACLES | spoken_queries.ORACLES | stream_queries.ORACLES
 
 
 def query(f):
