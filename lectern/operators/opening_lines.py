@@ -84,47 +84,75 @@ def fixed_lines(df: DataFrame, source: str = "source", target: str = "target", c
     has no table (English to zh, he, ar; zh and ar to English; a null source is English). Series names may be said
     several times over before another line. Days are in ASCII digits, in Arabic in either kind.
     """
-    said, to, t = F.coalesce(F.col(source), F.lit("en")), F.col(target), F.col("_t")
-    en, zh, ar = (F.col("_s") == x for x in ("en", "zh", "ar"))
+    said, to = F.coalesce(F.col(source), F.lit("en")), F.col(target)
     pair = F.when((said == "en") & to.isin(*TITLES), "en").when((to == "en") & said.isin("zh", "ar"), said)
     head = F.when((said == "en") & to.isin(*SERIES_NAMES), F.regexp_extract(col, SERIES, 1)).otherwise("")
+    opened = F.struct(pair.alias("s"), F.col(col).alias("text"), to.alias("to"), head.alias("head"), F.when(said == "ar", text.words(F.col(col))).alias("words"))
+    line = _let(opened, lambda x: _let(_cut(x), lambda y: _let(_parts(y), lambda z: _let(_numbers(z), _rendered))))
+    return df.withColumn("_line", line).select(*df.columns, "_line.rendered", "_line.rest")
+
+
+def _let(value: Column, fn) -> Column:
+    """fn of a value that stands in the plan once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _grown(x: Column, names: str, **more: Column) -> Column:
+    return F.struct(*[x[n].alias(n) for n in names.split()], *[c.alias(n) for n, c in more.items()])
+
+
+def _cut(x: Column) -> Column:
+    """The text without series names, and the first words folded."""
     fold = lambda w: F.btrim(F.translate(F.translate(F.regexp_replace(w, "[ً-ْـ]", ""), *AR_FOLD), *AR_DIGITS), F.lit(AR_STOPS))
-    step = df.withColumns({"_s": pair, "_head": head, "_words": F.when(said == "ar", text.words(F.col(col)))})
-    step = step.withColumns({"_t": F.when(F.col("_head") == "", F.col(col)).otherwise(_trim(F.substr(F.col(col), F.length("_head") + 1))), "_w": F.transform(F.slice("_words", 1, 5), fold)})
-
-    # the line's parts, as they are written
-    at = lambda k: F.coalesce(F.get("_w", F.lit(k)), F.lit(""))
-    months = _map({m.translate(str.maketrans(*AR_FOLD)): k for k, m in enumerate(MONTHS["ar"], 1)})
-    title = F.when(en, t.rlike(TITLE)).when(zh, t.rlike(ZH_TITLE)).when(ar, at(0).rlike(AR_MANNA) & at(1).rlike(AR_DAY_WORD))
-    again = F.when(en, t.rlike(AGAIN)).when(zh, t.rlike(ZH_AGAIN)).when(ar, (at(0) == "النص") & (at(1) == "مجددا"))
+    t = F.when(x["head"] == "", x["text"]).otherwise(_trim(F.substr(x["text"], F.length(x["head"]) + 1)))
+    return _grown(x, "s to head words", t=t, w=F.transform(F.slice(x["words"], 1, 5), fold))
+
+
+def _at(x: Column, k: int) -> Column:
+    return F.coalesce(F.get(x["w"], F.lit(k)), F.lit(""))
+
+
+def _parts(x: Column) -> Column:
+    """Which line it is, and the month and day as they are written."""
+    en, zh, ar = (x["s"] == lang for lang in ("en", "zh", "ar"))
+    t = x["t"]
+    title = F.when(en, t.rlike(TITLE)).when(zh, t.rlike(ZH_TITLE)).when(ar, _at(x, 0).rlike(AR_MANNA) & _at(x, 1).rlike(AR_DAY_WORD))
+    again = F.when(en, t.rlike(AGAIN)).when(zh, t.rlike(ZH_AGAIN)).when(ar, (_at(x, 0) == "النص") & (_at(x, 1) == "مجددا"))
     part = lambda k: F.when(en, F.regexp_extract(t, TITLE, k)).when(zh, F.regexp_extract(t, ZH_TITLE, k))
-    end = F.when(ar, F.when(F.try_element_at(months, at(3)).isNotNull(), 3).when(F.try_element_at(months, at(4)).isNotNull(), 4))
-    step = step.withColumns({"_title": title, "_again": again, "_m": part(1), "_d": part(2), "_end": end})
-
-    # and as numbers
-    month = F.when(en, F.try_element_at(_map({m.lower(): k for k, m in enumerate(MONTHS["en"], 1)}), F.lower("_m"))).when(zh, _zh_number(F.col("_m"))).when(ar, F.try_element_at(months, F.get("_w", F.col("_end"))))
-    day = F.when(en, F.col("_d").try_cast("int")).when(zh, _zh_number(F.col("_d"))).when(ar, _ar_day(F.slice("_w", F.lit(3), F.col("_end") - 2)))
-    skip = F.when(F.col("_again"), F.lit(2)).otherwise(F.col("_end") + 1)
-    more = F.when(ar, F.array_join(F.slice("_words", skip + 1, F.size("_words")), " "))
-    more = more.when(F.col("_again"), _trim(F.when(en, F.regexp_extract(t, AGAIN, 1)).otherwise(F.regexp_extract(t, ZH_AGAIN, 1)))).otherwise(_trim(part(3)))
-    step = step.withColumns({"_month": month, "_day": day, "_rest": more})
-
-    alone = F.col("_rest") == ""
-    name = F.when(to == "en", _month(MONTHS["en"], F.col("_month"))).when(to == "he", _month(MONTHS["he"], F.col("_month"))).when(to == "ar", _month(MONTHS["ar"], F.col("_month"))).otherwise("")
+    end = F.when(ar, F.when(F.try_element_at(_ar_months(), _at(x, 3)).isNotNull(), 3).when(F.try_element_at(_ar_months(), _at(x, 4)).isNotNull(), 4))
+    return _grown(x, "s to head words t w", title=title, again=F.coalesce(again, F.lit(False)), m=part(1), d=part(2), tail=part(3), end=end)
+
+
+def _ar_months() -> Column:
+    return _map({m.translate(str.maketrans(*AR_FOLD)): k for k, m in enumerate(MONTHS["ar"], 1)})
+
+
+def _numbers(x: Column) -> Column:
+    """Month and day as numbers, and what follows the line."""
+    en, zh, ar = (x["s"] == lang for lang in ("en", "zh", "ar"))
+    month = F.when(en, F.try_element_at(_map({m.lower(): k for k, m in enumerate(MONTHS["en"], 1)}), F.lower(x["m"]))).when(zh, _zh_number(x["m"])).when(ar, F.try_element_at(_ar_months(), F.get(x["w"], x["end"])))
+    day = F.when(en, x["d"].try_cast("int")).when(zh, _zh_number(x["d"])).when(ar, _ar_day(F.slice(x["w"], F.lit(3), x["end"] - 2)))
+    skip = F.when(x["again"], F.lit(2)).otherwise(x["end"] + 1)
+    rest = F.when(ar, F.array_join(F.slice(x["words"], skip + 1, F.size(x["words"])), " "))
+    rest = rest.when(x["again"], _trim(F.when(en, F.regexp_extract(x["t"], AGAIN, 1)).otherwise(F.regexp_extract(x["t"], ZH_AGAIN, 1)))).otherwise(_trim(x["tail"]))
+    return _grown(x, "to head t title again", month=month, day=day, rest=rest)
+
+
+def _rendered(x: Column) -> Column:
+    """The line in the target language, and what is still to translate."""
+    to, alone = x["to"], x["rest"] == ""
+    name = F.when(to == "en", _month(MONTHS["en"], x["month"])).when(to == "he", _month(MONTHS["he"], x["month"])).when(to == "ar", _month(MONTHS["ar"], x["month"])).otherwise("")
     words = _template(TITLES | {"en": "Manna for {month_name} {day}"}, to)
-    for key, value in (("{month_name}", name), ("{month}", F.col("_month").cast("string")), ("{day}", F.col("_day").cast("string"))):
+    for key, value in (("{month_name}", name), ("{month}", x["month"].cast("string")), ("{day}", x["day"].cast("string"))):
         words = F.replace(words, F.lit(key), value)
     titled = F.concat(words, F.when(alone, _template(ALONE | {"en": "."}, to)).otherwise(_template(BEFORE_REST | {"en": ". "}, to)))
     colon = _template(BEFORE_REST | {"en": ": "}, to)
     announced = F.concat(_template(AGAINS | {"en": "The text again"}, to), F.when(alone, F.rtrim(colon)).otherwise(colon))
-    good = F.col("_title") & _in(F.col("_month"), 1, 12) & _in(F.col("_day"), 1, 31)
-    step = step.withColumn("_line", F.when(good, titled).when(F.col("_again"), announced))
-
-    named = F.col("_head") != ""
-    series = F.array_join(F.array_repeat(F.concat(_template(SERIES_NAMES, to), _template(ALONE, to)), F.regexp_count("_head", F.lit("(?i)Manna"))), " ")
-    chained = F.concat(series, F.when(F.col("_line").isNotNull(), F.concat(F.lit(" "), "_line")).when(t == "", "").otherwise(" "))
-    rest = F.when(F.col("_line").isNotNull(), F.col("_rest")).when(named, t)
-    return step.select(*df.columns, F.when(named, chained).otherwise(F.col("_line")).alias("rendered"), rest.alias("rest"))
+    line = F.when(x["title"] & _in(x["month"], 1, 12) & _in(x["day"], 1, 31), titled).when(x["again"], announced)
+    series = F.array_join(F.array_repeat(F.concat(_template(SERIES_NAMES, to), _template(ALONE, to)), F.regexp_count(x["head"], F.lit("(?i)Manna"))), " ")
+    said = lambda v: F.concat(series, F.when(v.isNotNull(), F.concat(F.lit(" "), v)).when(x["t"] == "", "").otherwise(" "))
+    both = lambda v: F.struct(F.when(x["head"] != "", said(v)).otherwise(v).alias("rendered"), F.when(v.isNotNull(), x["rest"]).when(x["head"] != "", x["t"]).alias("rest"))
+    return _let(line, both)
 
 
 def set_apart(df: DataFrame, source: str = "source", target: str = "target", col: str = "text") -> DataFrame:

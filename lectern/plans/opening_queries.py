@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import opening_lines
+from ..operators import citations, opening_lines, restoring
 from ..sources import fixtures as fx
 from .building_blocks import collector
 
@@ -45,3 +45,14 @@ r AS (SELECT *,
 @query(f"{_SAID} SELECT id, rendered, CASE WHEN rendered IS NOT NULL THEN left_over END AS rest FROM r")
 def fixed_lines(spark, sf_dir):
     return opening_lines.fixed_lines(_made(spark, sf_dir)).select("id", "rendered", "rest")
+
+
+def _upper(texts: list[str]) -> list[str]:
+    return [t.upper() for t in texts]
+
+
+@query(f"{_SAID} SELECT id, CASE WHEN left_over = '' THEN 'fixed' ELSE 'model' END AS route, rendered || upper(left_over) AS translated FROM r WHERE rendered IS NOT NULL")
+def translate_opened(spark, sf_dir):
+    cut = opening_lines.set_apart(_made(spark, sf_dir)).where("opened IS NOT NULL")
+    spans = citations.find_citations(cut, citations.book_tokens(spark))
+    return restoring.translate_segments(citations.mask_citations(cut, spans), _upper, "zh", opened="opened").select("id", "route", "translated")
