@@ -1,7 +1,7 @@
 """Citations of books in sentences: found, named, set aside before a model sees the text, and put back.
 
 Rows are sentences: the text goes with its spans through one exchange by key. The book tables are relations of the
-user (a row for each token, a few hundred), so they are broadcast. Null texts have no citation.
+user (a row for each token); Spark broadcasts them where their size allows it. Null texts have no citation.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def find_citations(df: DataFrame, tokens: DataFrame, key: str = "id", col: str =
     found = df.select(key, t.alias("_t")).where(F.col("_t").rlike(r"\d"))
     found = found.select(key, "_t", F.explode(F.concat(*[_spans(_alternating(F.col("_t"), p)) for p in (WRITTEN, SPOKEN)])).alias("s")).select(key, "_t", "s.*")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.expr("substring(_t, begin + 1, end - begin)")), F.lit("[a-z]+"), F.lit(0)))
-    named = found.withColumn("_w", F.explode(words)).join(F.broadcast(tokens.select(F.col("token").alias("_w")).distinct()), "_w", "left_semi")
+    named = found.withColumn("_w", F.explode(words)).join(tokens.select(F.col("token").alias("_w")).distinct(), "_w", "left_semi")
     w = Window.partitionBy(key).orderBy("begin", F.desc("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     grouped = named.withColumn("_new", F.when(F.col("begin") < before, 0).otherwise(1)).withColumn("_group", F.sum("_new").over(w))
@@ -80,7 +80,7 @@ def name_citations(spans: DataFrame, tokens: DataFrame, key: str = "id") -> Data
     ordinals = F.create_map(*[F.lit(x) for kv in rules.ORDINALS.items() for x in kv])
     cut = spans.withColumn("_p", F.regexp_extract_all("surface", F.lit(PIECES), F.lit(0)))
     each = cut.select(key, "begin", F.posexplode("_p").alias("_at", "_w"))
-    hits = each.withColumn("token", F.lower("_w")).join(F.broadcast(tokens), "token")
+    hits = each.withColumn("token", F.lower("_w")).join(tokens, "token")
     ends = hits.groupBy(key, "begin").agg(F.min_by(F.struct("plain", "family"), "_at").alias("_b"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     j = cut.join(ends, [key, "begin"], "left")
     ahead = F.filter(F.transform(F.slice("_p", 1, F.coalesce("_first", F.lit(0))), lambda p: F.try_element_at(ordinals, F.lower(p))), lambda o: o.isNotNull())
@@ -93,7 +93,7 @@ def name_citations(spans: DataFrame, tokens: DataFrame, key: str = "id") -> Data
 def localize_citations(named: DataFrame, labels: DataFrame, lang: str) -> DataFrame:
     """named with local: the book's label in `lang` and the numbers; null for en and where there is no label."""
     own = labels.where((F.col("lang") == lang) & (F.col("lang") != "en")).select("book", F.col("label").alias("_label"))
-    return named.join(F.broadcast(own), "book", "left").select(*named.columns, F.concat("_label", F.lit(" "), "numbers").alias("local"))
+    return named.join(own, "book", "left").select(*named.columns, F.concat("_label", F.lit(" "), "numbers").alias("local"))
 
 
 def mask_citations(df: DataFrame, spans: DataFrame, key: str = "id", col: str = "text", reference: str = "surface") -> DataFrame:

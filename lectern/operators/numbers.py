@@ -46,7 +46,7 @@ def spell_numbers(df: DataFrame, lexicon: DataFrame, key: str = "id", col: str =
     has = F.coalesce(F.col(col).rlike("[0-9]"), F.lit(False))
     plain = df.where(~has).select(key, F.col(col).alias("text"), F.lit(False).alias("changed"))
     runs = df.where(has).select(key, F.col(lang).alias("lang"), F.posexplode(F.regexp_extract_all(col, F.lit("[0-9]+|[^0-9]+"), F.lit(0))).alias("_at", "_run"))
-    said = runs.withColumn("value", F.col("_run").try_cast("long")).join(F.broadcast(lexicon), ["lang", "value"], "left")
+    said = runs.withColumn("value", F.col("_run").try_cast("long")).join(lexicon, ["lang", "value"], "left")
     joined = said.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce(F.when(F.col("_run").rlike("^[0-9]"), F.col("words")), "_run").alias("w")))), lambda x: x["w"]), "").alias("text"), (F.count("words") > 0).alias("changed"))
     return joined.unionByName(plain)
 

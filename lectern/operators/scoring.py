@@ -114,13 +114,16 @@ def round_trip_report(scores: DataFrame) -> DataFrame:
 
 
 
-def missing_citations(pairs: DataFrame, key: str = "id") -> DataFrame:
+def missing_citations(pairs: DataFrame, key: str = "id", stretches: str | None = None) -> DataFrame:
     """key, citation, short: chapters and verses that `spoken` says more often than `heard` has them, by how many;
-    same-sounding letters of `heard` count. Null sides are empty; rows with equal keys count as one text."""
+    same-sounding letters of `heard` count. `stretches` is a column of texts already known to be missing: what stands in
+    one of them is not told again. Null sides are empty; rows with equal keys count as one text."""
     side = lambda c: F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), *rules.SAME_SOUND), F.lit(rules.CHAPTER_OR_VERSE), F.lit(0))
-    marked = lambda c, n: F.transform(side(F.col(c)), lambda x: F.struct(x.alias("citation"), F.lit(n).alias("n")))
-    found = pairs.select(key, F.explode(F.concat(marked("spoken", 1), marked("heard", -1))).alias("x")).groupBy(key, "x.citation").agg(F.sum("x.n").alias("short"))
-    return found.where("short > 0")
+    known = F.transform(F.coalesce(F.col(stretches), F.array().cast("array<string>")), lambda t: F.translate(t, *rules.SAME_SOUND)) if stretches else F.array().cast("array<string>")
+    within = lambda x: F.coalesce(F.exists(known, lambda t: F.contains(t, x)), F.lit(False))
+    marked = lambda c, n: F.transform(side(F.col(c)), lambda x: F.struct(x.alias("citation"), F.lit(n).alias("n"), within(x).alias("told")))
+    found = pairs.select(key, F.explode(F.concat(marked("spoken", 1), marked("heard", -1))).alias("x")).groupBy(key, "x.citation").agg(F.sum("x.n").alias("short"), F.bool_or("x.told").alias("told"))
+    return found.where("short > 0 AND NOT told").drop("told")
 
 
 def names_a_citation(stretches):

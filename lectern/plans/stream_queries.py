@@ -13,7 +13,11 @@ from ..streaming import ledger as live
 
 
 def _folder(spark: SparkSession, kind: str) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
     return f"{named.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,21 @@ def read_transcript_json(spark: SparkSession, path: str) -> dict[str, DataFrame]
 
 
 def write_outputs(bodies: dict[str, DataFrame], dest: str, key: str = "doc_id") -> None:
-    """For each format a folder below `dest` with a part file's rows (key, body) as Parquet; the committer puts a
-    format's files in place only once all are written."""
+    """For each format a folder below `dest` with a part file's rows (key, body) as Parquet.
+
+    Rows are written beside an earlier output, in a folder that readers skip, and take its place by a rename once all
+    are there: a job that fails leaves the earlier output as it was, and between two renames it lies in the folder
+    `_old-...`.
+    """
     for form, rows in bodies.items():
-        rows.select(key, "body").write.mode("overwrite").parquet(f"{dest}/format={form}")
+        run = uuid.uuid4().hex
+        new, old, place = f"{dest}/_new-{form}-{run}", f"{dest}/_old-{form}-{run}", f"{dest}/format={form}"
+        rows.select(key, "body").write.parquet(new)
+        jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path
+        files = at(dest).getFileSystem(conf)
+        if files.exists(at(place)) and not files.rename(at(place), at(old)):
+            raise OSError(f"{place} could not be set aside")
+        if not files.rename(at(new), at(place)):
+            raise OSError(f"{new} could not be put in place")
+        files.delete(at(old), True)

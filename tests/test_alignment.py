@@ -3,10 +3,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import alignment, segmenting
+from lectern.operators import alignment, scoring, segmenting
 from lectern.plans import registry
 from lectern.sources import fixtures, transcripts
 
@@ -152,3 +153,18 @@ def test_texts_in_and_out(spark, tmp_path):
     assert {r.doc_id: r.body for r in txt.collect()} == {1: "One.\nTwo three.\n", 2: ""}
     transcripts.write_outputs({"txt": txt}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("format = 'txt'").count() == 2
+    again = txt.where("doc_id = 1")
+    transcripts.write_outputs({"txt": again}, str(tmp_path / "out"))
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+    broken = txt.select("doc_id", F.raise_error(F.lit("no")).alias("body"))
+    with pytest.raises(Exception, match="no"):
+        transcripts.write_outputs({"txt": broken}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_missing_citations_within_missing_stretches(spark):
+    rows = [(1, "第三章第五節第五节", "", ["说第三章"]), (2, "第三章", None, None), (3, "第三章", "第三张", ["x"])]
+    df = spark.createDataFrame(rows, "id long, spoken string, heard string, gone array<string>")
+    plain = {(r.id, r.citation, r.short) for r in scoring.missing_citations(df).collect()}
+    assert plain == {(1, "第三章", 1), (1, "第五节", 2), (2, "第三章", 1)}
+    assert {(r.id, r.citation) for r in scoring.missing_citations(df, stretches="gone").collect()} == {(1, "第五节"), (2, "第三章")}
