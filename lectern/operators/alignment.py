@@ -115,9 +115,9 @@ def _level(pairs: DataFrame, k: int) -> DataFrame:
     met = met.select("rid", "gap", F.col("pos").alias("i"), F.explode("js").alias("j"), "pair").withColumn("diagonal", F.col("j") - F.col("i"))
     island = F.col("i") - F.row_number().over(Window.partitionBy("rid", "gap", "diagonal").orderBy("i"))
     run = F.struct(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + (k - 1)).cast("int").alias("n"))
-    pair = F.first("pair", ignorenulls=True).alias("pair")
-    runs = met.withColumn("island", island).groupBy("rid", "gap", "diagonal", "island").agg(run.alias("run"), pair)
-    told = runs.groupBy("rid").agg(F.collect_list(F.when(F.col("gap") >= 0, F.col("run"))).alias("runs"), pair)
+    runs = met.withColumn("island", island).groupBy("rid", "gap", "diagonal", "island").agg(run.alias("run"), F.first("pair", ignorenulls=True).alias("pair"))
+    # first() would copy the pair for each run
+    told = runs.groupBy("rid").agg(F.collect_list(F.when(F.col("gap") >= 0, F.col("run"))).alias("runs"), F.get(F.collect_list("pair"), F.lit(0)).alias("pair"))
     part = lambda c, n: F.col(f"{c}.{n}")
     new = told.withColumn("new", _settle(k)(part("pair.blocks", "i"), part("pair.blocks", "j"), part("pair.blocks", "size"), part("runs", "i"), part("runs", "j"), part("runs", "n")))
     zipped = F.transform(F.arrays_zip("new.i", "new.j", "new.n"), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["n"].alias("size")))

@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 
 
+def _gram_means(hyp, ref, order: int):
+    """Mean precision and recall of the n-grams up to `order` that both sides have; None where there are none.
+
+    Grams of n characters are numbered by the number of their first n - 1 and their last character, so they are told apart
+    exactly; time is that of `order` sorts of both texts.
+    """
+    sides = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (hyp, ref)]
+    h, r = map(len, sides)
+    if not h or not r:
+        return None
+    chars = np.unique(np.concatenate(sides), return_inverse=True)[1].astype(np.int64)
+    number, size, found = np.zeros(h + r, np.int64), int(chars.max()) + 1, []
+    for n in range(1, min(order, h, r) + 1):
+        first = np.concatenate((np.arange(h - n + 1), h + np.arange(r - n + 1)))
+        grams = np.unique(number[first] * size + chars[first + n - 1], return_inverse=True)[1]
+        number[first] = grams
+        kinds = int(grams.max()) + 1
+        in_h, in_r = (np.bincount(x, minlength=kinds) for x in (grams[: h - n + 1], grams[h - n + 1 :]))
+        both = int(np.minimum(in_h, in_r).sum())
+        found.append((both / (h - n + 1), both / (r - n + 1)))
+    return [sum(x) / len(found) for x in zip(*found)]
+
+
 def chrf(pairs: DataFrame, order: int = 6, beta: float = 2.0, key: str = "id") -> DataFrame:
     """key, chrf: mean character n-gram precision and recall (orders that both sides have), F with beta, times 100; 0
-    where either side is empty. Grams are counted before they meet."""
-
-    def grams(col: str):
-        clean = F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"\s+", "")
-        return (
-            pairs.select(key, clean.alias("s"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
-            .where(F.length("s") >= F.col("n"))
-            .select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1), lambda i: F.substring(F.col("s"), i, F.col("n")))).alias("g"))
-            .groupBy(key, "n", "g")
-            .agg(F.count("*").alias(col))
-        )
-
-    both = grams("hyp").join(grams("ref"), [key, "n", "g"], "full_outer").groupBy(key, "n").agg(F.sum(F.least(F.coalesce("hyp", F.lit(0)), F.coalesce("ref", F.lit(0)))).alias("m"), F.sum("hyp").alias("h"), F.sum("ref").alias("r"))
-    means = both.where("h > 0 AND r > 0").groupBy(key).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("r"))
+    where either side is empty or null. A row's grams are counted within the row: nothing is exploded or shuffled."""
+
+    @F.pandas_udf("array<double>")
+    def means(hyp, ref):
+        import pandas as pd
+
+        return pd.Series([_gram_means(h, r, order) for h, r in zip(hyp, ref)], dtype=object)
+
+    clean = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", "")
+    scored = pairs.select(key, means(clean("hyp"), clean("ref")).alias("m")).select(key, F.get("m", F.lit(0)).alias("p"), F.get("m", F.lit(1)).alias("r"))
     b2 = beta * beta
     score = F.when((F.col("p") + F.col("r")) > 0, 100 * (1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r")))
-    return pairs.select(key).join(means, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("chrf"))
+    return scored.select(key, F.coalesce(score, F.lit(0.0)).alias("chrf"))
 
 
 def flag_invented(scored: DataFrame, floor: float = rules.CHRF_FLOOR) -> DataFrame:

@@ -53,12 +53,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr("id", "ref", "concat(substring(ref, 1, cast(length(ref) * 2 div 5 as int)), ' zz ', substring(ref, cast(length(ref) * 9 div 20 as int) + 1)) AS hyp")
 
 
-def beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ref, hyp of the first 300 characters."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("ref"))
-    return d.select("id", "ref", F.concat(F.substring("ref", 1, 120), F.lit(" zz "), F.substring("ref", 141, 140)).alias("hyp"))
-
-
 def books(spark: SparkSession) -> DataFrame:
     """ord, book of the plain books, in order."""
     names = [line.split(":")[0] for line in rules.BOOKS.strip().splitlines()]

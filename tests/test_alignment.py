@@ -83,6 +83,25 @@ def test_edit_regions_and_error_rate(spark):
     assert alignment.edit_regions(df.limit(0)).count() == 0
 
 
+def test_blocks_of_repeats_and_odd_tokens(spark):
+    r = random.Random(8)
+    odd = ["\u0001", "\\", "\\0", "", "a", "a\u0001", "\u0001a"]
+    pairs = [(["a"] * 90, ["a"] * 61), (["a", "b"] * 40, ["b", "a"] * 33), ([None, "a", "\\0"], ["\\0", None, "a"]), ([], [""]), ([""], [])]
+    pairs += [([r.choice(odd) for _ in range(r.randrange(30))], [r.choice(odd) for _ in range(r.randrange(30))]) for _ in range(60)]
+    pairs += [([r.choice("ab") for _ in range(80)], [r.choice("ab") for _ in range(80)]) for _ in range(20)]
+    long = [str(r.randrange(50)) for _ in range(3000)]
+    pairs += [(long, long[:1000] + long[1400:]), (long, long)] + pairs[:3]
+    df = spark.createDataFrame([(k % 7, a, b, "x") for k, (a, b) in enumerate(pairs)], "id long, ref array<string>, hyp array<string>, blocks_of string")
+    found = alignment.matching_blocks(df)
+    assert found.columns == ["id", "ref", "hyp", "blocks_of", "blocks"]
+    got = sorted((str(x.ref), str(x.hyp), [tuple(b) for b in x.blocks]) for x in found.collect())
+    exact = {}
+    for a, b in pairs:
+        want = [(0, 0, 1000), (1400, 1000, 1600)] if (len(a), len(b)) == (3000, 2600) else [(0, 0, 3000)] if a is b else blocks(a, b)
+        exact[str(a), str(b)] = [*want, (len(a), len(b), 0)]
+    assert got == sorted((str(a), str(b), exact[str(a), str(b)]) for a, b in pairs)
+
+
 def test_align_text_to_words(spark):
     chunks = spark.createDataFrame([(1, 0, "A b.", ["a", "b"]), (1, 1, "C d.", ["c", "d"]), (1, 2, "E", ["e"]), (1, 3, "g h", ["g", "h"]), (2, 0, "x", ["x"])], "doc_id long, chunk_id int, text string, words array<string>")
     words = spark.createDataFrame([(1, 0, "A", 1.0, 1.5), (1, 1, "b,", 1.5, 2.0), (1, 2, "zzz", 2.0, 9.0), (1, 3, "D", None, None), (1, 4, "e", 0.1, 0.2), (1, 5, "G", 3.0, 4.0)], "doc_id long, pos int, word string, start double, end double")
