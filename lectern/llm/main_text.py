@@ -3,12 +3,14 @@
 The standard library's parser streams events. A line is what stands between two block borders; its ratio is its text
 length over the tags met in it. The ratios of all lines are smoothed by a Gaussian over neighbouring lines and split at
 a threshold into content and the rest. The content lines choose the region: the article or main element with most of
-their text, or the deepest container that holds nearly all of it (with the page's heading).
+their text (the outermost one, where an inner one would lose content or a heading; articles beside each other
+together), or the deepest container that holds nearly all of it (with the page's heading).
 
 Class names, ids and forms only confirm: what they mark is left out unless it holds that article, or as good as all of
 the content lines. Menus, footers and the like that HTML's own elements or roles name are always left out. Where no
 article or main element names the region, its containers of links without other content go too, and, where the region is
-the whole page, the lines before its first and after its last content. Nothing else is dropped. Work is linear in the page.
+the whole page, the lines before its first and after its last content. A comment that nothing ends is empty, a tag that
+nothing ends goes.
 """
 
 from __future__ import annotations
@@ -35,18 +37,19 @@ LINKS = 0.6
 
 # Element and class names of HTML practice.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mrow msqrt msub msubsup msup mtext munder semantics".split())
 CONTAINERS = frozenset("html body div main article section table tbody center form".split())
-NO_TEXT = frozenset("head title script style noscript template iframe select textarea svg canvas object option datalist audio video map math".split())
+NO_TEXT = frozenset("head title script style noscript template iframe select textarea svg canvas object option datalist audio video map annotation".split())
 LEFT_OUT = frozenset("nav footer aside button dialog menu".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising advertorial banner banners sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus discussion widget widgets toolbar pagination pager skip login search copyright topbar".split())
 #: Words that may stand beside a mark in a name ("site-footer", "comment-list").
-BESIDE = frozenset("site page global main primary secondary top bottom left right inner outer wide box block container wrapper wrap area list section link links button buttons bar item items slot unit post posts article articles content form text title header user author level".split())
+BESIDE = frozenset("site page global main primary secondary top bottom left right inner outer wide box block container wrapper wrap area list section link links button buttons bar item items slot unit post posts article articles content form text title header user author level law info cta mpu fb thread".split())
 HEADER_NAMES = frozenset("header site-header page-header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 ENDED_BY = {"li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "tr": {"p", "td", "th", "tr"}}
 
 _CAMEL, _WORDS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])"), re.compile(r"[a-z]+")
+_OPENING = re.compile(r"<[A-Za-z/!?]")
 NONE, SOFT, HARD, SILENT = range(4)
 
 
@@ -187,12 +190,22 @@ def _over(page: _Page, node: int) -> set[int]:
     return out
 
 
+def _bounded(html: str) -> str:
+    """The page with openings of comments that nothing ends as empty comments, and without a last tag that nothing ends
+    (as browsers have it): the parser would look for their ends again at each opening."""
+    at = html.find("<!--", max(html.rfind("-->"), 0))
+    if at >= 0:
+        html = html[:at] + html[at:].replace("<!--", "<!---->")
+    cut = _OPENING.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; empty where there is none."""
     if not html:
         return ""
     page = _Page()
-    page.feed(html)
+    page.feed(_bounded(html))
     page.close()
     silent = _handed_down(page, [k == SILENT for k in page.out])
     lines = [x for x in page.lines if not silent[x[3]]]
@@ -229,12 +242,19 @@ def main_text(html: str | None) -> str:
         return ""
     mass = mass_of([x for x, c in kept if c] or [x for x, _ in kept])
     named = [n for n in range(count) if page.tag[n] in ("article", "main") and 2 * mass[n] > mass[0]]
-    region = max(named) if named else max(n for n in range(count) if mass[n] >= MOST * mass[0] and (n == 0 or page.tag[n] in CONTAINERS))
+    region = named[0] if named else max(n for n in range(count) if mass[n] >= MOST * mass[0] and (n == 0 or page.tag[n] in CONTAINERS))
+    # each of them holds over half, so they lie within each other: inwards as long as no content and no heading is lost
+    for n in named[1:]:
+        if mass[n] != mass[region] or any(n not in over and region in over for over in (_over(page, h) for h in heads if not gone[h])):
+            break
+        region = n
     if not named and head >= 0 and not gone[head]:
         while region not in over_head:
             region = page.parent[region]
     inside = [False] * count
     inside[region] = True
+    if page.tag[region] == "article":  # with the articles beside it
+        inside = [n == region or t == "article" and page.parent[n] == page.parent[region] for n, t in enumerate(page.tag)]
     inside = _handed_down(page, inside)
     kept = [(x, c) for x, c in kept if inside[x[3]]]
     if not named:

@@ -29,6 +29,13 @@ PAGES = {
     "unclosed elements": (f"<article><h1>Flood</h1><p><b>{LONG}<br><p>And <i>then</i> some.<ul><li>one<li>two</ul></article>", f"Flood {LONG} And then some. one two"),
     "references and white space": (f"<main><p>A&nbsp;&amp;\n  B&eacute; {LONG}</p></main>", f"A & Bé {LONG}"),
     "scripts and notices": (f"<script>var a='<p>{LONG}</p>'</script><div class='cookie-notice'>{TWO}</div><main>{TWO}</main><noscript>{LONG}</noscript>", BODY),
+    "two articles in main": (f"<main><article><p>{LONG}</p></article><article>{TWO}</article></main>", f"{LONG} {BODY}"),
+    "two articles side by side": (f"<nav>x</nav><article><p>{LONG}</p></article><article>{TWO}</article>", f"{LONG} {BODY}"),
+    "heading and intro before the article": (f"<main><h1>Flood</h1><p>{LONG}</p><article>{TWO}</article></main>", f"Flood {LONG} {BODY}"),
+    "heading before the article": (f"<main><h1>Flood</h1><article>{TWO}</article></main>", f"Flood {BODY}"),
+    "formula": (f"<article><p>{LONG}</p><p>So <math><msup><mi>x</mi><mn>2</mn></msup></math> it is, and the people of the town knew.</p></article>", f"{LONG} So x2 it is, and the people of the town knew."),
+    "names of comments and notices": (f"<div class='cookie-law-info'>{TWO}</div><article>{TWO}</article><section class='user-comments-thread'>{TWO}</section><div class='fb-comments'>{TWO}</div><div class='newsletter-cta'>{LONG}</div><div class='ad_mpu'>{LONG}</div>", BODY),
+    "script that opens a comment": (f"<script>var a = '<!--'</script><article>{TWO}</article>", BODY),
     "only a menu": ("<nav>x</nav>", ""),
 }
 
@@ -52,6 +59,14 @@ def test_deep_page_is_linear():
     assert time.process_time() - start < 3
 
 
+@pytest.mark.parametrize("bad", ["<!--", "<b", "<!", "<a href='"])
+def test_markup_that_nothing_ends(bad):
+    start = time.process_time()
+    assert main_text(f"<article>{TWO}</article>" + bad * 40_000).startswith(BODY)
+    assert main_text(bad * 40_000) is not None
+    assert time.process_time() - start < 2
+
+
 def test_whole_table(spark):
     def cut(page):
         body = re.search(r"<article>(.*)</article>", page, re.S)[1]
