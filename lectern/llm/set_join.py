@@ -18,16 +18,16 @@ known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_of
 
 from .common import checkpointed, stored, tidy
 from .pieces import text_slices
-from .simhash import shingle_hashes
 
 GROUP = 128
 ROUNDS = 3
@@ -35,86 +35,119 @@ CELL = 1024  # sets of two blocks that meet
 PER_TASK = 32  # pairs that one copy of a shared partner's set serves
 HEAVY = 1 << 16  # shingles, and words, with a known frequency, some 100 bytes each; the others count as rare
 SLICE_BYTES = 1 << 20
-BITS = 1024  # of a sketch; sets of many thousand shingles fill it, and are then ruled out less often
+BITS = 1024  # of a sketch at least
 SHORT = 8  # lists of up to so many sets are looked at together, length by length
 BROADCAST_ROWS = 200_000  # names of wanted texts, 16 bytes each; more are joined
 BROADCAST_BYTES = 16 << 20  # of partners' sets; larger ones are joined
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _flat_sets(texts: list[str], words: int, weight: dict[int, int] | None = None):
-    """The distinct shingles of each text in ascending order one after the other, the text of each, and how many each
-    has; with `weight` also their rarities."""
-    hashes, starts = shingle_hashes(texts, words)
-    of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(hashes))))
-    order = np.lexsort((hashes, of))
-    hashes, of = hashes[order], of[order]
-    first = np.ones(len(hashes), bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    hashes, of = hashes[first], of[first]
-    sizes = np.bincount(of, minlength=len(texts))
-    return (hashes, of, sizes) if weight is None else (hashes, of, sizes, _rarities(texts, words, weight)[order][first])
-
-
-class _Weights(dict):
-    """Weights of the words of a slice, each looked up once."""
-
-    def __init__(self, weight: dict[int, int]):
-        super().__init__()
-        self.weight = weight
+class _Numbers(dict):
+    """Words of a slice, numbered as they come."""
 
     def __missing__(self, w: bytes) -> int:
-        self[w] = found = self.weight.get(_word(w), 0)
-        return found
-
-
-def _rarities(texts: list[str], words: int, weight: dict[int, int]) -> np.ndarray:
-    """For each shingle of `shingle_hashes`, how frequent its words are together; the same wherever it stands."""
-    out, of = [], _Weights(weight)
-    for text in texts:
-        own = text.encode("utf-8").lower().split()
-        weights = np.array([of[w] for w in own], np.int64)
-        if len(own) < words:
-            out.append(weights[:1] * 0)
-        else:
-            out.append(np.convolve(weights, np.ones(words, np.int64), "valid"))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _word(w: bytes) -> int:
-    return hash_of(w, 7) - (1 << 63)
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """BITS parities of a set of hashes: each flips the bit that its upper half names. Sets differ in at least as many
-    shingles as their sketches in bits."""
-    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+        self[w] = number = len(self)
+        return number
+
+
+class _Slice:
+    """The shingles of some texts, one text after the other: ASCII lower case, white-space words; a text of fewer words is
+    one shingle, a blank one none. Every distinct word is hashed once; a shingle's hash is mixed from those of its words."""
+
+    def __init__(self, texts: list[str], words: int):
+        lists, numbers = [text.encode("utf-8").lower().split() for text in texts], _Numbers()
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        self.names = np.fromiter((hash_of(w, 7) for w in numbers), np.uint64, len(numbers))
+        self.words, long = words, counts >= words
+        self.sizes = np.where(long, counts - words + 1, counts > 0)
+        self.ends = np.cumsum(self.sizes)
+        first = np.cumsum(counts) - counts
+        self.first = (np.arange(self.sizes.sum()) + np.repeat(first - (self.ends - self.sizes), self.sizes))[np.repeat(long, self.sizes)]
+        self.full, self.short = np.repeat(long, self.sizes), np.flatnonzero(~long & (counts > 0))
+        self.hashes = np.zeros(len(self.full), np.uint64)
+        mixed = self.names[self.at[self.first]]
+        for i in range(1, words):
+            mixed = (mixed ^ mixed >> np.uint64(29)) * _ODD + self.names[self.at[self.first + i]]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD
+        self.hashes[self.full] = mixed ^ mixed >> np.uint64(29)
+        self.hashes[self.ends[self.short] - 1] = [hash_of(b" ".join(lists[k]), 9) for k in self.short.tolist()]
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """For each shingle the sum of the weights (by number) of its words; 0 for a text of fewer words."""
+        out = np.zeros(len(self.full), np.int64)
+        out[self.full] = sum(weights[self.at[self.first + i]] for i in range(self.words))
+        return out
+
+    def sets(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct `keys` (one for each shingle) of each text in ascending order, the text of each, and how many each
+        text has."""
+        keys, of = keys.copy(), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        for s, e in zip((self.ends - self.sizes).tolist(), self.ends.tolist()):
+            keys[s:e].sort()
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        return keys[first], of[first], np.bincount(of[first], minlength=len(self.sizes))
+
+
+def _nodes(hashes: np.ndarray, sizes: np.ndarray) -> list[int | None]:
+    """A hash of each set; None for an empty one."""
+    ends = np.cumsum(sizes).tolist()
+    return [hash_of(hashes[e - n : e].tobytes()) - (1 << 63) if n else None for n, e in zip(sizes.tolist(), ends)]
+
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    """Unsigned hashes as longs in the same order."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def sketches(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of the texts' sets one after the other in longs, and the length of each: the parities of the hashes by what
+    their upper halves leave modulo a power of two, two times as many as the set has shingles, BITS at least. Sets differ in at least
+    as many shingles as their sketches in bits; of two lengths, the halves of the longer are laid over each other."""
+    bits = np.int64(BITS) << np.ceil(np.log2(np.maximum(2 * sizes, BITS) / BITS)).astype(np.int64)
+    ends = np.cumsum(bits)
+    out, s = [np.zeros(0, np.int64)], 0
+    while s < len(sizes):
+        e = max(s + 1, int(np.searchsorted(ends, ends[s] + (1 << 20))))
+        lo, hi = np.searchsorted(of, (s, e))
+        begin = ends[s] - bits[s]
+        at = (ends - bits)[of[lo:hi]] - begin + ((hashes[lo:hi] >> np.uint64(32)).astype(np.int64) & (bits[of[lo:hi]] - 1))
+        odd = np.bincount(at, minlength=int(ends[e - 1] - begin)) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+        s = e
+    return np.concatenate(out), bits // 64
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int64()))
 
 
 def set_marks(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, node (a hash of the set; null where it is empty) and sketch for every (doc_id, text); and, with `docs`
     not null, how many texts of a slice have a frequent shingle, or with `uses` how often a slice has a frequent word."""
+    kinds = ["doc_id", "n", "node", "name", "docs", "uses", "sketch"]
 
     def run(batches):
         import pyarrow as pa
 
+        def rows(length, **columns):
+            none = lambda k: pa.nulls(length, pa.list_(pa.int64()) if k == "sketch" else pa.int64())
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else none(k) for k in kinds], kinds)
+
         for batch in batches:
             for ids, texts in text_slices(batch, SLICE_BYTES):
-                hashes, _, sizes = _flat_sets(texts, words)
-                ends = np.cumsum(sizes)
-                own = [hashes[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist())]
-                nodes = [hash_of(x.tobytes()) - (1 << 63) if len(x) else None for x in own]
+                cut = _Slice(texts, words)
+                hashes, of, sizes = cut.sets(cut.hashes)
+                bits, longs = sketches(hashes, of, sizes)
+                yield rows(len(ids), doc_id=pa.array(ids, pa.int64()), n=pa.array(sizes, pa.int64()), node=pa.array(_nodes(hashes, sizes), pa.int64()), sketch=_lists(bits, longs))
                 shingles, counts = np.unique(hashes, return_counts=True)
-                often = counts >= 4
-                used = Counter(w for text in texts for w in text.encode("utf-8").lower().split())
-                used = {_word(w): c for w, c in used.items() if c >= 16}
-                s, u, none = int(often.sum()), len(used), len(ids)
-                columns = [[*ids, *[None] * (s + u)], [*sizes.tolist(), *[None] * (s + u)], [*nodes, *[None] * (s + u)]]
-                columns += [[*[None] * none, *shingles[often].view(np.int64).tolist(), *used], [*[None] * none, *counts[often].tolist(), *[None] * u], [*[None] * (none + s), *used.values()]]
-                k = s + u
-                columns = [pa.array(c, pa.int64()) for c in columns]
-                columns.append(pa.array([*([np.frombuffer(sketch(x), "<i8") for x in own]), *[None] * k], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "name", "docs", "uses", "sketch"])
+                often, used = counts >= 4, np.bincount(cut.at, minlength=len(cut.names))
+                yield rows(int(often.sum()), name=pa.array(_signed(shingles[often])), docs=pa.array(counts[often], pa.int64()))
+                often = used >= 16
+                yield rows(int(often.sum()), name=pa.array(_signed(cut.names[often])), uses=pa.array(used[often], pa.int64()))
 
     return docs.mapInArrow(tidy(run), "doc_id long, n long, node long, name long, docs long, uses long, sketch array<long>")
 
@@ -125,30 +158,45 @@ def _known(marks: DataFrame, counted: str) -> dict[int, int]:
     return {r["name"]: r["c"] for r in often.collect()}
 
 
+def _looked_up(names: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The value of each of `names` in `known` (names in ascending order, values), 0 where it isn't there."""
+    of, values = known
+    if not len(of):
+        return np.zeros(len(names), np.int64)
+    at = np.minimum(np.searchsorted(of, names), len(of) - 1)
+    return np.where(of[at] == names, values[at], 0)
+
+
 def _entries(docs: DataFrame, words: int, q: int, heavy: dict[int, int], used: dict[int, int]) -> DataFrame:
-    """key (a shingle), node, n, pos for the first shingles of every set: frequent ones last, before them the others by
-    how frequent their words are."""
-    names = np.sort(np.array(list(heavy), np.int64).view(np.uint64))
-    frequent = docs.sparkSession.sparkContext.broadcast((names, np.array([heavy[int(x)] for x in names.view(np.int64)], np.int64), {w: round(1000 * float(np.log2(c))) for w, c in used.items()}))
+    """key, node, n, pos for the first shingles of every set: frequent ones last, before them the others by how frequent
+    their words are. A key is 12 bits of this order and 52 of the hash, so that it can be sorted by itself; shingles that
+    fell together would only shorten the list of a set, and no pair would be lost."""
+
+    def table(counts: dict[int, int], scale: int):
+        names = np.sort(np.array(list(counts), np.int64))
+        return names, np.array([round(scale * float(np.log2(counts[x]))) for x in names.tolist()], np.int64)
+
+    half = 1 << 11
+    frequent = docs.sparkSession.sparkContext.broadcast((table(heavy, half // 32), table(used, half)))
 
     def run(batches):
         import pyarrow as pa
 
-        known, counts, weight = frequent.value
+        often_of, weight_of = frequent.value
         for batch in batches:
             for _, texts in text_slices(batch, SLICE_BYTES):
-                hashes, of, sizes, rarity = _flat_sets(texts, words, weight)
-                if not len(hashes):
+                cut = _Slice(texts, words)
+                if not len(cut.hashes):
                     continue
-                ends = np.cumsum(sizes)
-                nodes = np.array([hash_of(hashes[e - n : e].tobytes()) - (1 << 63) for n, e in zip(sizes.tolist(), ends.tolist())], np.int64)
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                often = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
-                order = np.lexsort((hashes, rarity, often, of))
-                pos = np.arange(len(hashes)) - (ends - sizes)[of]
-                few = pos <= sizes[of] - -(-(q - 1) * sizes[of] // (q + 1))
-                order, of, pos = order[few], of[few], pos[few]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[order].view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of].astype(np.int64)), pa.array(pos.astype(np.int64))], ["key", "node", "n", "pos"])
+                hashes, _, n = cut.sets(cut.hashes)
+                nodes = np.array([x or 0 for x in _nodes(hashes, n)], np.int64)
+                often = _looked_up(_signed(cut.hashes), often_of)
+                level = np.where(often > 0, half + often, cut.sums(_looked_up(_signed(cut.names), weight_of)) // (32 * words))
+                keys, of, sizes = cut.sets(np.clip(level, 0, 2 * half - 1).astype(np.uint64) << np.uint64(52) | cut.hashes >> np.uint64(12))
+                pos = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[of]
+                few = pos <= n[of] - -(-(q - 1) * n[of] // (q + 1))
+                of = of[few]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[few].view(np.int64)), pa.array(nodes[of]), pa.array(n[of].astype(np.int64)), pa.array(pos[few].astype(np.int64))], ["key", "node", "n", "pos"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "key long, node long, n long, pos long")
 
@@ -161,9 +209,9 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             for ids, part in text_slices(batch, SLICE_BYTES):
-                hashes, _, sizes = _flat_sets(part, words)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), lists], ["node", "n", "shingles"])
+                cut = _Slice(part, words)
+                hashes, _, sizes = cut.sets(cut.hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), _lists(hashes.view(np.int64), sizes)], ["node", "n", "shingles"])
 
     return texts.mapInArrow(tidy(run), "node long, n long, shingles array<long>")
 
@@ -201,6 +249,11 @@ def _fit(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, q: int)
     return fits & (np.minimum(n - pos, m - at) * 2 * q >= (n + m) * (q - 1))
 
 
+@lru_cache(GROUP)
+def _two_of(length: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(length, 1)
+
+
 def _candidates(lists: DataFrame, q: int) -> DataFrame:
     """a > b for the candidate pairs of lists (key, node, n, pos, role, side) of bounded length."""
     grouped = lists.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side")))
@@ -223,8 +276,10 @@ def _candidates(lists: DataFrame, q: int) -> DataFrame:
                         found.append(np.stack([node[x[meet]], node[y[meet]]]))
             long = lengths > SHORT
             for s, e in zip(offsets[:-1][long].tolist(), offsets[1:][long].tolist()):
-                x, y = pairs_of_list(*(r[s:e] for r in rest), q)
-                found.append(np.stack([node[s:e][x], node[s:e][y]]))
+                x, y = _two_of(e - s)
+                x, y = x + s, y + s
+                meet = _fit(n[x], pos[x], n[y], pos[y], q) & _apart(role, side, x, y)
+                found.append(np.stack([node[x[meet]], node[y[meet]]]))
             both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
 
@@ -248,11 +303,28 @@ def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(x, "a").join(y, ["b", "salt"])
 
 
+def _differ() -> Column:
+    """At least how many shingles differ between the sets of x and y (structs of n and sketch)."""
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: F.bit_count(p.bitwiseXOR(r))), F.lit(0), lambda total, n: total + n)
+
+    def half(x):
+        k = F.floor(F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), lambda p, r: p.bitwiseXOR(r))
+
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+    of = F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(half(x), y)).when(2 * F.size(x) == F.size(y), bits(x, half(y)))
+    return F.greatest(F.abs(F.col("x.n") - F.col("y.n")), F.coalesce(of, F.lit(0)).cast("long"))
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with x and y, both sides' structs of n and sketch."""
+    one, other = (sketches.select(F.col("node").alias(side), F.struct("n", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(other, "b")
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, q: int) -> DataFrame:
     """The pairs that their sketches leave."""
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, r: F.bit_count(p.bitwiseXOR(r))), F.lit(0), lambda total, n: total + n)
-    one, other = (sketches.select(F.col("node").alias(a), F.col("n").alias(f"n_{a}"), F.col("sketch").alias(x)) for a, x in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(other, "b").where(differ * q <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    return _sketched(pairs, sketches).where(_differ() * q <= F.col("x.n") + F.col("y.n")).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
@@ -274,15 +346,26 @@ def _sets_of(docs: DataFrame, own: DataFrame, nodes: DataFrame, words: int) -> D
     return stored(_sets(once, words), "sets")
 
 
+def _reach(n: str, q: int) -> Column:
+    """In how many shingles a set of `n` can differ from a pivot, if it links with one that links with the pivot."""
+    t = (q - 1) / (q + 1)
+    return F.col(n) * (2 / (q - 1) + (1 / t + 1 / t**2) / q) + 1
+
+
+def _near_pivot(pairs: DataFrame, sketches: DataFrame, q: int) -> DataFrame:
+    """The pairs (node, pivot) that `_around` can keep, as their sketches tell."""
+    met = _sketched(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sketches)
+    near = (_differ() * q <= F.col("x.n") + F.col("y.n")) | (_differ() <= _reach("x.n", q))
+    return met.where(near).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
+
+
 def _around(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
     """node, pivot, n, linked, and the differences of the node to its pivot: first what it has more, then what it lacks; of
     the nodes that link with it, or lie so near that they can link with one that does."""
     more, less = F.array_except("x.shingles", "y.shingles"), F.array_except("y.shingles", "x.shingles")
     met = _met(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
     met = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("x.n").alias("n"), F.col("y.n").alias("pivot_n"), F.concat(F.sort_array(more), F.sort_array(less)).alias("apart"))
-    t = (q - 1) / (q + 1)
-    near = F.size("apart") <= F.col("n") * (2 / (q - 1) + (1 / t + 1 / t**2) / q) + 1
-    return met.withColumn("linked", F.size("apart") * q <= F.col("n") + F.col("pivot_n")).where(F.col("linked") | near)
+    return met.withColumn("linked", F.size("apart") * q <= F.col("n") + F.col("pivot_n")).where(F.col("linked") | (F.size("apart") <= _reach("n", q)))
 
 
 def _difference_lists(around: DataFrame, q: int) -> DataFrame:
@@ -314,12 +397,20 @@ def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int) ->
             for k in range(batch.num_rows):
                 node, n, pos, role, side = (batch.column(i)[k].values.to_numpy() for i in range(1, 6))
                 x, y = pairs_of_list(n, pos, role, side, q)
-                bits = batch.column(6)[k].values.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-                for s in range(0, len(x), 1 << 17):
-                    a, b = x[s : s + (1 << 17)], y[s : s + (1 << 17)]
-                    near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * q <= n[a] + n[b]
-                    both = np.stack([node[a[near]], node[b[near]]])
-                    yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
+                bits = batch.column(6)[k].values
+                longs, flat = np.diff(bits.offsets.to_numpy()), bits.flatten().to_numpy().view(np.uint64)
+                begins, least = np.cumsum(longs) - longs, np.minimum(longs[x], longs[y])
+                for length in np.unique(least).tolist():  # sets that fit have sketches of the same length or of two times it
+                    folded = np.zeros((len(node), length), np.uint64)
+                    for half in (0, length):
+                        of = np.flatnonzero((longs == length) | (longs == 2 * length)) if half == 0 else np.flatnonzero(longs == 2 * length)
+                        folded[of] ^= flat[begins[of, None] + half + np.arange(length)]
+                    own, step = np.flatnonzero((least == length) & (np.maximum(longs[x], longs[y]) <= 2 * length)), (1 << 21) // length
+                    for s in range(0, len(own), step):
+                        a, b = x[own[s : s + step]], y[own[s : s + step]]
+                        near = np.bitwise_count(folded[a] ^ folded[b]).sum(1, dtype=np.int64) * q <= n[a] + n[b]
+                        both = np.stack([node[a[near]], node[b[near]]])
+                        yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
 
     return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
@@ -357,7 +448,8 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
         links = found if links is None else links.unionByName(found)
         if k == rounds or many.isEmpty():
             return links if leaders is None else _contracted(links, leaders)
-        around = stored(_around(checkpointed(many.where("node <> pivot").select("node", "pivot").distinct()), sets, q), "around")
+        near = checkpointed(_near_pivot(many.where("node <> pivot").select("node", "pivot").distinct(), sketches, q))
+        around = stored(_around(near, sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
         leaders = linked if leaders is None else leaders.unionByName(linked)
         lists = many.where("node <> pivot").join(linked, ["node", "pivot"], "left_anti").select("key", "node", "n", "pos", "role")
