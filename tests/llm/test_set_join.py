@@ -4,7 +4,20 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.llm import set_join
+from lectern.llm import near_copies, set_join
+
+
+def test_pairs_at_the_threshold_that_share_no_minima(spark):
+    """Similarity 80 / 100; the keys of minima and fingerprints of the earlier join met none of these pairs."""
+    rows = []
+    for k, seed in enumerate((5429, 6798, 10961)):
+        r = random.Random(seed)
+        words = [f"w{r.randrange(10**6)}" for _ in range(94)]
+        other = list(words)
+        other[20], other[60] = "one", "two"
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(other)), (10 * k + 5, " ".join(words[:60]))]
+    got = near_copies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == [0, 5, 10, 15, 20, 25]
 
 
 def test_sketches_tell_long_sets_apart(spark):
