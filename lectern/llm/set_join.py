@@ -10,7 +10,8 @@ ones first) are its entries in the index: two sets at the threshold share an ent
   Sets that link with r leave the list. What can still link with such a set, but not with r, lies near r too (D is a
   metric), and what x and y share is known from their differences to r: linked sets then share a difference. So the two
   kinds meet in lists of (r, difference). A list goes round ROUNDS times; what is left of it and the lists of
-  differences are cut into blocks that meet two by two, where sketches of BITS bits decide what becomes a candidate.
+  differences are cut into blocks that meet two by two, where sketches decide what becomes a candidate: first the likeliest
+  partner of each set alone, then every pair that no links found so far connect.
 
 Every candidate is checked on the whole sets, so no order, no count and no bound above changes the result. Shingles are
 known by 64-bit hashes.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_of
 
 from .common import checkpointed, stored, tidy
+from .components import connected_components
 from .pieces import text_slices
 
 GROUP = 128
@@ -378,39 +380,53 @@ def _difference_lists(around: DataFrame, q: int) -> DataFrame:
     return rows.select(F.xxhash64("pivot", "token", F.lit(1)).alias("key"), "node", "n", F.lit(0).cast("long").alias("pos"), "role")
 
 
-def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int) -> DataFrame:
-    """a > b for the pairs of lists (key, node, n, pos, role) of any length that sketches leave. A long list is cut into
-    blocks of some `cell` / 2 sets; every two blocks meet once."""
+def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int, all_pairs: bool = True) -> DataFrame:
+    """a > b for the pairs of lists (key, node, n, pos, role, group) of any length that sketches leave, but for those of one
+    group. A long list is cut into blocks of some `cell` / 2 sets; every two blocks meet once. Without `all_pairs` only the
+    likeliest pair of each set there (where roles differ, of each one of role 2)."""
     sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min("role").alias("lo"), F.max("role").alias("hi"))
     sizes = sizes.where("length > 1 AND (lo = 0 OR lo < hi)").select("key", F.when(F.col("length") <= cell, 1).otherwise(F.ceil(2 * F.col("length") / cell)).alias("blocks"))
     cut = lists.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
     key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit(3))
-    dealt = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side")).join(sketches.select("node", "sketch"), "node")
-    grouped = dealt.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "sketch")))
+    dealt = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"), "group").join(sketches.select("node", "sketch"), "node")
+    grouped = dealt.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "group", "sketch")))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for k in range(batch.num_rows):
-                node, n, pos, role, side = (batch.column(i)[k].values.to_numpy() for i in range(1, 6))
+                node, n, pos, role, side, group = (batch.column(i)[k].values.to_numpy() for i in range(1, 7))
                 x, y = pairs_of_list(n, pos, role, side, q)
-                bits = batch.column(6)[k].values
+                apart = group[x] != group[y]
+                x, y = x[apart], y[apart]
+                bits, found = batch.column(7)[k].values, [np.zeros((3, 0), np.int64)]
                 longs, flat = np.diff(bits.offsets.to_numpy()), bits.flatten().to_numpy().view(np.uint64)
                 begins, least = np.cumsum(longs) - longs, np.minimum(longs[x], longs[y])
                 for length in np.unique(least).tolist():  # sets that fit have sketches of the same length or of two times it
                     folded = np.zeros((len(node), length), np.uint64)
-                    for half in (0, length):
-                        of = np.flatnonzero((longs == length) | (longs == 2 * length)) if half == 0 else np.flatnonzero(longs == 2 * length)
-                        folded[of] ^= flat[begins[of, None] + half + np.arange(length)]
-                    own, step = np.flatnonzero((least == length) & (np.maximum(longs[x], longs[y]) <= 2 * length)), (1 << 21) // length
+                    of = np.flatnonzero((longs == length) | (longs == 2 * length))
+                    folded[of] = flat[begins[of, None] + np.arange(length)]
+                    of = np.flatnonzero(longs == 2 * length)
+                    folded[of] ^= flat[begins[of, None] + length + np.arange(length)]
+                    own, step = np.flatnonzero((least == length) & (np.maximum(longs[x], longs[y]) <= 2 * length)), max(1, (1 << 21) // length)
                     for s in range(0, len(own), step):
                         a, b = x[own[s : s + step]], y[own[s : s + step]]
-                        near = np.bitwise_count(folded[a] ^ folded[b]).sum(1, dtype=np.int64) * q <= n[a] + n[b]
-                        both = np.stack([node[a[near]], node[b[near]]])
-                        yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
+                        over = np.bitwise_count(folded[a] ^ folded[b]).sum(1, dtype=np.int64) * q - n[a] - n[b]
+                        near = over <= 0
+                        found.append(np.stack([a[near], b[near], over[near]]))
+                a, b, over = np.concatenate(found, axis=1)
+                if not all_pairs:
+                    ends = np.concatenate([a, b])
+                    ends[np.concatenate([(role[a] == 1), (role[b] == 1)])] = -1
+                    order = np.lexsort((np.tile(over, 2), ends))
+                    first = order[np.r_[True, np.diff(ends[order]) != 0][: len(order)]]
+                    chosen = np.unique(first[ends[first] >= 0] % max(len(a), 1))
+                    a, b = a[chosen], b[chosen]
+                both = np.stack([node[a], node[b]])
+                yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
 
     return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
@@ -440,12 +456,16 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
         pairs = checkpointed(_likely(checkpointed(_candidates(few.drop("length", "pivot"), q).distinct()), sketches, q))
         left = many.drop("length", "pivot")
         if k == rounds or many.isEmpty():
-            rest = left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))
-            pairs = pairs.unionByName(checkpointed(_met_in_blocks(rest, sketches, q, cell))).distinct()
+            rest = checkpointed((left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))).withColumn("group", F.col("node")))
+            pairs = pairs.unionByName(checkpointed(_met_in_blocks(rest, sketches, q, cell, all_pairs=False))).distinct()
         if sets is None:  # later lists hold sets of long lists only
             sets = _sets_of(docs, own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")), words)
         found = checkpointed(_linked(pairs, sets, q))
         links = found if links is None else links.unionByName(found)
+        if (k == rounds or many.isEmpty()) and not rest.isEmpty():  # what the likeliest pairs have not linked yet
+            known = connected_components(links if leaders is None else links.unionByName(leaders.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+            grouped = rest.drop("group").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+            links = links.unionByName(checkpointed(_linked(checkpointed(_met_in_blocks(grouped, sketches, q, cell)), sets, q)))
         if k == rounds or many.isEmpty():
             return links if leaders is None else _contracted(links, leaders)
         near = checkpointed(_near_pivot(many.where("node <> pivot").select("node", "pivot").distinct(), sketches, q))

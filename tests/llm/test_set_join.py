@@ -20,6 +20,26 @@ def test_pairs_at_the_threshold_that_share_no_minima(spark):
     assert sorted(x.doc_id for x in got.collect()) == [0, 5, 10, 15, 20, 25]
 
 
+def test_exact_checks_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(90)]
+    checked, linked, rows = [], set_join._linked, []
+
+    def counted(pairs, sets, q):
+        checked.append(pairs.count())
+        return linked(pairs, sets, q)
+
+    for k in range(160):  # 0.69 to 0.9 to each other
+        words = list(base)
+        for _ in range(2):
+            words[r.randrange(90)] = f"x{r.random()}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(set_join, "_linked", counted)
+    monkeypatch.setattr(near_copies, "GROUP", 16)
+    near_copies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert 0 < sum(checked) < 160 * 159 / 2 / 8
+
+
 def test_sketches_tell_long_sets_apart(spark):
     r = random.Random(4)
     rows = [(k, " ".join(f"w{r.randrange(10**7)}" for _ in range(12000))) for k in range(2)]
