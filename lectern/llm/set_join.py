@@ -23,7 +23,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_of
 
@@ -39,7 +39,7 @@ HEAVY = 1 << 16  # shingles, and words, with a known frequency, some 100 bytes e
 SLICE_BYTES = 1 << 20
 BITS = 1024  # of a sketch at least
 SHORT = 8  # lists of up to so many sets are looked at together, length by length
-BROADCAST_ROWS = 200_000  # names of wanted texts, 16 bytes each; more are joined
+BROADCAST_ROWS = 200_000  # names of wanted texts or pairs, 16 bytes each; more are joined
 BROADCAST_BYTES = 16 << 20  # of partners' sets; larger ones are joined
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -288,8 +288,30 @@ def _candidates(lists: DataFrame, q: int) -> DataFrame:
     return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b")
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries in whose list another one stands, those of equal sets once."""
+    order = Window.partitionBy("key").orderBy("node")
+    beside = entries.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order)})
+    return beside.where("(before IS NOT NULL OR after IS NOT NULL) AND NOT before <=> node").drop("before", "after")
+
+
+def _sized(lists: DataFrame) -> DataFrame:
+    """The rows of lists of two sets or more with the `length` of their list and its `pivot`."""
+    whole = Window.partitionBy("key")
+    sized = lists.withColumns({"length": F.count("*").over(whole), "p": F.min(F.struct(F.xxhash64("node"), "node")).over(whole)})
+    return sized.where("length > 1").withColumn("pivot", F.col("p.node")).drop("p")
+
+
+def _where_kinds_meet(lists: DataFrame) -> DataFrame:
+    """The rows of lists (key, node, n, pos, role, group) in which two groups can meet, with the `length` of their list."""
+    whole = Window.partitionBy("key")
+    told = {"length": F.count("*").over(whole)} | {f"{f.__name__}_{c}": f(c).over(whole) for f in (F.min, F.max) for c in ("role", "group")}
+    return lists.withColumns(told).where("(min_role = 0 OR min_role < max_role) AND min_group < max_group").select(*lists.columns, "length")
+
+
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) with both sets, x and y; a partner of very many is copied for the join."""
+    """The distinct pairs (a, b) with both sets, x and y; a partner of very many is copied for the join. Few pairs go to
+    the sets of their first node, so that these cross one exchange only."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if wanted.count() <= BROADCAST_ROWS:  # else every set crosses the exchanges, wanted or not
         sets = sets.join(F.broadcast(wanted), "node", "left_semi")
@@ -302,7 +324,7 @@ def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), F.struct("n", "shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.struct("n", "shingles").alias("y")).join(shares, "b")
     y = y.select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("salt"))
-    return dealt.join(x, "a").join(y, ["b", "salt"])
+    return (F.broadcast(dealt) if pairs.count() <= BROADCAST_ROWS else dealt).join(x, "a").join(y, ["b", "salt"])
 
 
 def _differ() -> Column:
@@ -319,9 +341,15 @@ def _differ() -> Column:
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """`pairs` (a, b) with x and y, both sides' structs of n and sketch."""
-    one, other = (sketches.select(F.col("node").alias(side), F.struct("n", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(other, "b")
+    """`pairs` (a, b) with x and y, both sides' structs of n and sketch. Of few pairs or nodes only the sketches that they
+    want cross the exchanges."""
+    few = pairs.count() <= BROADCAST_ROWS
+    wanted = pairs.select(F.col("b").alias("node")) if few else pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    wanted = wanted.distinct()
+    own = sketches.join(F.broadcast(wanted), "node", "left_semi") if few or wanted.count() <= BROADCAST_ROWS else sketches
+    one = (sketches if few else own).select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
+    other = own.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
+    return (F.broadcast(pairs) if few else pairs).join(one, "a").join(other, "b")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, q: int) -> DataFrame:
@@ -381,12 +409,11 @@ def _difference_lists(around: DataFrame, q: int) -> DataFrame:
 
 
 def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int, all_pairs: bool = True) -> DataFrame:
-    """a > b for the pairs of lists (key, node, n, pos, role, group) of any length that sketches leave, but for those of one
-    group. A long list is cut into blocks of some `cell` / 2 sets; every two blocks meet once. Without `all_pairs` only the
-    likeliest pair of each set there (where roles differ, of each one of role 2)."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min("role").alias("lo"), F.max("role").alias("hi"))
-    sizes = sizes.where("length > 1 AND (lo = 0 OR lo < hi)").select("key", F.when(F.col("length") <= cell, 1).otherwise(F.ceil(2 * F.col("length") / cell)).alias("blocks"))
-    cut = lists.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
+    """a > b for the pairs of lists (key, node, n, pos, role, group, length) of any length that sketches leave, but for those
+    of one group. A long list is cut into blocks of some `cell` / 2 sets; every two blocks meet once. Without `all_pairs` only
+    the likeliest pair of each set there (where roles differ, of each one of role 2)."""
+    blocks = F.when(F.col("length") <= cell, 1).otherwise(F.ceil(2 * F.col("length") / cell))
+    cut = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
     key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit(3))
@@ -442,33 +469,34 @@ def _contracted(links: DataFrame, leaders: DataFrame) -> DataFrame:
 def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int = GROUP, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """Links (a, b) between the sets (node) of `docs` (doc_id, text), each doc_id one text's; `marks` are theirs. Their
     components are those of all pairs at the threshold; pairs of sets that both link with a third one may be left out."""
-    entries = stored(_entries(docs, words, q, _known(marks, "docs"), _known(marks, "uses")), "entries")
-    shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
-    lists = entries.join(shared, "key", "left_semi").dropDuplicates(["key", "node"]).withColumn("role", F.lit(0).cast("long"))
+    entries = _entries(docs, words, q, _known(marks, "docs"), _known(marks, "uses"))
+    lists = _shared(entries).withColumn("role", F.lit(0).cast("long"))
     own = marks.where("node IS NOT NULL")
     sketches = stored(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
     links, apart, sets, leaders = None, None, None, None
     for k in range(rounds + 1):
-        lists = checkpointed(lists)
-        sizes = lists.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p")).where("length > 1")
-        met = checkpointed(lists.join(sizes.select("key", "length", F.col("p.node").alias("pivot")), "key"))
+        met = checkpointed(_sized(lists))
         few, many = met.where(F.col("length") <= group).withColumn("side", F.lit(0).cast("long")), met.where(F.col("length") > group)
         pairs = checkpointed(_likely(checkpointed(_candidates(few.drop("length", "pivot"), q).distinct()), sketches, q))
         left = many.drop("length", "pivot")
-        if k == rounds or many.isEmpty():
-            rest = checkpointed((left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))).withColumn("group", F.col("node")))
-            pairs = pairs.unionByName(checkpointed(_met_in_blocks(rest, sketches, q, cell, all_pairs=False))).distinct()
+        last = k == rounds or many.isEmpty()
+        if last:
+            rest = (left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))).withColumn("group", F.col("node"))
+            rest = checkpointed(_where_kinds_meet(rest))
+            pairs = checkpointed(pairs.unionByName(_met_in_blocks(rest, sketches, q, cell, all_pairs=False)).distinct())
         if sets is None:  # later lists hold sets of long lists only
             sets = _sets_of(docs, own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")), words)
         found = checkpointed(_linked(pairs, sets, q))
         links = found if links is None else links.unionByName(found)
-        if (k == rounds or many.isEmpty()) and not rest.isEmpty():  # what the likeliest pairs have not linked yet
+        if last and not rest.isEmpty():  # what the likeliest pairs have not linked yet
             known = connected_components(links if leaders is None else links.unionByName(leaders.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-            grouped = rest.drop("group").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+            grouped = rest.drop("group", "length").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+            grouped = checkpointed(_where_kinds_meet(grouped))
             links = links.unionByName(checkpointed(_linked(checkpointed(_met_in_blocks(grouped, sketches, q, cell)), sets, q)))
-        if k == rounds or many.isEmpty():
+        if last:
             return links if leaders is None else _contracted(links, leaders)
-        near = checkpointed(_near_pivot(many.where("node <> pivot").select("node", "pivot").distinct(), sketches, q))
+        near = checkpointed(many.where("node <> pivot").select("node", "pivot").distinct())
+        near = checkpointed(_near_pivot(near, sketches, q))
         around = stored(_around(near, sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
         leaders = linked if leaders is None else leaders.unionByName(linked)
