@@ -417,7 +417,9 @@ def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int, all
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
     key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit(3))
-    dealt = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"), "group").join(sketches.select("node", "sketch"), "node")
+    wanted = lists.select("node").distinct()
+    own = sketches.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_ROWS else sketches
+    dealt = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"), "group").join(own.select("node", "sketch"), "node")
     grouped = dealt.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "group", "sketch")))
 
     def run(batches):
@@ -475,14 +477,14 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
     sketches = stored(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
     links, apart, sets, leaders = None, None, None, None
     for k in range(rounds + 1):
-        met = checkpointed(_sized(lists))
+        met = stored(_sized(lists), "lists")
         few, many = met.where(F.col("length") <= group).withColumn("side", F.lit(0).cast("long")), met.where(F.col("length") > group)
         pairs = checkpointed(_likely(checkpointed(_candidates(few.drop("length", "pivot"), q).distinct()), sketches, q))
         left = many.drop("length", "pivot")
         last = k == rounds or many.isEmpty()
         if last:
             rest = (left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))).withColumn("group", F.col("node"))
-            rest = checkpointed(_where_kinds_meet(rest))
+            rest = stored(_where_kinds_meet(rest), "rest")
             pairs = checkpointed(pairs.unionByName(_met_in_blocks(rest, sketches, q, cell, all_pairs=False)).distinct())
         if sets is None:  # later lists hold sets of long lists only
             sets = _sets_of(docs, own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")), words)
