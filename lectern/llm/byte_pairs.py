@@ -16,7 +16,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tidy, whole_texts
+from .common import give_back, table, tidy, whole_texts
 from .pieces import PATTERN, PieceMemo, arrow_slices, binary_array, gathered
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -167,6 +167,8 @@ def byte_pair_round_trip(df: DataFrame, ranks: str | None = None) -> DataFrame:
                 ids, ends = memo.encode(texts)
                 text, at = codec.decode(ids)
                 yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(ends), pa.int64()), binary_array(ids.astype("<u4").view(np.uint8), 4 * ends).cast(pa.binary()), binary_array(text, at[ends]).cast(pa.binary())], ["doc_id", "n_tokens", "token_ids", "decoded"])
+                del ids, ends, text, at
+                give_back()  # freed arrays of many sizes would pile up beside the memo
         memo.forget()
 
     return whole_texts(df).mapInArrow(tidy(run), "doc_id long, n_tokens long, token_ids binary, decoded binary")

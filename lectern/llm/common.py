@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of stored input that one task of an exchange gets by default.
 TASK_BYTES = 8 << 20
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,15 @@ def tasks_for(df: DataFrame, per_task: int = TASK_BYTES, least: int = 0) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(df) // per_task))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch to BATCH_BYTES. Spark's own bounds are 10,000 rows and 64 MB, which stand
+    beside each other several times in the executor and its Python workers; no result depends on them."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits, unit = re.fullmatch(r"([0-9]+)([kmgtp]?)b?", spark.conf.get(bound).strip().lower()).groups()
+    if int(digits) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def tidy(run):
     """`run` (batches to batches) with its free memory given back to the system at the end of each task: workers live on,
     and what one stage has freed must not stand beside the next one's."""
