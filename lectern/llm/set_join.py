@@ -340,15 +340,20 @@ def _differ() -> Column:
     return F.greatest(F.abs(F.col("x.n") - F.col("y.n")), F.coalesce(of, F.lit(0)).cast("long"))
 
 
-def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame, pivots: bool = False) -> DataFrame:
     """`pairs` (a, b) with x and y, both sides' structs of n and sketch. Of few pairs or nodes only the sketches that they
-    want cross the exchanges."""
+    want cross the exchanges. With `pivots` the partners are few for their pairs, and where their sketches are small, they
+    go to the others'."""
     few = pairs.count() <= BROADCAST_ROWS
     wanted = pairs.select(F.col("b").alias("node")) if few else pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     wanted = wanted.distinct()
     own = sketches.join(F.broadcast(wanted), "node", "left_semi") if few or wanted.count() <= BROADCAST_ROWS else sketches
     one = (sketches if few else own).select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
     other = own.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
+    if pivots:
+        partners = sketches.join(F.broadcast(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+        if (partners.agg(F.sum(F.size("sketch"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+            other = F.broadcast(partners.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y")))
     return (F.broadcast(pairs) if few else pairs).join(one, "a").join(other, "b")
 
 
@@ -363,17 +368,35 @@ def _linked(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
     return _met(pairs, sets).where((total - 2 * both) * q <= total).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, own: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The sets of `nodes`, each from one text that has it. Names of up to BROADCAST_ROWS texts are sent to the tasks."""
-    reps = own.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    repeated = own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("repeated"))
-    wanted = checkpointed(nodes.distinct().join(reps, "node").join(repeated, "rep", "left"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.join(few, docs["doc_id"] == F.col("rep")).select(F.col("node").alias("doc_id"), "text", "repeated")
-    once = texts.where("repeated IS NULL").drop("repeated")
+def _texts_of(own: DataFrame) -> DataFrame:
+    """node, rep (the text that stands for it) and whether several rows have that text."""
+    counted = own.groupBy("node", "doc_id").count()
+    rep = counted.groupBy("node").agg(F.min(F.struct("doc_id", (F.col("count") > 1).alias("repeated"))).alias("r"))
+    return stored(rep.select("node", F.col("r.doc_id").alias("rep"), "r.repeated"), "reps")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (of two columns)."""
+    a, b = pairs.columns
+    return pairs.select(F.col(a).alias("node")).union(pairs.select(b))
+
+
+def _with_sets(sets: DataFrame | None, nodes: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """`sets` and those of the `nodes` that it lacks, each from one text that has it. Names of up to BROADCAST_ROWS texts are
+    sent to the tasks."""
+    nodes = nodes.distinct()
+    nodes = checkpointed(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"))
+    count = nodes.count()
+    if sets is not None and not count:
+        return sets
+    few = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
+    wanted = checkpointed(few(nodes).join(reps, "node"))
+    texts = docs.join(few(wanted), docs["doc_id"] == F.col("rep")).select(F.col("node").alias("doc_id"), "text", "repeated")
+    once = texts.where("NOT repeated").drop("repeated")
     if not wanted.where("repeated").isEmpty():
         once = once.unionByName(texts.where("repeated").drop("repeated").dropDuplicates(["doc_id"]))
-    return stored(_sets(once, words), "sets")
+    more = stored(_sets(once, words), "sets")
+    return more if sets is None else sets.unionByName(more)
 
 
 def _reach(n: str, q: int) -> Column:
@@ -384,7 +407,7 @@ def _reach(n: str, q: int) -> Column:
 
 def _near_pivot(pairs: DataFrame, sketches: DataFrame, q: int) -> DataFrame:
     """The pairs (node, pivot) that `_around` can keep, as their sketches tell."""
-    met = _sketched(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sketches)
+    met = _sketched(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sketches, pivots=True)
     near = (_differ() * q <= F.col("x.n") + F.col("y.n")) | (_differ() <= _reach("x.n", q))
     return met.where(near).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
 
@@ -417,9 +440,13 @@ def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int, all
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
     key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit(3))
-    wanted = lists.select("node").distinct()
-    own = sketches.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_ROWS else sketches
-    dealt = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"), "group").join(own.select("node", "sketch"), "node")
+    cut = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"), "group")
+    if (lists.agg(F.sum(blocks)).first()[0] or 0) <= BROADCAST_ROWS:
+        dealt = F.broadcast(cut).join(sketches.select("node", "sketch"), "node")
+    else:
+        wanted = lists.select("node").distinct()
+        own = sketches.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_ROWS else sketches
+        dealt = cut.join(own.select("node", "sketch"), "node")
     grouped = dealt.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "group", "sketch")))
 
     def run(batches):
@@ -474,7 +501,7 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
     entries = _entries(docs, words, q, _known(marks, "docs"), _known(marks, "uses"))
     lists = _shared(entries).withColumn("role", F.lit(0).cast("long"))
     own = marks.where("node IS NOT NULL")
-    sketches = stored(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+    sketches, reps = stored(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches"), _texts_of(own)
     links, apart, sets, leaders = None, None, None, None
     for k in range(rounds + 1):
         met = stored(_sized(lists), "lists")
@@ -486,19 +513,23 @@ def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int
             rest = (left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))).withColumn("group", F.col("node"))
             rest = stored(_where_kinds_meet(rest), "rest")
             pairs = checkpointed(pairs.unionByName(_met_in_blocks(rest, sketches, q, cell, all_pairs=False)).distinct())
-        if sets is None:  # later lists hold sets of long lists only
-            sets = _sets_of(docs, own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")), words)
+        wanted = _ends(pairs)
+        if not last:
+            near = checkpointed(many.where("node <> pivot").select("node", "pivot").distinct())
+            near = checkpointed(_near_pivot(near, sketches, q))
+            wanted = wanted.union(_ends(near))
+        sets = _with_sets(sets, wanted, docs, reps, words)  # only of what the sketches leave
         found = checkpointed(_linked(pairs, sets, q))
         links = found if links is None else links.unionByName(found)
         if last and not rest.isEmpty():  # what the likeliest pairs have not linked yet
             known = connected_components(links if leaders is None else links.unionByName(leaders.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
             grouped = rest.drop("group", "length").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
             grouped = checkpointed(_where_kinds_meet(grouped))
-            links = links.unionByName(checkpointed(_linked(checkpointed(_met_in_blocks(grouped, sketches, q, cell)), sets, q)))
+            pairs = checkpointed(_met_in_blocks(grouped, sketches, q, cell))
+            sets = _with_sets(sets, _ends(pairs), docs, reps, words)
+            links = links.unionByName(checkpointed(_linked(pairs, sets, q)))
         if last:
             return links if leaders is None else _contracted(links, leaders)
-        near = checkpointed(many.where("node <> pivot").select("node", "pivot").distinct())
-        near = checkpointed(_near_pivot(near, sketches, q))
         around = stored(_around(near, sets, q), "around")
         linked = around.where("linked").select("node", "pivot")
         leaders = linked if leaders is None else leaders.unionByName(linked)
