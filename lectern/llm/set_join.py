@@ -256,18 +256,29 @@ def _two_of(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(length, 1)
 
 
-def _candidates(lists: DataFrame, q: int) -> DataFrame:
-    """a > b for the candidate pairs of lists (key, node, n, pos, role, side) of bounded length."""
-    grouped = lists.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side")))
+def _packed(sized: DataFrame, group: int) -> DataFrame:
+    """Lists of up to `group` sets in one row each, longer ones in rows of some `group` sets, packed in the tasks that the
+    exchange of their entries brought them to."""
+    part = F.when(F.col("length") > group, F.pmod(F.xxhash64("node", F.lit(4)), F.ceil(F.col("length") / group)))
+    return sized.withColumn("part", part).groupBy("key", "length", "pivot", "part").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role"))).drop("part")
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    columns = ["node", "n", "pos", "role"]
+    return packed.select("key", "length", "pivot", F.inline(F.arrays_zip(*columns))).select("key", *columns, "length", "pivot")
+
+
+def _candidates(packed: DataFrame, q: int) -> DataFrame:
+    """a > b for the candidate pairs of packed lists of bounded length."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(1, 6)]
+            columns = [batch.column(i) for i in range(4)]
             offsets = columns[0].offsets.to_numpy()
-            node, *rest = (c.values.to_numpy() for c in columns)
-            n, pos, role, side = rest
+            node, n, pos, role = (c.values.to_numpy() for c in columns)
+            side = np.zeros_like(role)
             found, lengths = [], np.diff(offsets)
             for length in range(2, SHORT + 1):
                 starts = offsets[:-1][lengths == length]
@@ -285,7 +296,7 @@ def _candidates(lists: DataFrame, q: int) -> DataFrame:
             both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
 
-    return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b")
+    return packed.select("node", "n", "pos", "role").mapInArrow(tidy(run), "a long, b long").where("a <> b")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -303,10 +314,12 @@ def _sized(lists: DataFrame) -> DataFrame:
 
 
 def _where_kinds_meet(lists: DataFrame) -> DataFrame:
-    """The rows of lists (key, node, n, pos, role, group) in which two groups can meet, with the `length` of their list."""
+    """The rows of lists (key, node, n, pos, role, group) in which two groups can meet, with the `length` of their list and, if
+    it has two roles only, how many `ones` there are of role 1."""
     whole = Window.partitionBy("key")
-    told = {"length": F.count("*").over(whole)} | {f"{f.__name__}_{c}": f(c).over(whole) for f in (F.min, F.max) for c in ("role", "group")}
-    return lists.withColumns(told).where("(min_role = 0 OR min_role < max_role) AND min_group < max_group").select(*lists.columns, "length")
+    ones = F.when(F.min("role").over(whole) > 0, F.count_if(F.col("role") == 1).over(whole))
+    told = {"length": F.count("*").over(whole), "ones": ones} | {f"{f.__name__}_{c}": f(c).over(whole) for f in (F.min, F.max) for c in ("role", "group")}
+    return lists.withColumns(told).where("(min_role = 0 OR min_role < max_role) AND min_group < max_group").select(*lists.columns, "length", "ones")
 
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -368,6 +381,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
     return _met(pairs, sets).where((total - 2 * both) * q <= total).select("a", "b")
 
 
+def _linking(pairs: DataFrame, sets: DataFrame, q: int) -> DataFrame:
+    """Links with the components of all links among the pairs (a > b): of each a its smallest b is checked first, then the
+    pairs that no links found so far connect in a few steps."""
+    pairs = checkpointed(pairs.withColumn("least", F.min("b").over(Window.partitionBy("a"))))
+    found = checkpointed(_linked(pairs.where("b = least").select("a", "b"), sets, q))
+    tops = found.select(F.col("a").alias("node"), F.col("b").alias("top"))
+    for _ in range(2):
+        above = tops.select(F.col("node").alias("top"), F.col("top").alias("higher"))
+        tops = checkpointed(tops.join(above, "top", "left").select("node", F.coalesce("higher", "top").alias("top")))
+    top = lambda c: tops.select(F.col("node").alias(c), F.col("top").alias(f"top_{c}"))
+    rest = pairs.where("b > least").join(top("a"), "a", "left").join(top("b"), "b", "left")
+    rest = checkpointed(rest.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b"))
+    return found if rest.isEmpty() else found.unionByName(checkpointed(_linked(rest, sets, q)))
+
+
 def _texts_of(own: DataFrame) -> DataFrame:
     """node, rep (the text that stands for it) and whether several rows have that text."""
     counted = own.groupBy("node", "doc_id").count()
@@ -432,33 +460,39 @@ def _difference_lists(around: DataFrame, q: int) -> DataFrame:
 
 
 def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int, all_pairs: bool = True) -> DataFrame:
-    """a > b for the pairs of lists (key, node, n, pos, role, group, length) of any length that sketches leave, but for those
-    of one group. A long list is cut into blocks of some `cell` / 2 sets; every two blocks meet once. Without `all_pairs` only
-    the likeliest pair of each set there (where roles differ, of each one of role 2)."""
-    blocks = F.when(F.col("length") <= cell, 1).otherwise(F.ceil(2 * F.col("length") / cell))
-    cut = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
-    key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"), F.lit(3))
-    cut = cut.select(key.alias("key"), "node", "n", "pos", "role", side.alias("side"), "group")
-    if (lists.agg(F.sum(blocks)).first()[0] or 0) <= BROADCAST_ROWS:
+    """a > b for the pairs of lists (key, node, n, pos, role, group, length, ones) of any length that sketches leave, but for
+    those of one group. A long list is cut into blocks of some `cell` / 2 sets; every two blocks meet once, and where each
+    role meets only the other, so do the blocks of one with those of the other. Without `all_pairs` only
+    the likeliest pair of each set there (where roles differ, of each one of role 2); the ends of the other pairs come as
+    a (b: null) with the key of their `list`, so that only these meet again."""
+    blocks = lambda n: F.when(F.col("length") <= cell, 1).otherwise(F.ceil(2 * n / cell))
+    one, two, first = F.col("ones"), F.col("length") - F.col("ones"), F.col("role") == 1
+    own = F.when(one.isNull(), blocks(F.col("length"))).when(first, blocks(one)).otherwise(blocks(two))
+    across = F.when(one.isNull(), blocks(F.col("length"))).when(first, blocks(two)).otherwise(blocks(one))
+    cut = lists.withColumns({"across": across, "block": F.pmod(F.xxhash64("node", F.lit(2)), own)})
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)))
+    side = F.when(one.isNotNull() | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
+    turned = F.when(one.isNull(), F.col("block") > F.col("other")).otherwise(~first)
+    key = F.xxhash64("key", F.when(turned, F.col("other")).otherwise(F.col("block")), F.when(turned, F.col("block")).otherwise(F.col("other")), F.lit(3))
+    cut = cut.select(key.alias("key"), F.col("key").alias("list"), "node", "n", "pos", "role", side.alias("side"), "group")
+    if (lists.agg(F.sum(across)).first()[0] or 0) <= BROADCAST_ROWS:
         dealt = F.broadcast(cut).join(sketches.select("node", "sketch"), "node")
     else:
         wanted = lists.select("node").distinct()
         own = sketches.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_ROWS else sketches
         dealt = cut.join(own.select("node", "sketch"), "node")
-    grouped = dealt.groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "group", "sketch")))
+    grouped = dealt.groupBy("key", "list").agg(*(F.collect_list(c).alias(c) for c in ("node", "n", "pos", "role", "side", "group", "sketch")))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for k in range(batch.num_rows):
-                node, n, pos, role, side, group = (batch.column(i)[k].values.to_numpy() for i in range(1, 7))
+                node, n, pos, role, side, group = (batch.column(i)[k].values.to_numpy() for i in range(2, 8))
                 x, y = pairs_of_list(n, pos, role, side, q)
                 apart = group[x] != group[y]
                 x, y = x[apart], y[apart]
-                bits, found = batch.column(7)[k].values, [np.zeros((3, 0), np.int64)]
+                bits, found = batch.column(8)[k].values, [np.zeros((3, 0), np.int64)]
                 longs, flat = np.diff(bits.offsets.to_numpy()), bits.flatten().to_numpy().view(np.uint64)
                 begins, least = np.cumsum(longs) - longs, np.minimum(longs[x], longs[y])
                 for length in np.unique(least).tolist():  # sets that fit have sketches of the same length or of two times it
@@ -474,17 +508,22 @@ def _met_in_blocks(lists: DataFrame, sketches: DataFrame, q: int, cell: int, all
                         near = over <= 0
                         found.append(np.stack([a[near], b[near], over[near]]))
                 a, b, over = np.concatenate(found, axis=1)
+                others = np.zeros(0, np.int64)
                 if not all_pairs:
                     ends = np.concatenate([a, b])
                     ends[np.concatenate([(role[a] == 1), (role[b] == 1)])] = -1
                     order = np.lexsort((np.tile(over, 2), ends))
                     first = order[np.r_[True, np.diff(ends[order]) != 0][: len(order)]]
                     chosen = np.unique(first[ends[first] >= 0] % max(len(a), 1))
+                    others = np.unique(np.concatenate([np.delete(a, chosen), np.delete(b, chosen)]))
                     a, b = a[chosen], b[chosen]
                 both = np.stack([node[a], node[b]])
-                yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
+                key = batch.column(1)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([None] * len(a), pa.int64()), pa.array(both.max(0)), pa.array(both.min(0))], ["list", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(others), pa.int64()), pa.array(node[others]), pa.nulls(len(others), pa.int64())], ["list", "a", "b"])
 
-    return grouped.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
+    met = grouped.mapInArrow(tidy(run), "list long, a long, b long").where("b IS NULL OR a <> b").distinct()
+    return met.select("a", "b") if all_pairs else met
 
 
 def _contracted(links: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -497,37 +536,40 @@ def _contracted(links: DataFrame, leaders: DataFrame) -> DataFrame:
 
 def set_links(docs: DataFrame, marks: DataFrame, words: int, q: int, group: int = GROUP, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """Links (a, b) between the sets (node) of `docs` (doc_id, text), each doc_id one text's; `marks` are theirs. Their
-    components are those of all pairs at the threshold; pairs of sets that both link with a third one may be left out."""
+    components are those of all pairs at the threshold; pairs of sets that others connect may be left out."""
     entries = _entries(docs, words, q, _known(marks, "docs"), _known(marks, "uses"))
     lists = _shared(entries).withColumn("role", F.lit(0).cast("long"))
     own = marks.where("node IS NOT NULL")
     sketches, reps = stored(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches"), _texts_of(own)
     links, apart, sets, leaders = None, None, None, None
     for k in range(rounds + 1):
-        met = stored(_sized(lists), "lists")
-        few, many = met.where(F.col("length") <= group).withColumn("side", F.lit(0).cast("long")), met.where(F.col("length") > group)
-        pairs = checkpointed(_likely(checkpointed(_candidates(few.drop("length", "pivot"), q).distinct()), sketches, q))
+        met = stored(_packed(_sized(lists), group), "lists")
+        many = stored(_unpacked(met.where(F.col("length") > group)), "long")
+        pairs = checkpointed(_likely(checkpointed(_candidates(met.where(F.col("length") <= group), q).distinct()), sketches, q))
         left = many.drop("length", "pivot")
         last = k == rounds or many.isEmpty()
         if last:
             rest = (left if apart is None else left.unionByName(apart.dropDuplicates(["key", "node"]))).withColumn("group", F.col("node"))
             rest = stored(_where_kinds_meet(rest), "rest")
-            pairs = checkpointed(pairs.unionByName(_met_in_blocks(rest, sketches, q, cell, all_pairs=False)).distinct())
+            blocks = checkpointed(_met_in_blocks(rest, sketches, q, cell, all_pairs=False))
+            pairs = checkpointed(pairs.unionByName(blocks.where("b IS NOT NULL").select("a", "b")).distinct())
+            again = blocks.where("b IS NULL").select(F.col("list").alias("key"), F.col("a").alias("node"))
+            rest = rest.join(again, ["key", "node"], "left_semi")
         wanted = _ends(pairs)
         if not last:
             near = checkpointed(many.where("node <> pivot").select("node", "pivot").distinct())
             near = checkpointed(_near_pivot(near, sketches, q))
             wanted = wanted.union(_ends(near))
         sets = _with_sets(sets, wanted, docs, reps, words)  # only of what the sketches leave
-        found = checkpointed(_linked(pairs, sets, q))
+        found = _linking(pairs, sets, q)
         links = found if links is None else links.unionByName(found)
-        if last and not rest.isEmpty():  # what the likeliest pairs have not linked yet
+        if last and not again.isEmpty():  # what the likeliest pairs have not linked yet
             known = connected_components(links if leaders is None else links.unionByName(leaders.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-            grouped = rest.drop("group", "length").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+            grouped = rest.drop("group", "length", "ones").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
             grouped = checkpointed(_where_kinds_meet(grouped))
             pairs = checkpointed(_met_in_blocks(grouped, sketches, q, cell))
             sets = _with_sets(sets, _ends(pairs), docs, reps, words)
-            links = links.unionByName(checkpointed(_linked(pairs, sets, q)))
+            links = links.unionByName(_linking(pairs, sets, q))
         if last:
             return links if leaders is None else _contracted(links, leaders)
         around = stored(_around(near, sets, q), "around")
