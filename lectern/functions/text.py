@@ -133,7 +133,7 @@ def sentences(paragraph: Column) -> Column:
     out = F.regexp_replace(out, CASELESS, "$1" + MARK)
     for _ in range(2):
         out = F.regexp_replace(out, ABBREVIATED, "$1 ")
-    return F.filter(F.transform(F.split(out, MARK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(out, MARK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:

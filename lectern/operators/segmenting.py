@@ -108,7 +108,7 @@ def reading_clauses(df: DataFrame, key: str = "doc_id", col: str = "text") -> Da
 
 def _breaths(col: Column) -> Column:
     cut = F.regexp_replace(col, r"((?:(?<![0-9])[,;:](?![0-9])|[,;:](?=\s)|[،؛，；：、]|\s[-–—](?=\s)))\s*", "$1" + text.MARK)
-    return F.filter(F.transform(F.split(cut, text.MARK), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(cut, text.MARK), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def pack_chunks(sentences: DataFrame, budget: int = rules.CHUNK_BUDGET, key: str = "doc_id", order: str = "sent") -> DataFrame:

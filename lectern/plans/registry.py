@@ -25,7 +25,7 @@ def sentence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.table(spark, sf_dir, "documents")
     s = docs.select("lang", "source", "doc_id", F.explode(F.flatten(F.transform(text.paragraphs(F.col("text")), text.sentences))).alias("s"))
     n = F.size(text.words(F.col("s")))
-    return s.groupBy("lang", "source").agg(F.count("*").alias("sentences"), F.sum(n).alias("words"), F.count_if(n >= 40).alias("long_sentences"), F.count_if(~F.col("s").rlike(r"[.!?]$")).alias("no_stop"))
+    return s.groupBy("lang", "source").agg(F.count("*").alias("sentences"), F.sum(n).alias("words"), F.count_if(n >= 40).alias("long_sentences"), F.count_if(~F.col("s").rlike(r"[.!?]\z")).alias("no_stop"))
 
 
 @query
