@@ -43,11 +43,13 @@ def _spans(pieces: Column) -> Column:
 
 
 def merge_spans(spans: DataFrame, key: str = "id") -> DataFrame:
-    """key, begin, end: overlapping spans as one, from the first begin to the last end; touching ones stay two."""
-    w = Window.partitionBy(key).orderBy("begin", F.desc("end"))
+    """key, begin, end: overlapping spans as one, from the first begin to the last end; touching ones stay two, and so do
+    equal ones that are empty or lack an end. Spans without a begin come last."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("begin"), F.desc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("_new", F.when(F.col("begin") < before, 0).otherwise(1))
-    return opened.withColumn("_group", F.sum("_new").over(w)).groupBy(key, "_group").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_group")
+    # by rows: equal spans that both open a group would count as one in a range
+    return opened.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_group").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_group")
 
 
 def find_citations(df: DataFrame, tokens: DataFrame, key: str = "id", col: str = "text") -> DataFrame:
