@@ -24,8 +24,12 @@ def words(col: Column) -> Column:
 
 def normalise_token(col: Column) -> Column:
     """Letters, digits and apostrophes, lower case, without accents and outer apostrophes."""
-    plain = F.regexp_replace(F.translate(col, *_accents()), r"\p{M}", "")
-    return F.btrim(F.lower(F.regexp_replace(plain, r"[^\p{L}\p{N}']", "")), F.lit("'"))
+    return F.btrim(F.lower(F.regexp_replace(_unaccented(col), r"[^\p{L}\p{N}']", "")), F.lit("'"))
+
+
+def _unaccented(col: Column) -> Column:
+    """Precomposed letters as their base letters; ASCII texts are not walked."""
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, *_accents())).otherwise(col)
 
 
 def _accents() -> tuple[str, str]:
@@ -43,7 +47,9 @@ def _accents() -> tuple[str, str]:
 
 def tokens(col: Column) -> Column:
     """Normalised tokens of a text, empty ones dropped."""
-    return F.filter(F.transform(F.regexp_extract_all(col, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)), normalise_token), lambda w: w != "")
+    # a letter's base is a letter, so tokens are cut alike without accents, and only the underscore is left to drop
+    cut = F.regexp_extract_all(_unaccented(col), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+    return F.filter(F.transform(cut, lambda w: F.btrim(F.lower(F.replace(w, F.lit("_"), F.lit(""))), F.lit("'"))), lambda w: w != "")
 
 
 def format_timestamp(seconds: Column, sep: str = ",") -> Column:

@@ -1,142 +1,40 @@
 """Two token sequences of a document beside each other: matching blocks, what lies between them, times and error rates.
 
-The blocks are the longest common runs, found first in the whole, then to the left and right of each one. Common grams of
-`LEVELS` tokens meet by (pair, gap, gram), neighbours on a diagonal make runs, and each pair's runs settle its blocks; the
-next level looks at shorter grams inside the gaps that are left. At every level all runs of a gap that are long enough
-are known, so the blocks are those of an exact search. Equal pairs of sequences are matched once. A null sequence is an
-empty one; rows with equal keys get their blocks each. A gram repeated in both sequences of one gap meets as often as the
-product of its counts there.
+The blocks are the longest common runs, found first in the whole, then to the left and right of each one; they are those
+of an exact search (`blocks.py`, for many pairs at once). A pair is matched within its row, so matching needs no exchange.
+A null sequence is an empty one; rows with equal keys get their blocks each.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
+from .blocks import blocks_of
 from .repair import forward_order
 
-#: Lengths of the grams that meet, one level after the other; the last two must be 2 and 1.
-LEVELS = (8, 2, 1)
-_INTS = T.ArrayType(T.IntegerType())
-_SEP = "\u0001"
-
-
-def _plain(c: str) -> Column:
-    """The tokens with the separator and nulls written in other characters, so that joined tokens are equal only where all are."""
-    told = lambda w: F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit(_SEP), F.lit("\\1"))
-    return F.transform(c, lambda w: F.coalesce(told(w), F.lit("\\0")))
-
-
-def _single(i, j, at):
-    """Runs of one token each, in order of (i, j): the next is the first that lies after the last one taken in its gap."""
-    out, gap, i0, j0 = [], -1, 0, 0
-    for n in np.lexsort((j, i, at)):
-        if at[n] != gap:
-            gap, i0, j0 = at[n], i[n], 0
-        if i[n] >= i0 and j[n] >= j0:
-            out.append((int(i[n]), int(j[n]), 1))
-            i0, j0 = i[n] + 1, j[n] + 1
-    return out
-
-
-def _longest(box, runs, least):
-    """Blocks of one gap (i1, i2, j1, j2): its longest run, the first in i, then in j; then left and right of it."""
-    out, todo = [], [(box, runs)]
-    while todo:
-        (i1, i2, j1, j2), (i, j, n) = todo.pop()
-        cut = np.maximum(np.maximum(i1 - i, j1 - j), 0)
-        n = np.minimum(np.minimum(n, i2 - i), j2 - j) - cut
-        i, j, n = (x[n >= least] for x in (i + cut, j + cut, n))
-        if len(n):
-            best = np.lexsort((j, i, -n))[0] if len(n) > 1 else 0
-            x, y, size = int(i[best]), int(j[best]), int(n[best])
-            out.append((x, y, size))
-            left, right = (i < x) & (j < y), (i + n > x + size) & (j + n > y + size)
-            todo += [((i1, x, j1, y), (i[left], j[left], n[left])), ((x + size, i2, y + size, j2), (i[right], j[right], n[right]))]
-    return out
-
-
-def _settled(blocks, runs, least):
-    """Blocks (i, j, size; the last is the ends) with those that the runs add in the gaps, neighbours joined."""
-    found = []
-    if len(runs[0]):
-        i, j, size = blocks
-        i1, j1 = (np.concatenate(([0], (x + size)[:-1])) for x in (i, j))
-        at = np.searchsorted(i, runs[0], "right")  # the gap of a run ends at the first block after its start
-        if least == 1:
-            found = _single(runs[0], runs[1], at)
-        else:
-            order = np.argsort(at, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-                g = at[part[0]]
-                found += _longest((int(i1[g]), int(i[g]), int(j1[g]), int(j[g])), tuple(r[part] for r in runs), least)
-    joined = []
-    for x, y, k in sorted([*zip(*(b.tolist() for b in blocks)), *found], key=lambda b: (b[0], b[1], -b[2])):
-        if joined and k and (joined[-1][0] + joined[-1][2], joined[-1][1] + joined[-1][2]) == (x, y):
-            joined[-1] = (*joined[-1][:2], joined[-1][2] + k)
-        else:
-            joined.append((x, y, k))
-    return joined
-
-
-def _settle(least):
-    @F.pandas_udf(T.StructType([T.StructField(c, _INTS) for c in "ijn"]))
-    def settle(bi, bj, bn, ri, rj, rn):
-        import pandas as pd
-
-        whole = lambda *xs: tuple(np.asarray(x, np.int64) for x in xs)
-        told = [list(zip(*_settled(whole(*r[:3]), whole(*r[3:]), least))) for r in zip(bi, bj, bn, ri, rj, rn)]
-        return pd.DataFrame({c: [list(t[at]) for t in told] for at, c in enumerate("ijn")})
-
-    return settle
-
-
-def _level(pairs: DataFrame, k: int) -> DataFrame:
-    """pairs (rid, a, b, blocks), kept in its partitions by rid, with the blocks that common grams of k tokens add.
-
-    A pair goes along as a row of its own beside its grams, so that nothing is read twice or joined back.
-    """
-    gaps = F.filter(_between(F.col("blocks")), lambda x: (x["i2"] - x["i1"] >= k) & (x["j2"] - x["j1"] >= k))
-    # items one by one: a slice within a lambda copies the whole array first
-    gram = lambda c, p: F.concat_ws(_SEP, *[F.get(c, p + n) for n in range(k)])
-    none = F.lit(None).cast(pairs.select(F.struct("a", "b", "blocks")).schema[0].dataType)
-
-    def grams(c, side, first, last):
-        of = lambda x, g: F.transform(F.sequence(x[first], x[last] - k), lambda p: F.struct(g.alias("gap"), F.lit(side).alias("side"), p.alias("pos"), gram(c, p).alias("gram"), none.alias("pair")))
-        return F.flatten(F.transform("gaps", of))
-
-    itself = F.array(F.struct(F.lit(-1).alias("gap"), F.lit(2).alias("side"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("gram"), F.struct("a", "b", "blocks").alias("pair")))
-    rows = pairs.withColumn("gaps", gaps).select("rid", F.explode(F.concat(itself, grams("a", 0, "i1", "i2"), grams("b", 1, "j1", "j2"))).alias("x")).select("rid", "x.*")
-    there = F.collect_list(F.when(F.col("side") == 1, F.col("pos"))).over(Window.partitionBy("rid", "gap", "gram"))
-    met = rows.withColumn("js", F.when(F.col("side") == 2, F.array(F.lit(0))).otherwise(there)).where("side <> 1")
-    met = met.select("rid", "gap", F.col("pos").alias("i"), F.explode("js").alias("j"), "pair").withColumn("diagonal", F.col("j") - F.col("i"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy("rid", "gap", "diagonal").orderBy("i"))
-    run = F.struct(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + (k - 1)).cast("int").alias("n"))
-    runs = met.withColumn("island", island).groupBy("rid", "gap", "diagonal", "island").agg(run.alias("run"), F.first("pair", ignorenulls=True).alias("pair"))
-    # first() would copy the pair for each run
-    told = runs.groupBy("rid").agg(F.collect_list(F.when(F.col("gap") >= 0, F.col("run"))).alias("runs"), F.get(F.collect_list("pair"), F.lit(0)).alias("pair"))
-    part = lambda c, n: F.col(f"{c}.{n}")
-    new = told.withColumn("new", _settle(k)(part("pair.blocks", "i"), part("pair.blocks", "j"), part("pair.blocks", "size"), part("runs", "i"), part("runs", "j"), part("runs", "n")))
-    zipped = F.transform(F.arrays_zip("new.i", "new.j", "new.n"), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["n"].alias("size")))
-    return new.select("rid", "pair.a", "pair.b", zipped.alias("blocks"))
+
+def _as_list(offsets, **columns) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
+
+
+def _matched():
+    @F.arrow_udf("array<struct<i:int,j:int,size:int>>")
+    def matched(a: pa.Array, b: pa.Array) -> pa.Array:
+        offsets, i, j, n = blocks_of(a, b)
+        return _as_list(offsets, i=i.astype(np.int32), j=j.astype(np.int32), size=n.astype(np.int32))
+
+    return matched
 
 
 def matching_blocks(df: DataFrame, a: str = "ref", b: str = "hyp") -> DataFrame:
     """df with `blocks` of (i, j, size): tokens i.. of array a equal tokens j.. of array b; the last is (ends, 0)."""
     empty = F.array().cast("array<string>")
     whole = df.withColumns({c: F.coalesce(F.col(c), empty) for c in (a, b)})
-    digest = F.sha2(F.concat_ws(_SEP, F.size("_a").cast("string"), F.array_join("_a", _SEP), F.size("_b").cast("string"), F.array_join("_b", _SEP)), 256)
-    named = whole.withColumns({"_a": _plain(a), "_b": _plain(b)}).withColumn("_rid", digest)
-    ends = F.array(F.struct(F.size("a").alias("i"), F.size("b").alias("j"), F.lit(0).alias("size")))
-    pairs = named.groupBy(F.col("_rid").alias("rid")).agg(F.first("_a").alias("a"), F.first("_b").alias("b")).withColumn("blocks", ends)
-    # pairs grow into their grams behind this exchange, so its partitions are not to be put together by their size
-    pairs = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
-    for k in LEVELS:
-        pairs = _level(pairs, k)
-    return named.drop("_a", "_b").join(pairs.select(F.col("rid").alias("_rid"), "blocks"), "_rid").drop("_rid")
+    return whole.withColumn("blocks", _matched()(a, b))
 
 
 def _part(c, first, size):
@@ -175,16 +73,48 @@ def error_rate(df: DataFrame, lost_at: int | Column = 8, a: str = "ref", b: str
     return sums.select(*keys, "edits", "n", (F.col("edits") / F.nullif("n", F.lit(0))).alias("rate"), "lost")
 
 
+def _times():
+    @F.arrow_udf("array<struct<start:double,end:double,matched:bigint>>")
+    def times(told: pa.Array, sizes: pa.Array, said: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        offsets, i, j, n = blocks_of(told, said)
+        rows, chunks, words = len(told), sizes.flatten().to_numpy(), np.concatenate(([0], np.cumsum(said.value_lengths().to_numpy())))
+        each = sizes.value_lengths().to_numpy()
+        row = np.repeat(np.arange(rows), np.diff(offsets))
+        first = np.concatenate(([0], np.cumsum(told.value_lengths().to_numpy())))
+        ends = np.cumsum(chunks)  # of chunks, in tokens through all rows
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i, j = (np.repeat(x[row] + y, n) + step for x, y in ((first, i), (words, j)))
+        begun, over = (x.flatten().to_numpy(zero_copy_only=False)[j] for x in (start, end))
+        timed = ~(np.isnan(begun) | np.isnan(over))  # nulls are not a number here
+        chunk, begun, over = np.searchsorted(ends, i[timed], "right"), begun[timed], over[timed]
+        count = np.bincount(chunk, minlength=len(chunks))
+        low, high = np.full(len(chunks), np.inf), np.full(len(chunks), -np.inf)
+        np.minimum.at(low, chunk, begun)
+        np.maximum.at(high, chunk, over)
+        none = count == 0
+        at = np.concatenate(([0], np.cumsum(each)))
+        return _as_list(at, start=pa.array(low, mask=none), end=pa.array(np.maximum(low, high), mask=none), matched=count)
+
+    return times
+
+
+def align_listed(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, chunk_id, text, start, end, matched of rows (key, told: array of chunk_id, text, words; said: array of word,
+    start, end; both in order, words normalised): as align_text_to_words, whose table forms it takes listed."""
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    words = F.transform("told", lambda x: none(x["words"], "string"))
+    sizes = none(F.transform(words, lambda w: F.size(w).cast("long")), "long")
+    side = lambda c: none(F.col(f"said.{c}").cast("array<double>"), "double")
+    timed = df.withColumn("_t", _times()(none(F.flatten(words), "string"), sizes, none(F.col("said.word"), "string"), side("start"), side("end")))
+    each = F.zip_with("told", "_t", lambda x, t: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"), t["start"].alias("start"), t["end"].alias("end"), t["matched"].alias("matched")))
+    ordered = forward_order(timed.select(key, F.explode(each).alias("x")).select(key, "x.*"))
+    return ordered.withColumn("matched", F.when(F.col("start").isNull(), 0).otherwise(F.col("matched")))
+
+
 def align_text_to_words(chunks: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, chunk_id, text, start, end, matched of chunks (text, words: normalised tokens) against timed words (pos,
     word, start, end): the earliest start and latest end of the words that match, null for chunks that match none or
     would go backwards. Spoken words without times match but do not count."""
-    owned = F.transform("words", lambda w: F.struct(F.col("chunk_id").alias("chunk"), w.alias("w")))
-    told = chunks.select(key, F.struct("chunk_id", owned.alias("o")).alias("x")).groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["o"])).alias("told"))
-    said = words.select(key, F.struct("pos", text.normalise_token(F.col("word")).alias("w"), "start", "end").alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("said"))
-    m = matching_blocks(told.join(said, key).withColumns({"ref": F.col("told.w"), "hyp": F.col("said.w")}))
-    both = lambda x: F.zip_with(_part("told", x["i"], x["size"]), _part("said", x["j"], x["size"]), lambda t, w: F.struct(t["chunk"].alias("chunk_id"), w.alias("w")))
-    met = m.select(key, F.explode(F.flatten(F.transform("blocks", both))).alias("x")).select(key, "x.*").where("w.start IS NOT NULL AND w.end IS NOT NULL")
-    times = met.groupBy(key, "chunk_id").agg(F.min("w.start").alias("start"), F.greatest(F.max("w.end"), F.min("w.start")).alias("end"), F.count("*").alias("matched"))
-    timed = forward_order(chunks.join(times, [key, "chunk_id"], "left").select(key, "chunk_id", "text", "start", "end", "matched"))
-    return timed.withColumn("matched", F.when(F.col("start").isNull(), 0).otherwise(F.col("matched")))
+    told = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text", "words"))).alias("told"))
+    said = words.select(key, F.struct("pos", text.normalise_token(F.col("word")).alias("word"), "start", "end").alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("said"))
+    return align_listed(told.join(said, key, "left"), key)

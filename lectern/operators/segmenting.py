@@ -36,17 +36,20 @@ def choose_granularity(df: DataFrame, key: str = "doc_id", col: str = "text") ->
     return sized.select(key, F.size("n").cast("long").alias("paragraphs"), mean.alias("mean_words"), F.when((F.size("n") < 2) | (mean > rules.PARAGRAPH_WORDS), "sentence").otherwise("paragraph").alias("granularity"))
 
 
-def chunk_text(df: DataFrame, granularity: str = "auto", key: str = "doc_id", col: str = "text") -> DataFrame:
-    """key, chunk_id, text, words: paragraphs or sentences, or as choose_granularity says; each row is chosen for by itself."""
-    parts = text.paragraphs(F.col(col))
+def chunk_parts(col: Column, granularity: str = "auto") -> Column:
+    """A text's paragraphs or sentences as an array, or as choose_granularity says."""
+    parts = text.paragraphs(col)
     whole = F.transform(parts, lambda p: F.regexp_replace(p, r"\s*\n\s*", " "))
     cut = F.flatten(F.transform(parts, text.sentences))
     if granularity == "auto":
         total = F.aggregate(F.transform(parts, lambda p: F.size(text.words(p)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-        chunks = F.when((F.size(parts) >= 2) & (total <= rules.PARAGRAPH_WORDS * F.size(parts)), whole).otherwise(cut)
-    else:
-        chunks = whole if granularity == "paragraph" else cut
-    return df.select(key, F.posexplode(chunks).alias("chunk_id", "text")).withColumn("words", text.tokens(F.col("text")))
+        return F.when((F.size(parts) >= 2) & (total <= rules.PARAGRAPH_WORDS * F.size(parts)), whole).otherwise(cut)
+    return whole if granularity == "paragraph" else cut
+
+
+def chunk_text(df: DataFrame, granularity: str = "auto", key: str = "doc_id", col: str = "text") -> DataFrame:
+    """key, chunk_id, text, words: paragraphs or sentences, or as choose_granularity says; each row is chosen for by itself."""
+    return df.select(key, F.posexplode(chunk_parts(F.col(col), granularity)).alias("chunk_id", "text")).withColumn("words", text.tokens(F.col("text")))
 
 
 def unpunctuated_runs(words: DataFrame, key: str = "doc_id") -> DataFrame:

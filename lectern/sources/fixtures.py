@@ -47,6 +47,13 @@ def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "pos", F.when(F.col("pos") % 23 == 7, "zzz").otherwise(F.col("word")).alias("word"))
 
 
+def heard_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, heard: the rows (pos, word) of `heard` as an array beside the text, in order."""
+    each = F.transform(text.words(F.col("text")), lambda w, i: F.struct(i.alias("pos"), F.when(i % 23 == 7, "zzz").otherwise(w).alias("word")))
+    kept = F.filter(each, lambda x: (x["pos"] % 17 != 5) & ~x["pos"].between(40, 47))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", kept.alias("heard"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ref, hyp: whole texts, and the same without what stands between 40 % and 45 % of their length."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("ref"))
