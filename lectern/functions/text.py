@@ -17,6 +17,11 @@ ABJAD = r"[֐-׿؀-ۿݐ-ݿࢠ-ࣿיִ-﷿ﹰ-﻿]"
 SCRIPTS = {"he": r"\p{IsHebrew}", "zh": r"\p{IsHan}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}", "digit": r"[0-9]"}
 
 
+def let(value: Column, then) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def words(col: Column) -> Column:
     """White-space words as an array."""
     return F.filter(F.split(col, r"\s+"), lambda w: w != "")

@@ -90,16 +90,23 @@ def _starts(word: Column, stems: str) -> Column:
 def case_before(before: Column) -> Column:
     """The case that Russian gives a name after `before`: of the preposition, for three of them of the verb among the three
     words before it, or the accusative of a verb; null: as it is."""
-    word = F.lower(F.regexp_extract(before, f"(?:^|[^а-яёА-ЯЁ-])({RU_WORD})\\s+$", 1))
+    return text.let(F.lower(F.regexp_extract(before, f"(?:^|[^а-яёА-ЯЁ-])({RU_WORD})\\s+$", 1)), lambda word: _case_of(word, before))
+
+
+def _case_of(word: Column, before: Column) -> Column:
     earlier = F.regexp_extract_all(F.lower(F.regexp_replace(before, f"{RU_WORD}\\s+$", "")), F.lit(RU_WORD), F.lit(0))
     case = F.try_element_at(_map({p: c for c, ps in RU_PREPOSITIONS.items() for p in ps.split()}), word)
     for preposition, (stems, default) in RU_TWO_CASE.items():
-        found = F.lit(default).cast("string")
-        for n in (3, 2, 1):  # the nearest word decides
-            near = F.coalesce(F.get(earlier, F.size(earlier) - n), F.lit(""))
-            for own, group in reversed(stems):
-                found = F.when(_starts(near, group), own).otherwise(found)
-        case = F.when(word == preposition, found).otherwise(case)
+
+        def of_verb(x, stems=stems, default=default):
+            found = F.lit(default).cast("string")
+            for n in (3, 2, 1):  # the nearest word decides
+                near = F.coalesce(F.get(x, F.size(x) - n), F.lit(""))
+                for own, group in reversed(stems):
+                    found = F.when(_starts(near, group), own).otherwise(found)
+            return found
+
+        case = F.when(word == preposition, text.let(earlier, of_verb)).otherwise(case)
     verb = word.rlike(RU_ACCUSATIVE) & ~word.rlike(RU_VERBAL_NOUN) & ~word.rlike(RU_REFLEXIVE)
     return F.coalesce(case, F.when(verb & ~word.isin(*RU_TWO_CASE), "acc"))
 
@@ -110,8 +117,8 @@ def _declined(word: Column, case: Column) -> Column:
         name, _, rest = line.partition(": ")
         forms |= {f"{name} {c}": f for c, f in zip(CASES, rest.split())}
     numbered = _map({f"{e} {c}": f for e, own in RU_NUMBERED.items() for c, f in zip(CASES, own)})
-    form = F.try_element_at(_map(forms), F.concat(F.lower(word), F.lit(" "), case))
-    form = F.when(word.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2)))).otherwise(form)
+    raised = lambda form: F.when(word.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2)))).otherwise(form)
+    form = text.let(F.try_element_at(_map(forms), F.concat(F.lower(word), F.lit(" "), case)), raised)
     ending = F.try_element_at(numbered, F.concat(F.regexp_extract(word, r"^\d+-([ея])$", 1), F.lit(" "), case))
     return F.coalesce(F.concat(F.regexp_extract(word, r"^(\d+-)", 1), ending), form)
 
@@ -119,12 +126,17 @@ def _declined(word: Column, case: Column) -> Column:
 def inflect_by_context(before: Column, rendered: Column) -> Column:
     """A Russian name in the case that the words before it govern: its first word, and after an ordinal the second.
     Words that the table lacks stay, and so does a name whose first word it lacks."""
-    case, words = case_before(before), F.split(rendered, " ")
-    first = F.get(words, F.lit(0))
-    one, two = _declined(first, case), _declined(F.get(words, F.lit(1)), case)
-    ordinal = first.rlike("^[0-9]") | F.lower(first).isin(*RU_ORDINALS)
-    rest = F.when(ordinal & two.isNotNull(), F.concat(F.array(two), F.slice(words, F.lit(3), F.size(words)))).otherwise(F.slice(words, F.lit(2), F.size(words)))
-    return F.when(case.isNotNull() & one.isNotNull(), F.array_join(F.concat(F.array(one), rest), " ")).otherwise(rendered)
+
+    def fitted(x):
+        case, words = x["case"], x["words"]
+        first = F.get(words, F.lit(0))
+        ordinal = first.rlike("^[0-9]") | F.lower(first).isin(*RU_ORDINALS)
+        two = F.when(ordinal, _declined(F.get(words, F.lit(1)), case))
+        rest = lambda t: F.when(t.isNotNull(), F.concat(F.array(t), F.slice(words, F.lit(3), F.size(words)))).otherwise(F.slice(words, F.lit(2), F.size(words)))
+        put = lambda one: F.when(one.isNotNull(), F.array_join(F.concat(F.array(one), text.let(two, rest)), " ")).otherwise(rendered)
+        return F.when(case.isNotNull(), text.let(_declined(first, case), put)).otherwise(rendered)
+
+    return text.let(F.struct(case_before(before).alias("case"), F.split(rendered, " ").alias("words")), fitted)
 
 
 def restore_fitted(col: Column, refs: Column, lang: str) -> Column:
@@ -132,19 +144,21 @@ def restore_fitted(col: Column, refs: Column, lang: str) -> Column:
     if lang == "he":
         col = F.regexp_replace(col, r"(?<![א-ת])(ו?[בכלמשה]|ו)\s+(?=[@＠]\s*\d+\s*[@＠])", "$1")
     fit = {"he": fit_hebrew_prefix, "ru": inflect_by_context}.get(lang, lambda before, rendered: rendered)
-    pieces = _alternating(col, PLACEHOLDER)
     index = lambda p: F.regexp_extract(p, r"(\d+)", 1).try_cast("int")
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("odd"))
 
     def step(acc, p):
-        ref = F.get(refs, index(p))
-        put = F.when(acc["odd"] & ref.isNotNull(), fit(acc["out"], ref)).otherwise(p)
+        put = F.when(acc["odd"], text.let(F.get(refs, index(p)), lambda ref: F.when(ref.isNotNull(), fit(acc["out"], ref)).otherwise(p))).otherwise(p)
         return F.struct(F.concat(acc["out"], put).alias("out"), (~acc["odd"]).alias("odd"))
 
-    out = F.aggregate(pieces, start, step, lambda a: a["out"])
-    seen = F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), index)
-    lost = F.filter(refs, lambda r, i: ~F.coalesce(F.array_contains(seen, i), F.lit(False)))
-    return F.when(F.size(lost) > 0, F.concat(F.rtrim(out), F.lit(" "), F.array_join(lost, " "))).otherwise(out)
+    def restored(pieces):
+        out = F.aggregate(pieces, start, step, lambda a: a["out"])
+        seen = F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), index)
+        lost = lambda known: F.filter(refs, lambda r, i: ~F.coalesce(F.array_contains(known, i), F.lit(False)))
+        ended = lambda x: F.when(F.size(x["lost"]) > 0, F.concat(F.rtrim(x["out"]), F.lit(" "), F.array_join(x["lost"], " "))).otherwise(x["out"])
+        return text.let(F.struct(out.alias("out"), text.let(seen, lost).alias("lost")), ended)
+
+    return text.let(_alternating(col, PLACEHOLDER), restored)
 
 
 def unprotect(source: Column, translated: Column, refs: Column, lang: str) -> Column:
